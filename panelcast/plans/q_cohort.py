@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import fold_number, month_start, quarter_of, yearmonth
+from ..functions.columns import month_start, quarter_of, yearmonth
 from ..operators import accuracy, cohort
 from ..sources.panel import PANEL_SQL, panel
 from ..spec import ANALOGUE as S
@@ -155,6 +155,3 @@ def q_parse_iso_date(spark, d):
     return panel(spark, d).select("unit", "year", "month", txt.alias("date_text"),
                                   parse_date(txt).alias("date"))
 
-
-def _unused():  # keep linters quiet about helpers re-exported for tests
-    return fold_number

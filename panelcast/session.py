@@ -20,6 +20,7 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEM", "16g"))
     )
     spark = b.getOrCreate()

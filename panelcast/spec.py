@@ -24,7 +24,7 @@ class PanelSpec:
     cover_cut: float = 50.0          # keep (unit, year) when strict mean(cover) >=/< cover_cut
     split_year: int = 1999           # train: wyear <= split_year, test: wyear > split_year
     fold_base: int = 1994            # fold = wyear - fold_base
-    scenario_start: int = 1995       # scenario rows kept when wyear > scenario_start
+    scenario_start: int = 2010       # scenario rows kept when wyear > scenario_start
     drought_years: tuple[int, ...] = (1996, 1997, 2000)
     nondrought_years: tuple[int, ...] = (1995, 1998, 1999, 2001)
     excluded_units: tuple[int, ...] = (1, 4, 7)
@@ -39,7 +39,7 @@ class PanelSpec:
 #   sum cut 1000 -> 2000, forest cut 20 -> 50, split year 2019 -> 1999, fold base 2010 -> 1994
 #   drought years {2012..2015, 2020..2022} -> {1996, 1997, 2000}
 #   non-drought years {2011, 2016..2019, 2023} -> {1995, 1998, 1999, 2001}
-#   excluded basins -> units 1, 4, 7; scenario start year 2010 -> 1995
+#   excluded basins -> units 1, 4, 7; scenario start year 2010 (scenario years are shifted)
 FOREST_FEATURES = ("tax", "lines", "size", "price", "bal", "nation", "project", "wyear", "month")
 SEARCH_FEATURES = ("date_num", "wyear", "month", "quarter", "tax", "lines", "size", "price",
                    "bal", "nation", "project")
