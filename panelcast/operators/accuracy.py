@@ -59,6 +59,30 @@ def regression_metrics(scored: DataFrame, actual: str, pred: str = "pred",
     test and train share the scan.  R2 = 1 - SSE/SST; the Gaussian deviance
     equals the MSE.
     """
+    return scored.agg(*_metric_exprs(actual, pred, split))
+
+
+def accuracy_report(scored: DataFrame, spec: PanelSpec, pred: str = "pred",
+                    split: str = "split") -> DataFrame:
+    """M7: metrics on raw predictions (test and train) and the error summary on
+    clamped test predictions, in one row from one pass over the scored frame."""
+    on = F.col(split) == "test"
+    p = clamp0(pred)
+    e = F.when(on, F.col(spec.target) - p)
+    pct = F.when(on, safe_ratio(F.col(spec.target) - p, F.col(spec.target)))
+    n_test = F.count(F.when(on, 1))
+
+    def strict(x):
+        return F.when(n_test == F.count(x), F.avg(x))
+    # err_ prefix: names are case-insensitive, so ``rmse`` would collide with ``RMSE``
+    summary = [strict(e).alias("err_me"), F.sqrt(strict(e * e)).alias("err_rmse"),
+               strict(F.abs(e)).alias("err_mae"), strict(F.abs(pct)).alias("err_mape"),
+               strict(pct).alias("err_mpe"), n_test.alias("n_test"),
+               F.count(F.when(F.col(split) == "train", 1)).alias("n_train")]
+    return scored.agg(*_metric_exprs(spec.target, pred, split), *summary)
+
+
+def _metric_exprs(actual: str, pred: str, split: str):
     out = []
     for tag, sfx in (("test", ""), ("train", "_train")):
         on = F.col(split) == tag
@@ -70,4 +94,4 @@ def regression_metrics(scored: DataFrame, actual: str, pred: str = "pred",
                 F.avg(F.abs(r)).alias(f"MAE{sfx}"),
                 (F.lit(1.0) - F.sum(r * r) / sst).alias(f"R2{sfx}"),
                 mse.alias(f"Mean_Residual_Deviance{sfx}")]
-    return scored.agg(*out)
+    return out
