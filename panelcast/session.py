@@ -52,7 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/panelcast-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Survives executor loss (the files are on shared storage, unlike a local
+    checkpoint), computes the plan once (an RDD checkpoint runs it twice), and
+    the re-read relation carries real size statistics, so the planner can
+    still choose broadcast joins on it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
