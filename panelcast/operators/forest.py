@@ -37,6 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_half_away
 from ..session import cut_lineage
 from ..spec import ForestParams
 
@@ -125,7 +126,7 @@ def select_variable(stats: DataFrame, cand: DataFrame) -> DataFrame:
     k = F.col("k")
     c = association(F.col("n"), F.col("sx")[k], F.col("sxx")[k], F.col("sy"), F.col("syy"),
                     F.col("sxy")[k])
-    j = j.select("tree", "node", "k", F.round(c, ROUND).alias("stat"))
+    j = j.select("tree", "node", "k", round_half_away(c, ROUND).alias("stat"))
     w = Window.partitionBy("tree", "node").orderBy(F.col("stat").desc(), "k")
     return (j.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("stat") > 0))
             .drop("_r"))
@@ -153,7 +154,7 @@ def best_cut(m: DataFrame, stats: DataFrame, var: DataFrame, minbucket: int) ->
     den = nl * nr * (n * F.col("syy") - F.col("sy") * F.col("sy"))
     c = F.when(den > 0, (n - 1) * num * num / den)
     j = (j.filter((F.col("nl") >= minbucket) & (F.col("n") - F.col("nl") >= minbucket))
-         .select("tree", "node", "k", F.col("x").alias("cut"), F.round(c, ROUND).alias("cut_stat"))
+         .select("tree", "node", "k", F.col("x").alias("cut"), round_half_away(c, ROUND).alias("cut_stat"))
          .filter(F.col("cut_stat").isNotNull()))
     wb = Window.partitionBy("tree", "node").orderBy(F.col("cut_stat").desc(), "cut")
     return j.withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") == 1).drop("_r")
@@ -242,12 +243,13 @@ def route(state: DataFrame, splits: DataFrame, depth: int) -> DataFrame:
     Rows whose node has no split have reached their leaf."""
     done = []
     cur = state
+    sp = splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
     for _ in range(depth):
-        nxt = (cur.join(splits.select("tree", "node", "k", "cut"), ["tree", "node"])
-               .withColumn("node", child(F.col("node"), F.col("xs")[F.col("k")], F.col("cut")))
-               .drop("k", "cut"))
-        done.append(cur.join(splits.select("tree", "node"), ["tree", "node"], "left_anti"))
-        cur = cut_lineage(nxt)
+        nxt = (cur.join(sp, ["tree", "node"])
+               .withColumn("node", child(F.col("node"), F.col("xs")[F.col("_sk")], F.col("_cut")))
+               .drop("_sk", "_cut"))
+        done.append(cur.join(sp.select("tree", "node"), ["tree", "node"], "left_anti"))
+        cur = cut_lineage(nxt, "route")
     done.append(cur)
     return _union(done)
 

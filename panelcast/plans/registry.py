@@ -58,4 +58,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ["q_cohort", "q_accuracy", "q_scenario", "q_io", "q_stats", "q_search"]
+MODULES = ["q_cohort", "q_accuracy", "q_scenario", "q_io", "q_stats", "q_search", "q_forest"]
