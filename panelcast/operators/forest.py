@@ -180,16 +180,17 @@ class Forest:
 
 
 def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int):
-    """One level: returns (splits, leaves, next membership) for the active nodes in ``m``."""
+    """One level: returns (splits, leaves, next membership) for the active nodes in ``m``.
+
+    Only the splits are written here; the leaves stay a lazy plan over this
+    level's (already written) membership and are materialised once at the end."""
     mx = m.join(inp, "id")
-    stats = node_stats(mx, n_features).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = node_stats(mx, n_features)
     splittable = stats.filter(F.col("n") >= p.minsplit).select("tree", "node")
     var = select_variable(stats, candidates(splittable, n_features, p))
     cuts = best_cut(mx, stats, var, p.minbucket)
-    splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")))
-    leaves = cut_lineage(stats.join(splits, ["tree", "node"], "left_anti")
-                         .select("tree", "node", "n", "sy"))
-    stats.unpersist()
+    splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "splits")
+    leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
     nxt = (mx.join(splits, ["tree", "node"])
            .select("tree", "id", child(F.col("node"), F.col("xs")[F.col("k")], F.col("cut")).alias("node")))
     return splits, leaves, nxt
@@ -201,7 +202,7 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
     all_splits, all_leaves, deepest = [], [], 0
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
-        m = cut_lineage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")))
+        m = cut_lineage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")), "members")
         for depth in range(p.max_depth):
             splits, leaves, nxt = grow_level(m, inp, n_features, p, depth)
             all_leaves.append(leaves)
@@ -210,15 +211,16 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
                 break
             all_splits.append(splits)
             deepest = max(deepest, depth + 1)
-            m = cut_lineage(nxt)
+            m = cut_lineage(nxt, "members")
         if m is not None:   # max depth reached: the remaining nodes are leaves
-            all_leaves.append(cut_lineage(m.join(inp, "id").groupBy("tree", "node").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))))
+            all_leaves.append(m.join(inp, "id").groupBy("tree", "node").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
+    leaves = cut_lineage(_union(all_leaves), "leaves")
     inp.unpersist()
-    spark = all_leaves[0].sparkSession
-    splits = (_union(all_splits) if all_splits else
+    spark = leaves.sparkSession
+    splits = (cut_lineage(_union(all_splits), "splits") if all_splits else
               spark.createDataFrame([], "tree int, node bigint, k int, cut double, depth int"))
-    return splits, _union(all_leaves), deepest
+    return splits, leaves, deepest
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -238,18 +240,19 @@ def fit_forest(cohort: DataFrame, features: Sequence[str], target: str,
 
 # --- M8f: routing and prediction -----------------------------------------------------------
 
-def route(state: DataFrame, splits: DataFrame, depth: int) -> DataFrame:
+def route(state: DataFrame, splits: DataFrame, depth: int, lineage_every: int = 4) -> DataFrame:
     """Send (tree, <row key>, node, xs) rows down their trees: one join per level.
-    Rows whose node has no split have reached their leaf."""
+    Rows whose node has no split have reached their leaf.  The in-flight rows
+    are written to shared storage every ``lineage_every`` levels."""
     done = []
     cur = state
     sp = splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
-    for _ in range(depth):
+    for level in range(depth):
         nxt = (cur.join(sp, ["tree", "node"])
                .withColumn("node", child(F.col("node"), F.col("xs")[F.col("_sk")], F.col("_cut")))
                .drop("_sk", "_cut"))
         done.append(cur.join(sp.select("tree", "node"), ["tree", "node"], "left_anti"))
-        cur = cut_lineage(nxt, "route")
+        cur = cut_lineage(nxt, "route") if (level + 1) % lineage_every == 0 else nxt
     done.append(cur)
     return _union(done)
 

@@ -40,46 +40,67 @@ def _h(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"
 
 
-def _rows_sql() -> str:
-    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(FEATS))
-    return forest_cohort_ctes() + f""",
-rows AS (SELECT CAST(unit AS BIGINT) * 10000000 + CAST(year AS BIGINT) * 100 + month AS id,
-                CAST(target_a AS DOUBLE) AS y, {xs} FROM fcohort),
-mem AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.id FROM rows r, range(0, {ROOT.ntree}) t(tree)
-        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} < {THR}),
-st AS (SELECT m.tree, CAST(count(*) AS BIGINT) AS n, sum(y) AS sy, sum(y * y) AS syy,
+def _xk(k: str, r: str = "r", override: tuple[int, str] | None = None) -> str:
+    """SQL for element ``k`` of the feature array of row alias ``r``."""
+    whens = " ".join(f"WHEN {i} THEN {override[1] if override and override[0] == i else f'{r}.x{i}'}"
+                     for i in range(P))
+    return f"(CASE {k} {whens} END)"
+
+
+def _level_sql(L: int, prm: ForestParams = ROOT) -> str:
+    """One tree level in SQL over membership ``mem{L}`` (tree, id, node): node moments,
+    candidates, split variable, best cut and the next membership ``mem{L+1}``."""
+    return f""",
+st{L} AS (SELECT m.tree, m.node, CAST(count(*) AS BIGINT) AS n, sum(y) AS sy, sum(y * y) AS syy,
               {", ".join(f"sum(x{i}) AS sx{i}, sum(x{i} * x{i}) AS sxx{i}, sum(x{i} * y) AS sxy{i}" for i in range(P))}
-       FROM mem m JOIN rows r ON m.id = r.id GROUP BY m.tree),
-stl AS ({" UNION ALL ".join(f"SELECT tree, n, sy, syy, {i} AS k, sx{i} AS sx, sxx{i} AS sxx, sxy{i} AS sxy FROM st" for i in range(P))}),
-cand AS (SELECT tree, node, k FROM (
-           SELECT t.tree, CAST(1 AS BIGINT) AS node, CAST(kk.k AS INTEGER) AS k,
-                  row_number() OVER (PARTITION BY t.tree ORDER BY {_h(str(ROOT.seed), "'c'", 't.tree', '1', 'kk.k')}, kk.k) AS rn
-           FROM (SELECT tree FROM st WHERE n >= {ROOT.minsplit}) t, range(0, {P}) kk(k)) WHERE rn <= {ROOT.mtry}),
-cstat AS (SELECT c.tree, c.node, c.k,
+       FROM mem{L} m JOIN rows r ON m.id = r.id GROUP BY m.tree, m.node),
+stl{L} AS ({" UNION ALL ".join(f"SELECT tree, node, n, sy, syy, {i} AS k, sx{i} AS sx, sxx{i} AS sxx, sxy{i} AS sxy FROM st{L}" for i in range(P))}),
+cand{L} AS (SELECT tree, node, k FROM (
+           SELECT t.tree, t.node, CAST(kk.k AS INTEGER) AS k,
+                  row_number() OVER (PARTITION BY t.tree, t.node
+                                     ORDER BY {_h(str(prm.seed), "'c'", 't.tree', 't.node', 'kk.k')}, kk.k) AS rn
+           FROM (SELECT tree, node FROM st{L} WHERE n >= {prm.minsplit}) t, range(0, {P}) kk(k))
+         WHERE rn <= {prm.mtry}),
+cstat{L} AS (SELECT c.tree, c.node, c.k,
                  round(CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
                        THEN (n - 1) * (n * sxy - sx * sy) * (n * sxy - sx * sy)
                             / ((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0.0 END, 6) AS stat
-          FROM cand c JOIN stl s ON c.tree = s.tree AND c.k = s.k),
-var AS (SELECT tree, node, k, stat FROM (
-          SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY stat DESC, k) AS rn FROM cstat)
+          FROM cand{L} c JOIN stl{L} s ON c.tree = s.tree AND c.node = s.node AND c.k = s.k),
+var{L} AS (SELECT tree, node, k, stat FROM (
+          SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY stat DESC, k) AS rn FROM cstat{L})
         WHERE rn = 1 AND stat > 0),
-dv AS (SELECT v.tree, v.node, v.k,
-              CASE v.k {" ".join(f"WHEN {i} THEN r.x{i}" for i in range(P))} END AS x,
-              count(*) AS cnt, sum(r.y) AS s
-       FROM var v JOIN mem m ON v.tree = m.tree JOIN rows r ON m.id = r.id GROUP BY 1, 2, 3, 4),
-cum AS (SELECT tree, node, k, x,
+dv{L} AS (SELECT v.tree, v.node, v.k, {_xk('v.k')} AS x, count(*) AS cnt, sum(r.y) AS s
+       FROM var{L} v JOIN mem{L} m ON v.tree = m.tree AND v.node = m.node JOIN rows r ON m.id = r.id
+       GROUP BY 1, 2, 3, 4),
+cum{L} AS (SELECT tree, node, k, x,
                sum(cnt) OVER (PARTITION BY tree, node ORDER BY x ROWS UNBOUNDED PRECEDING) AS nl,
                sum(s) OVER (PARTITION BY tree, node ORDER BY x ROWS UNBOUNDED PRECEDING) AS sl
-        FROM dv),
-cstat2 AS (SELECT c.tree, c.node, c.k, c.x AS cut,
+        FROM dv{L}),
+cs2{L} AS (SELECT c.tree, c.node, c.k, c.x AS cut,
                   round(CASE WHEN c.nl * (st.n - c.nl) * (st.n * st.syy - st.sy * st.sy) > 0 THEN
                     (st.n - 1) * (st.n * c.sl - c.nl * st.sy) * (st.n * c.sl - c.nl * st.sy)
                     / (CAST(c.nl AS DOUBLE) * (st.n - c.nl) * (st.n * st.syy - st.sy * st.sy)) END, 6) AS cut_stat
-           FROM cum c JOIN st ON c.tree = st.tree
-           WHERE c.nl >= {ROOT.minbucket} AND st.n - c.nl >= {ROOT.minbucket}),
-cut AS (SELECT tree, node, k, cut, cut_stat FROM (
+           FROM cum{L} c JOIN st{L} st ON c.tree = st.tree AND c.node = st.node
+           WHERE c.nl >= {prm.minbucket} AND st.n - c.nl >= {prm.minbucket}),
+cut{L} AS (SELECT tree, node, k, cut, cut_stat FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY cut_stat DESC, cut) AS rn
-          FROM cstat2 WHERE cut_stat IS NOT NULL) WHERE rn = 1)"""
+          FROM cs2{L} WHERE cut_stat IS NOT NULL) WHERE rn = 1),
+mem{L + 1} AS (SELECT m.tree, m.id, m.node * 2 + CASE WHEN {_xk('c.k')} > c.cut THEN 1 ELSE 0 END AS node
+          FROM mem{L} m JOIN rows r ON m.id = r.id JOIN cut{L} c ON m.tree = c.tree AND m.node = c.node)"""
+
+
+def _rows_sql(levels: int = 1) -> str:
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(FEATS))
+    head = forest_cohort_ctes() + f""",
+rows AS (SELECT CAST(unit AS BIGINT) * 10000000 + CAST(year AS BIGINT) * 100 + month AS id,
+                CAST(target_a AS DOUBLE) AS y, {xs} FROM fcohort),
+mem AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.id FROM rows r, range(0, {ROOT.ntree}) t(tree)
+        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} < {THR}),
+mem0 AS (SELECT tree, id, CAST(1 AS BIGINT) AS node FROM mem)"""
+    body = "".join(_level_sql(L) for L in range(levels))
+    alias = """,
+cand AS (SELECT * FROM cand0), var AS (SELECT * FROM var0), cut AS (SELECT * FROM cut0)"""
+    return head + body + alias
 
 
 def root_level(spark: SparkSession, d: str):
@@ -291,3 +312,98 @@ def q_partial_dependence_ols(spark, d):
     def score(rows):
         return rows.withColumn("pred", a + b * F.col("xs")[j])
     return pdp.partial_dependence_scorer(forest_rows(spark, d), FEATS, j, score)
+
+
+# --- depth-limited forests with exact SQL twins -------------------------------------
+
+STUMP = ForestParams(ntree=ROOT.ntree, max_depth=1)
+DEPTH2 = ForestParams(ntree=ROOT.ntree, max_depth=2)
+_SMALL_MEMO: dict = {}
+
+
+def small_forest(spark: SparkSession, d: str, prm: ForestParams) -> forest.Forest:
+    key = (id(spark), d, prm.max_depth)
+    if key not in _SMALL_MEMO:
+        c = cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False)
+        _SMALL_MEMO[key] = forest.fit_forest(c, FEATS, S.target, prm)
+    return _SMALL_MEMO[key]
+
+
+@query("forest_depth2", _rows_sql(2) + """
+SELECT tree, node, k, cut FROM cut0 UNION ALL SELECT tree, node, k, cut FROM cut1""", ("cut",))
+def q_forest_depth2(spark, d):
+    """M8e: two levels of growth (10 trees): every split chosen by the level loop."""
+    return small_forest(spark, d, DEPTH2).splits.select("tree", "node", "k", "cut")
+
+
+def _stump_sql() -> str:
+    node = lambda r, over=None: (f"CASE WHEN c.k IS NULL THEN CAST(1 AS BIGINT) "
+                                 f"ELSE CAST(2 AS BIGINT) + CASE WHEN {_xk('c.k', r, over)} > c.cut THEN 1 ELSE 0 END END")
+    return _rows_sql(1) + f""",
+leaf AS (SELECT m.tree, m.node, CAST(count(*) AS BIGINT) AS n, sum(r.y) AS sy
+         FROM (SELECT tree, id, node FROM mem1
+               UNION ALL
+               SELECT m.tree, m.id, m.node FROM mem0 m
+               WHERE NOT EXISTS (SELECT 1 FROM cut0 c WHERE c.tree = m.tree AND c.node = m.node)) m
+         JOIN rows r ON m.id = r.id GROUP BY 1, 2),
+trees AS (SELECT CAST(t AS INTEGER) AS tree FROM range(0, {ROOT.ntree}) x(t)),
+route AS (SELECT r.id, t.tree, {node('r')} AS node
+          FROM rows r CROSS JOIN trees t LEFT JOIN cut0 c ON c.tree = t.tree),
+oob AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.* FROM rows r, range(0, {ROOT.ntree}) t(tree)
+        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} >= {THR}),
+oroute AS (SELECT o.tree, o.id, o.y, {node('o')} AS node FROM oob o LEFT JOIN cut0 c ON c.tree = o.tree),
+gstat AS (SELECT min(x1) AS lo, max(x1) AS hi, least(count(DISTINCT x1), 25) AS ng FROM rows),
+grid AS (SELECT CASE WHEN ng > 1 THEN lo + g * (hi - lo) / (ng - 1) ELSE lo END AS v
+         FROM gstat, range(0, 25) t(g) WHERE g < ng),
+proute AS (SELECT g.v, r.id, t.tree, {node('r', (1, 'g.v'))} AS node
+           FROM rows r CROSS JOIN grid g CROSS JOIN trees t LEFT JOIN cut0 c ON c.tree = t.tree),
+po AS (SELECT o.tree, o.id, o.y, c.k, c.cut, {_xk('c.k', 'o')} AS xk FROM oob o JOIN cut0 c ON c.tree = o.tree),
+pa AS (SELECT *, row_number() OVER (PARTITION BY tree, k ORDER BY id) AS rr FROM po),
+pb AS (SELECT tree, k, xk AS xk_perm,
+              row_number() OVER (PARTITION BY tree, k
+                                 ORDER BY {_h(str(ROOT.seed), "'p'", 'tree', 'k', "''", 'id')}, id) AS rr FROM po),
+pj AS (SELECT pa.tree, pa.k, pa.id, pa.y, pa.xk, pb.xk_perm, pa.cut
+       FROM pa JOIN pb ON pa.tree = pb.tree AND pa.k = pb.k AND pa.rr = pb.rr),
+pe AS (SELECT pj.tree, pj.k,
+              avg((pj.y - l1.sy / l1.n) * (pj.y - l1.sy / l1.n)) - avg((pj.y - l0.sy / l0.n) * (pj.y - l0.sy / l0.n)) AS value
+       FROM pj JOIN leaf l0 ON l0.tree = pj.tree AND l0.node = 2 + CASE WHEN pj.xk > pj.cut THEN 1 ELSE 0 END
+               JOIN leaf l1 ON l1.tree = pj.tree AND l1.node = 2 + CASE WHEN pj.xk_perm > pj.cut THEN 1 ELSE 0 END
+       GROUP BY 1, 2)"""
+
+
+@query("forest_stump_leaves", _stump_sql() + "\nSELECT tree, node, n, sy FROM leaf", ("sy",))
+def q_forest_stump_leaves(spark, d):
+    """M8e at depth 1: leaf counts and target sums of 10 stumps."""
+    return small_forest(spark, d, STUMP).leaves
+
+
+@query("forest_predict_stump", _stump_sql() + """
+SELECT id, sum(sy) / sum(n) AS pred FROM route JOIN leaf USING (tree, node) GROUP BY id""", ("pred",))
+def q_forest_predict_stump(spark, d):
+    """M8f at depth 1: forest prediction = sum of leaf sums / sum of leaf counts."""
+    return forest.predict_forest(small_forest(spark, d, STUMP), forest_rows(spark, d))
+
+
+@query("oob_error_stump", _stump_sql() + """
+SELECT o.tree, CAST(count(*) AS BIGINT) AS n_oob,
+       avg((o.y - l.sy / l.n) * (o.y - l.sy / l.n)) AS oob_mse
+FROM oroute o JOIN leaf l ON l.tree = o.tree AND l.node = o.node GROUP BY o.tree""", ("oob_mse",))
+def q_oob_error_stump(spark, d):
+    """M9 at depth 1: out-of-bag error of each stump."""
+    return forest.oob_error(small_forest(spark, d, STUMP), forest_rows(spark, d))
+
+
+@query("partial_dependence_stump", _stump_sql() + f"""
+, pp AS (SELECT v, id, sum(sy) / sum(n) AS p FROM proute JOIN leaf USING (tree, node) GROUP BY v, id)
+SELECT '{FEATS[1]}' AS feature, v, avg(p) AS pd FROM pp GROUP BY v""", ("v", "pd"))
+def q_partial_dependence_stump(spark, d):
+    """M11 at depth 1: partial dependence of the stump forest on ``lines``."""
+    return pdp.partial_dependence(small_forest(spark, d, STUMP), forest_rows(spark, d), [1])
+
+
+@query("perm_importance_stump", _stump_sql() + f"""
+SELECT t.tree, CAST(kk.k AS INTEGER) AS k, coalesce(pe.value, 0.0) AS value
+FROM trees t CROSS JOIN range(0, {P}) kk(k) LEFT JOIN pe ON pe.tree = t.tree AND pe.k = kk.k""", ("value",))
+def q_perm_importance_stump(spark, d):
+    """M10 at depth 1: conditional permutation importance of 10 stumps (0 for unused features)."""
+    return importance.conditional_importance(small_forest(spark, d, STUMP), forest_rows(spark, d), 0.80)

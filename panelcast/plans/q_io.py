@@ -19,6 +19,7 @@ from ..operators import scenario
 from ..sources.panel import PANEL_SQL
 from .oracle_sql import ols_scored_ctes
 from .registry import query
+from ..spec import ANALOGUE as S
 
 PANEL_SCHEMA = ("unit BIGINT, year INT, month INT, wyear INT, target_a DOUBLE, target_b DOUBLE, "
                 "cover DOUBLE, tax DOUBLE, lines BIGINT, size DOUBLE, price DOUBLE, bal DOUBLE, "
@@ -78,3 +79,21 @@ def q_sink_partitioned_roundtrip(spark, d):
     path = scratch_path(spark, "forecast-parts")
     files.write_scenarios(forecast(spark, d), path)
     return files.read_scenarios(spark, path, FORECAST_SCHEMA)
+
+
+@query("scenario_stream_forecast", scen_ctes() + """
+SELECT unit, date, month, wyear, year, pred, scenario, model FROM fc""", ("pred",))
+def q_scenario_stream_forecast(spark, d):
+    """M5 as a file stream: the 16 scenario files are picked up by a streaming
+    source and scored batch by batch; the appended forecast is read back."""
+    from ..streaming.scenario_stream import start_forecast_stream
+    from .q_scenario import ols_score_fn, selected_units
+    base = scratch_path(spark, "scenario-stream")
+    scen = scenario.scenario_table(panel(spark, d))
+    named = scen.withColumn("file", F.concat(F.lit("CA_wtr_all_"), "scenario", F.lit("_"),
+                                             "model", F.lit(".csv"))).drop("scenario", "model")
+    named.write.mode("overwrite").partitionBy("file").option("header", True).csv(f"{base}/in")
+    q = start_forecast_stream(spark, f"{base}/in/*/*.csv", SCEN_SCHEMA, selected_units(spark, d),
+                              S, ols_score_fn(spark, d), f"{base}/out", f"{base}/chk")
+    q.awaitTermination()
+    return files.read_scenarios(spark, f"{base}/out", FORECAST_SCHEMA)

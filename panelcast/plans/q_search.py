@@ -150,3 +150,29 @@ _REP_D = tuple(f"{m}{s}" for s in ("", "_train")
 def q_accuracy_report(spark, d):
     """M7: metrics (test, train) and the test error summary from one scored frame, one row."""
     return accuracy.accuracy_report(ols_scored(spark, d), S)
+
+
+@query("leader", TRAIN_CTE + """, cv AS (
+""" + "\nUNION ALL\n".join(_cv_sql(x, m) for m, x in BASELINES) + """)
+SELECT model, mean_mse FROM (
+  SELECT model, avg(mse) AS mean_mse, row_number() OVER (ORDER BY avg(mse), model) AS rk
+  FROM cv GROUP BY model) WHERE rk = 1""", ("mean_mse",))
+def q_leader(spark, d):
+    """O2: the leader of the closed-form candidates (the top-1 row is the feature)."""
+    return search.leader(search.leaderboard(cv_errors(spark, d))).select("model", "mean_mse")
+
+
+@query("scenario_forecast_gbt")
+def q_scenario_forecast_gbt(spark, d):
+    """M5 with the MLlib leader as scorer: all 16 scenario tables scored by
+    ``transform`` in one job (rows-only)."""
+    from ..operators import scenario
+    from .q_scenario import selected_units
+    _, model, _ = fitted_search(spark, d)
+
+    def score(df):
+        x = df.withColumn("date_num", F.unix_date("date").cast("double"))
+        out = model.transform(search.assemble(x, SEARCH_FEATURES))
+        return out.withColumnRenamed("prediction", "pred").drop("features")
+    scen = scenario.scenario_table(panel(spark, d))
+    return scenario.scenario_forecast(scen, selected_units(spark, d), S, score)
