@@ -54,7 +54,7 @@ def test_round_half_away_matches_duckdb(spark):
     vals = [0.1234565, -2.5e-7, 1.0000005, 123456.7890125, -0.0000015]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double")
            .select(round_half_away("x", 6)).collect()]
-    want = [duckdb.sql(f"select round({v!r}::DOUBLE, 6)").fetchone()[0] for v in vals]
+    want = [duckdb.sql(f"select round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in vals]
     assert got == want
 
 
