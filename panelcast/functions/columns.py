@@ -20,16 +20,23 @@ def _c(col: str | Column) -> Column:
 
 # --- null rules ---------------------------------------------------------------
 
-def strict_sum(col: str | Column) -> Column:
-    """Sum that is NULL when any input is NULL (R ``sum`` without ``na.rm``)."""
+def _over(agg: Column, window) -> Column:
+    return agg if window is None else agg.over(window)
+
+
+def strict_sum(col: str | Column, window=None) -> Column:
+    """Sum that is NULL when any input is NULL (R ``sum`` without ``na.rm``).
+    With ``window``, the same rule as a window aggregate."""
     c = _c(col)
-    return F.when(F.count(F.lit(1)) == F.count(c), F.sum(c))
+    return F.when(_over(F.count(F.lit(1)), window) == _over(F.count(c), window),
+                  _over(F.sum(c), window))
 
 
-def strict_avg(col: str | Column) -> Column:
+def strict_avg(col: str | Column, window=None) -> Column:
     """Mean that is NULL when any input is NULL (R ``mean`` without ``na.rm``)."""
     c = _c(col)
-    return F.when(F.count(F.lit(1)) == F.count(c), F.avg(c))
+    return F.when(_over(F.count(F.lit(1)), window) == _over(F.count(c), window),
+                  _over(F.avg(c), window))
 
 
 def clamp0(col: str | Column) -> Column:

@@ -1,11 +1,17 @@
 """Cohort selection: group-qualified filters, year lists, unit exclusion, splits.
 
 A group-qualified filter keeps every row of a group whose aggregate passes a
-predicate (dplyr ``group_by() %>% filter(agg(x) >= v)``).  It is planned as a
-partial aggregate per group followed by a left-semi join of the qualifying
-keys: the aggregate combines map-side, so one group holding a third of all rows
-costs no more than any other, and the key list is usually small enough for the
-planner to broadcast (the full-size side is then never shuffled).
+predicate (dplyr ``group_by() %>% filter(agg(x) >= v)``).  Two plans:
+
+* ``how="window"`` (default for the panel rules): an aggregate over
+  ``Window.partitionBy(keys)``.  The table is read once and shuffled once; the
+  sum and mean rules use the same keys, so one exchange serves both.  A panel
+  group (unit, calendar year) holds at most 12 monthly rows, so no window
+  partition can grow with the data.
+* ``how="semi"`` for groups of unbounded size: a partial aggregate per group and
+  a left-semi join of the passing keys.  The aggregate combines map-side, so a
+  group holding a third of all rows costs no more than any other; the input is
+  read twice.
 """
 
 from __future__ import annotations
@@ -27,32 +33,40 @@ def _null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> C
     return cond
 
 
-def filter_groups(t: DataFrame, keys: Sequence[str], agg: Column,
-                  pred: Callable[[Column], Column]) -> DataFrame:
-    """Keep all rows of the groups ``keys`` whose ``agg`` satisfies ``pred``.
+def filter_groups(t: DataFrame, keys: Sequence[str], agg: Callable[[object], Column],
+                  pred: Callable[[Column], Column], how: str = "window") -> DataFrame:
+    """Keep all rows of the groups ``keys`` whose aggregate satisfies ``pred``.
 
-    ``agg`` is an aggregate Column (use ``strict_sum``/``strict_avg`` for R's
-    NA-poisoning rule: a NULL aggregate fails the predicate and drops the group).
-    NULL keys form their own group, as in dplyr.
+    ``agg(window)`` builds the aggregate, as a window aggregate when given a
+    window spec and as a plain aggregate when given None (use
+    ``strict_sum``/``strict_avg`` for R's NA-poisoning rule: a NULL aggregate
+    fails the predicate and drops the group).  NULL keys form their own group,
+    as in dplyr.
     """
     keys = list(keys)
-    passing = (t.groupBy(*keys).agg(agg.alias("_g"))
+    if how == "window":
+        g = agg(Window.partitionBy(*keys))
+        return (t.withColumn("_g", g).filter(F.coalesce(pred(F.col("_g")), F.lit(False)))
+                .drop("_g"))
+    passing = (t.groupBy(*keys).agg(agg(None).alias("_g"))
                .filter(pred(F.col("_g"))).select(*keys))
     return t.join(passing, _null_safe_keys(t, passing, keys), "left_semi")
 
 
-def filter_sum_at_least(t: DataFrame, spec: PanelSpec, cut: float | None = None) -> DataFrame:
+def filter_sum_at_least(t: DataFrame, spec: PanelSpec, cut: float | None = None,
+                        how: str = "window") -> DataFrame:
     """keep (unit, calendar year) groups whose target sum >= cut."""
     cut = spec.sum_cut if cut is None else cut
-    return filter_groups(t, [spec.unit, spec.year], strict_sum(spec.target), lambda g: g >= cut)
+    return filter_groups(t, [spec.unit, spec.year], lambda w: strict_sum(spec.target, w),
+                         lambda g: g >= cut, how)
 
 
 def filter_cover(t: DataFrame, spec: PanelSpec, forest: bool = True,
-                 cut: float | None = None) -> DataFrame:
+                 cut: float | None = None, how: str = "window") -> DataFrame:
     """F3 (mean cover >= cut, ``forest``) or F4 (mean cover < cut)."""
     cut = spec.cover_cut if cut is None else cut
     pred = (lambda g: g >= cut) if forest else (lambda g: g < cut)
-    return filter_groups(t, [spec.unit, spec.year], strict_avg(spec.cover), pred)
+    return filter_groups(t, [spec.unit, spec.year], lambda w: strict_avg(spec.cover, w), pred, how)
 
 
 def filter_positive(t: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -134,19 +134,48 @@ def select_variable(stats: DataFrame, cand: DataFrame) -> DataFrame:
 
 # --- M8d: best cut ----------------------------------------------------------------------
 
-def best_cut(m: DataFrame, stats: DataFrame, var: DataFrame, minbucket: int) -> DataFrame:
+def value_blocks(inp: DataFrame, n_features: int, blocks: int = 256) -> list[list[float]]:
+    """Per feature, ``blocks - 1`` approximate quantiles of its values: boundaries of
+    contiguous value ranges used to split the cumulative sums of the cut search.
+    One aggregate; the result is bounded by ``n_features x blocks`` numbers."""
+    probs = [i / blocks for i in range(1, blocks)]
+    row = inp.agg(*[F.percentile_approx(F.col("xs")[k], probs, 10000).alias(f"b{k}")
+                    for k in range(n_features)]).first()
+    return [sorted(set(row[f"b{k}"] or [])) for k in range(n_features)]
+
+
+def best_cut(m: DataFrame, stats: DataFrame, var: DataFrame, minbucket: int,
+             bounds: list[list[float]] | None = None) -> DataFrame:
     """(tree, node, k, cut, cut_stat): the cut x <= v of the selected feature with the
     largest two-sample statistic, both sides >= minbucket (ties: smallest v).
 
     Rows are first reduced to (count, sum y) per distinct value, so a value
-    repeated by a third of all rows is one row here."""
+    repeated by a third of all rows is one row here.  The cumulative sums over
+    a node's values are taken in two levels when ``bounds`` is given: totals per
+    value block (at most one block per boundary), an exclusive prefix over the
+    blocks, then a running sum inside each block -- no window holds more than
+    one block of one node."""
     x = F.col("xs")[F.col("k")]
     dv = (m.join(var.select("tree", "node", "k"), ["tree", "node"])
           .groupBy("tree", "node", "k", x.alias("x"))
           .agg(F.count(F.lit(1)).alias("cnt"), F.sum("y").alias("s")))
-    w = Window.partitionBy("tree", "node").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cum = dv.select("tree", "node", "k", "x", F.sum("cnt").over(w).alias("nl"),
-                    F.sum("s").over(w).alias("sl"))
+    if bounds:
+        b = F.array(*[F.array(*[F.lit(float(v)) for v in bk]).cast("array<double>") for bk in bounds])
+        dv = dv.withColumn("blk", F.size(F.filter(b[F.col("k")], lambda v: v < F.col("x"))))
+        tot = dv.groupBy("tree", "node", "blk").agg(F.sum("cnt").alias("bn"), F.sum("s").alias("bs"))
+        wb = Window.partitionBy("tree", "node").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+        pre = tot.select("tree", "node", "blk", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("pn"),
+                         F.coalesce(F.sum("bs").over(wb), F.lit(0.0)).alias("ps"))
+        w = Window.partitionBy("tree", "node", "blk").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        cum = (dv.select("tree", "node", "k", "blk", "x", F.sum("cnt").over(w).alias("nl0"),
+                         F.sum("s").over(w).alias("sl0"))
+               .join(pre, ["tree", "node", "blk"])
+               .select("tree", "node", "k", "x", (F.col("nl0") + F.col("pn")).alias("nl"),
+                       (F.col("sl0") + F.col("ps")).alias("sl")))
+    else:
+        w = Window.partitionBy("tree", "node").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        cum = dv.select("tree", "node", "k", "x", F.sum("cnt").over(w).alias("nl"),
+                        F.sum("s").over(w).alias("sl"))
     j = cum.join(stats.select("tree", "node", "n", "sy", "syy"), ["tree", "node"])
     n, nl = F.col("n").cast("double"), F.col("nl").cast("double")
     nr = n - nl
@@ -179,7 +208,8 @@ class Forest:
         return F.element_at(F.array(*[F.lit(f) for f in self.features]), F.col("k") + 1)
 
 
-def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int):
+def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int,
+               bounds: list[list[float]] | None = None):
     """One level: returns (splits, leaves, next membership) for the active nodes in ``m``.
 
     Only the splits are written here; the leaves stay a lazy plan over this
@@ -188,7 +218,7 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
     stats = node_stats(mx, n_features)
     splittable = stats.filter(F.col("n") >= p.minsplit).select("tree", "node")
     var = select_variable(stats, candidates(splittable, n_features, p))
-    cuts = best_cut(mx, stats, var, p.minbucket)
+    cuts = best_cut(mx, stats, var, p.minbucket, bounds)
     splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "splits")
     leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
     nxt = (mx.join(splits, ["tree", "node"])
@@ -199,12 +229,13 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
 def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataFrame, DataFrame, int]:
     """M8e: grow ``p.ntree`` trees level by level, in batches of ``p.tree_batch`` trees."""
     inp = inp.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds = value_blocks(inp, n_features, p.blocks) if p.blocks > 1 else None
     all_splits, all_leaves, deepest = [], [], 0
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
         m = cut_lineage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")), "members")
         for depth in range(p.max_depth):
-            splits, leaves, nxt = grow_level(m, inp, n_features, p, depth)
+            splits, leaves, nxt = grow_level(m, inp, n_features, p, depth, bounds)
             all_leaves.append(leaves)
             if splits.isEmpty():
                 m = None

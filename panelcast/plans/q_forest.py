@@ -136,7 +136,7 @@ def q_select_variable(spark, d):
 def q_best_cut(spark, d):
     """M8d: best cut of the selected variable at each root, both sides >= minbucket."""
     inp, mem, mx, st, cand, var = root_level(spark, d)
-    return forest.best_cut(mx, st, var, ROOT.minbucket)
+    return forest.best_cut(mx, st, var, ROOT.minbucket, forest.value_blocks(inp, P, ROOT.blocks))
 
 
 def _assoc_sql() -> str:

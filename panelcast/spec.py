@@ -55,8 +55,10 @@ class ForestParams:
     fraction: float = 0.632
     minsplit: int = 20
     minbucket: int = 7
-    max_depth: int = 30
+    max_depth: int = 60          # node ids are 2^depth: 60 keeps them inside BIGINT
     seed: int = 160617
     # trees are grown in batches so one level's shuffle stays bounded
     tree_batch: int = 1000
+    # value blocks of the cut search (approximate quantiles per feature); 1 = one window per node
+    blocks: int = 256
     extra: dict = field(default_factory=dict)

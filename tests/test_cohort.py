@@ -73,3 +73,13 @@ def test_cohort_matrix_matches_individual_cohorts(spark):
         for drought in (True, False):
             name = f"{'forest' if forest else 'nonforest'}_{'drought' if drought else 'nondrought'}"
             assert m[(name, "target_a")] == cohort.forest_cohort(p, spec, forest, drought).count()
+
+
+def test_window_and_semi_plans_agree(spark):
+    from panelcast.sources.panel import panel
+    p = panel(spark, "/root/testdata/sf0.001")
+    spec = replace(ANALOGUE, sum_cut=100.0)
+    for fn in (cohort.filter_sum_at_least, cohort.filter_cover):
+        a = sorted(fn(p, spec, how="window").select("unit", "year", "month").collect())
+        b = sorted(fn(p, spec, how="semi").select("unit", "year", "month").collect())
+        assert a == b and len(a) > 0
