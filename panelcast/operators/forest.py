@@ -87,13 +87,19 @@ def subsample(inp: DataFrame, trees: Sequence[int], p: ForestParams, oob: bool =
 
 # --- M8b: candidate features ------------------------------------------------------
 
+def _candidate_array(n_features: int, p: ForestParams) -> Column:
+    """The node's ``mtry`` candidate features: feature indices ordered by a seeded
+    hash of (tree, node, k), first ``mtry`` kept -- a projection, no window."""
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)),
+                        lambda k: F.struct(hash32(p.seed, "c", F.col("tree"), F.col("node"), k).alias("h"),
+                                           k.alias("k")))
+    return F.slice(F.array_sort(keyed), 1, p.mtry)
+
+
 def candidates(nodes: DataFrame, n_features: int, p: ForestParams) -> DataFrame:
-    """(tree, node, k): ``mtry`` features per node, the smallest seeded hashes.
-    The window holds one node's feature list (n_features rows)."""
-    x = nodes.select("tree", "node", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("k"))
-    w = Window.partitionBy("tree", "node").orderBy(hash32(p.seed, "c", F.col("tree"), F.col("node"),
-                                                          F.col("k")), "k")
-    return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= p.mtry).drop("_r")
+    """(tree, node, k): ``mtry`` features per node, the smallest seeded hashes."""
+    return (nodes.select("tree", "node", F.explode(_candidate_array(n_features, p)).alias("c"))
+            .select("tree", "node", F.col("c.k").alias("k")))
 
 
 # --- node moments -----------------------------------------------------------------
@@ -119,17 +125,22 @@ def association(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy
 
 # --- M8c: split variable --------------------------------------------------------------
 
-def select_variable(stats: DataFrame, cand: DataFrame) -> DataFrame:
-    """(tree, node, k, stat): the candidate with the largest association (ties: lowest k).
-    Nodes whose best association is 0 are not split."""
-    j = cand.join(stats, ["tree", "node"])
-    k = F.col("k")
-    c = association(F.col("n"), F.col("sx")[k], F.col("sxx")[k], F.col("sy"), F.col("syy"),
-                    F.col("sxy")[k])
-    j = j.select("tree", "node", "k", round_half_away(c, ROUND).alias("stat"))
-    w = Window.partitionBy("tree", "node").orderBy(F.col("stat").desc(), "k")
-    return (j.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("stat") > 0))
-            .drop("_r"))
+def select_variable(stats: DataFrame, n_features: int, p: ForestParams) -> DataFrame:
+    """(tree, node, k, stat): among the node's candidates the feature with the largest
+    association (ties: lowest k), for nodes with at least ``minsplit`` rows.  Nodes
+    whose best association is 0 are not split.
+
+    One projection over the node-moment row: candidates, their statistics and
+    the arg-max are array expressions, so this step adds no shuffle."""
+    def stat_of(e):
+        k = e["k"]
+        c = association(F.col("n"), F.col("sx")[k], F.col("sxx")[k], F.col("sy"), F.col("syy"),
+                        F.col("sxy")[k])
+        return F.struct(round_half_away(c, ROUND).alias("stat"), (-k).alias("nk"))
+    best = F.array_max(F.transform(_candidate_array(n_features, p), stat_of))
+    return (stats.filter(F.col("n") >= p.minsplit)
+            .select("tree", "node", (-best["nk"]).alias("k"), best["stat"].alias("stat"))
+            .filter(F.col("stat") > 0))
 
 
 # --- M8d: best cut ----------------------------------------------------------------------
@@ -216,8 +227,7 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
     level's (already written) membership and are materialised once at the end."""
     mx = m.join(inp, "id")
     stats = node_stats(mx, n_features)
-    splittable = stats.filter(F.col("n") >= p.minsplit).select("tree", "node")
-    var = select_variable(stats, candidates(splittable, n_features, p))
+    var = select_variable(stats, n_features, p)
     cuts = best_cut(mx, stats, var, p.minbucket, bounds)
     splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "splits")
     leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
@@ -228,8 +238,11 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
 
 def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataFrame, DataFrame, int]:
     """M8e: grow ``p.ntree`` trees level by level, in batches of ``p.tree_batch`` trees."""
-    inp = inp.persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = value_blocks(inp, n_features, p.blocks) if p.blocks > 1 else None
+    # written once: every level's plan then starts from a plain scan (short to analyse,
+    # real size statistics, and nothing to recompute if an executor is lost)
+    inp = cut_lineage(inp, "forest-input")
+    big = p.blocks > 1 and inp.count() > p.block_min_rows
+    bounds = value_blocks(inp, n_features, p.blocks) if big else None
     all_splits, all_leaves, deepest = [], [], 0
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
@@ -247,7 +260,6 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
             all_leaves.append(m.join(inp, "id").groupBy("tree", "node").agg(
                 F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
     leaves = cut_lineage(_union(all_leaves), "leaves")
-    inp.unpersist()
     spark = leaves.sparkSession
     splits = (cut_lineage(_union(all_splits), "splits") if all_splits else
               spark.createDataFrame([], "tree int, node bigint, k int, cut double, depth int"))
@@ -271,21 +283,20 @@ def fit_forest(cohort: DataFrame, features: Sequence[str], target: str,
 
 # --- M8f: routing and prediction -----------------------------------------------------------
 
-def route(state: DataFrame, splits: DataFrame, depth: int, lineage_every: int = 4) -> DataFrame:
-    """Send (tree, <row key>, node, xs) rows down their trees: one join per level.
-    Rows whose node has no split have reached their leaf.  The in-flight rows
-    are written to shared storage every ``lineage_every`` levels."""
-    done = []
+def route(state: DataFrame, splits: DataFrame, depth: int, lineage_every: int = 8) -> DataFrame:
+    """Send (tree, <row key>, node, xs) rows down their trees: one left join with
+    the splits per level; a row whose node has no split has reached its leaf and
+    passes through unchanged.  The plan is one linear chain, written to shared
+    storage every ``lineage_every`` levels."""
     cur = state
     sp = splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
     for level in range(depth):
-        nxt = (cur.join(sp, ["tree", "node"])
-               .withColumn("node", child(F.col("node"), F.col("xs")[F.col("_sk")], F.col("_cut")))
+        nxt = (cur.join(sp, ["tree", "node"], "left")
+               .withColumn("node", F.when(F.col("_sk").isNull(), F.col("node")).otherwise(
+                   child(F.col("node"), F.col("xs")[F.col("_sk")], F.col("_cut"))))
                .drop("_sk", "_cut"))
-        done.append(cur.join(sp.select("tree", "node"), ["tree", "node"], "left_anti"))
         cur = cut_lineage(nxt, "route") if (level + 1) % lineage_every == 0 else nxt
-    done.append(cur)
-    return _union(done)
+    return cur
 
 
 def predict_forest(f: Forest, rows: DataFrame, key: str = "id") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_1_quantile, round_half_away
+from ..session import cut_lineage
 from .forest import Forest, _tree_rows, hash32, route, subsample
 
 
@@ -120,7 +121,7 @@ def conditional_importance(f: Forest, inp: DataFrame, threshold: float = 0.80,
     base = (_leaf_pred(f, oob.withColumn("node", F.lit(1).cast("bigint")))
             .select("tree", "id", ((F.col("y") - F.col("pred")) ** 2).alias("e0")))
     pairs = association_pairs(inp, f.features, threshold)
-    sets = conditioning_sets(f, pairs)
+    sets = cut_lineage(conditioning_sets(f, pairs), "cond-sets")   # small; real size for the planner
     c = cells(oob, sets).withColumn("xk", F.col("xs")[F.col("k")])
     perm = permute_within(c, ["tree", "k", "cell"], "xk", "id", seed, max_block, "xk_perm")
     swapped = perm.select(

@@ -58,31 +58,51 @@ def cv_fold_sums(train: DataFrame, y: str, x: str, fold: str) -> DataFrame:
         F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
 
 
-def cv_baseline(train: DataFrame, y: str, fold: str, x: str | None = None) -> DataFrame:
-    """Out-of-fold error of the group-mean scorer (``x`` None) or one-variable OLS.
-
-    The model for fold k is fitted on all other folds from per-fold sums
-    (totals minus fold k), then scored on fold k's rows.  Returns per fold:
-    n, mse, mae.
+def cv_baselines(train: DataFrame, y: str, fold: str,
+                 candidates: Sequence[tuple[str, str | None]]) -> DataFrame:
+    """M3: out-of-fold error of closed-form candidates, all in one job.
+
+    A candidate is (name, x): x None is the mean of the other folds, otherwise a
+    one-variable least squares fitted on the other folds.  One aggregate gives
+    per-fold sums for every candidate's x; fold k's coefficients are the totals
+    minus fold k (totals enter as scalar subqueries); each training row is then
+    scored once per candidate by a narrow explode and the errors are averaged
+    per (model, fold).  Returns (model, fold, n, mse, mae).
     """
-    xcol = x or y
-    sums = cv_fold_sums(train.withColumn("_x", F.col(xcol).cast("double")), y, "_x", fold)
-    # totals over all folds enter as scalar subqueries of one small aggregate
-    totals = sums.agg(*[F.sum(c).alias(c) for c in ("n", "sy", "sx", "sxx", "sxy")])
-    n, sy, sx, sxx, sxy = [totals.select(c).scalar() - F.col(c)
-                           for c in ("n", "sy", "sx", "sxx", "sxy")]
-    if x is None:
-        coefs = sums.select(fold, (sy / n).alias("a"), F.lit(0.0).alias("b"))
-    else:
-        slope = (sxy - sx * sy / n) / (sxx - sx * sx / n)
-        coefs = sums.select(fold, slope.alias("b"), sy.alias("_sy"), sx.alias("_sx"), n.alias("_n"))
-        coefs = coefs.select(fold, ((F.col("_sy") - F.col("b") * F.col("_sx")) / F.col("_n")).alias("a"), "b")
-    scored = train.join(F.broadcast(coefs), fold).withColumn(
-        "_r", F.col(y) - (F.col("a") + F.col("b") * F.col(xcol).cast("double")))
-    return scored.groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("_r") * F.col("_r")).alias("mse"),
-        F.avg(F.abs("_r")).alias("mae"))
+    xs = [(name, F.col(x).cast("double") if x else F.col(y).cast("double"), x is None)
+          for name, x in candidates]
+    yc = F.col(y)
+    sums = train.groupBy(fold).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(yc).alias("sy"),
+        *[e for i, (_, xc, _) in enumerate(xs) for e in (
+            F.sum(xc).alias(f"sx{i}"), F.sum(xc * xc).alias(f"sxx{i}"), F.sum(xc * yc).alias(f"sxy{i}"))])
+    names = [c for c in sums.columns if c != fold]
+    totals = sums.agg(*[F.sum(c).alias(c) for c in names])
+    other = {c: totals.select(c).scalar() - F.col(c) for c in names}
+    n, sy = other["n"], other["sy"]
+    coef_cols = []
+    for i, (name, _, is_mean) in enumerate(xs):
+        if is_mean:
+            b, a = F.lit(0.0), sy / n
+        else:
+            sx, sxx, sxy = other[f"sx{i}"], other[f"sxx{i}"], other[f"sxy{i}"]
+            b = (sxy - sx * sy / n) / (sxx - sx * sx / n)
+            a = (sy - b * sx) / n
+        coef_cols += [a.alias(f"a{i}"), b.alias(f"b{i}")]
+    coefs = sums.select(fold, *coef_cols)
+    scored = train.join(F.broadcast(coefs), fold)   # one row per fold: bounded
+    per = F.array(*[F.struct(F.lit(name).alias("model"),
+                             (yc - (F.col(f"a{i}") + F.col(f"b{i}") * xc)).alias("r"))
+                    for i, (name, xc, _) in enumerate(xs)])
+    e = scored.select(fold, F.explode(per).alias("e")).select(fold, "e.model", "e.r")
+    return e.groupBy("model", fold).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("r") * F.col("r")).alias("mse"),
+        F.avg(F.abs("r")).alias("mae"))
+
+
+def cv_baseline(train: DataFrame, y: str, fold: str, x: str | None = None) -> DataFrame:
+    """Out-of-fold error of one closed-form candidate (see :func:`cv_baselines`)."""
+    return cv_baselines(train, y, fold, [("m", x)]).drop("model")
 
 
 def leaderboard(cv_errors: DataFrame, model: str = "model", metric: str = "mse") -> DataFrame:

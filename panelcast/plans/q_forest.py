@@ -109,7 +109,7 @@ def root_level(spark: SparkSession, d: str):
     mx = mem.join(inp, "id")
     st = forest.node_stats(mx, P)
     cand = forest.candidates(st.filter(F.col("n") >= ROOT.minsplit).select("tree", "node"), P, ROOT)
-    var = forest.select_variable(st, cand)
+    var = forest.select_variable(st, P, ROOT)
     return inp, mem, mx, st, cand, var
 
 

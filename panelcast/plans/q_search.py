@@ -74,12 +74,7 @@ def q_cv_baseline_ols(spark, d):
 
 
 def cv_errors(spark, d):
-    tr = train_frame(spark, d)
-    out = None
-    for name, x in BASELINES:
-        e = search.cv_baseline(tr, S.target, "fold", x).select(F.lit(name).alias("model"), "*")
-        out = e if out is None else out.unionByName(e)
-    return out
+    return search.cv_baselines(train_frame(spark, d), S.target, "fold", BASELINES)
 
 
 @query("leaderboard", TRAIN_CTE + """, cv AS (

@@ -59,6 +59,8 @@ class ForestParams:
     seed: int = 160617
     # trees are grown in batches so one level's shuffle stays bounded
     tree_batch: int = 1000
-    # value blocks of the cut search (approximate quantiles per feature); 1 = one window per node
+    # value blocks of the cut search (approximate quantiles per feature); 1 = one window per node.
+    # Used when the input has more than block_min_rows rows (below that a node's values fit one task).
     blocks: int = 256
+    block_min_rows: int = 1_000_000
     extra: dict = field(default_factory=dict)

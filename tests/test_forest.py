@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import forest, importance, pdp
 from panelcast.spec import ForestParams
 
-P = ForestParams(ntree=3, mtry=2, minsplit=20, minbucket=7, seed=7)
+P = ForestParams(ntree=3, mtry=2, minsplit=20, minbucket=7, seed=7, block_min_rows=0, blocks=8)
 FEATS = ("a", "b", "c")
 
 
@@ -163,3 +163,15 @@ def test_importance_zero_for_unused_feature(fitted):
     for r in imp:
         if (r.tree, r.k) not in used:
             assert r.value == 0.0
+
+
+def test_constant_feature_has_no_association(spark):
+    rows = [(i, float(i % 7), [float(i % 5), 3.0, float(i)]) for i in range(40)]
+    inp = spark.createDataFrame(rows, "id long, y double, xs array<double>")
+    pairs = {(r.feature, r.other): r for r in importance.association_pairs(inp, FEATS, 0.80).collect()}
+    assert pairs[("b", "a")].stat == 0.0 and not pairs[("b", "a")].conditioned
+    assert pairs[("a", "c")].stat == pairs[("c", "a")].stat
+    st = forest.node_stats(inp.withColumn("tree", F.lit(0)).withColumn("node", F.lit(1)), 3).first()
+    c = spark.range(1).select(forest.association(F.lit(st.n), F.lit(st.sx[1]), F.lit(st.sxx[1]),
+                                                 F.lit(st.sy), F.lit(st.syy), F.lit(st.sxy[1]))).first()[0]
+    assert c == 0.0
