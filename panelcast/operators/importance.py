@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_1_quantile, round_half_away
 from ..session import cut_lineage
-from .forest import Forest, _tree_rows, hash32, route, subsample
+from .forest import Forest, _tree_rows, child, hash32, route, subsample
 
 
 def association_pairs(inp: DataFrame, features: Sequence[str], threshold: float = 0.80) -> DataFrame:
@@ -113,25 +113,65 @@ def _leaf_pred(f: Forest, state: DataFrame) -> DataFrame:
             .withColumn("pred", F.col("sy") / F.col("n")).drop("sy", "n", "node"))
 
 
+def subtree_masks(f: Forest) -> DataFrame:
+    """(tree, node, _mask): bit k set when feature k is split on at or below the node.
+    Every split contributes its feature bit to itself and its ancestors (node >> d);
+    one aggregate over splits x depth rows."""
+    anc = f.splits.select("tree", "node", "k", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("d"))
+    return (anc.select("tree", F.expr("shiftright(node, d)").alias("node"),
+                       F.expr("shiftleft(CAST(1 AS BIGINT), k)").alias("bit"))
+            .groupBy("tree", "node").agg(F.bit_or("bit").alias("_mask")))
+
+
+def _route_permuted(f: Forest, state: DataFrame, lineage_every: int = 8) -> DataFrame:
+    """Route (tree, k, id, xs, xk0, node, same) rows where x_k is already permuted in
+    ``xs`` and ``xk0`` is the original value.  A row still on its original path
+    (``same``) whose current subtree never splits on k must end in its original
+    leaf, so it is dropped here (it adds 0 to the importance); other rows
+    continue.  Returns the finished rows that left the original path."""
+    sp = cut_lineage(f.splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
+                     .join(subtree_masks(f), ["tree", "node"]), "perm-splits")
+    cur = state
+    for level in range(f.depth):
+        j = cur.join(sp, ["tree", "node"], "left")
+        k_below = F.col("_mask").bitwiseAND(F.expr("shiftleft(CAST(1 AS BIGINT), k)")) != 0
+        j = j.filter(~F.col("same") | F.coalesce(k_below, F.lit(False)))
+        split = F.col("_sk").isNotNull()
+        x = F.col("xs")[F.col("_sk")]
+        diverge = (F.col("_sk") == F.col("k")) & ((F.col("xk0") > F.col("_cut")) != (x > F.col("_cut")))
+        nxt = j.select(
+            "tree", "k", "id", "y", "xs", "xk0",
+            F.when(split, child(F.col("node"), x, F.col("_cut"))).otherwise(F.col("node")).alias("node"),
+            (F.col("same") & ~F.coalesce(diverge, F.lit(False))).alias("same"))
+        cur = cut_lineage(nxt, "perm-route") if (level + 1) % lineage_every == 0 else nxt
+    return cur.filter(~F.col("same"))
+
+
 def conditional_importance(f: Forest, inp: DataFrame, threshold: float = 0.80,
                            max_block: int = 100_000) -> DataFrame:
-    """(tree, k, value) for every tree and feature (0 when the tree does not use k)."""
+    """(tree, k, value) for every tree and feature (0 when the tree does not use k).
+
+    value = mean over the tree's out-of-bag rows of (permuted error - original
+    error); only rows whose permuted value leads them off their original path
+    can contribute, and only those are routed to the end."""
     p, seed = f.params, f.params.seed
     oob = subsample(inp, range(p.ntree), p, oob=True).join(inp, "id")
-    base = (_leaf_pred(f, oob.withColumn("node", F.lit(1).cast("bigint")))
-            .select("tree", "id", ((F.col("y") - F.col("pred")) ** 2).alias("e0")))
+    base = cut_lineage(_leaf_pred(f, oob.withColumn("node", F.lit(1).cast("bigint")))
+                       .select("tree", "id", ((F.col("y") - F.col("pred")) ** 2).alias("e0")), "perm-base")
+    n_oob = base.groupBy("tree").agg(F.count(F.lit(1)).alias("n_oob"))
     pairs = association_pairs(inp, f.features, threshold)
     sets = cut_lineage(conditioning_sets(f, pairs), "cond-sets")   # small; real size for the planner
     c = cells(oob, sets).withColumn("xk", F.col("xs")[F.col("k")])
     perm = permute_within(c, ["tree", "k", "cell"], "xk", "id", seed, max_block, "xk_perm")
-    swapped = perm.select(
-        "tree", "k", "id", "y",
-        F.transform("xs", lambda v, i: F.when(i == F.col("k"), F.col("xk_perm")).otherwise(v)).alias("xs"))
-    # route with the feature id kept in the row key
-    st = swapped.withColumn("node", F.lit(1).cast("bigint"))
-    e1 = (_leaf_pred(f, st).select("tree", "k", "id", ((F.col("y") - F.col("pred")) ** 2).alias("e1")))
-    per = (e1.join(base, ["tree", "id"]).groupBy("tree", "k")
-           .agg((F.avg("e1") - F.avg("e0")).alias("value")))
+    st = perm.filter(F.col("xk_perm") != F.col("xk")).select(
+        "tree", "k", "id", "y", F.col("xk").alias("xk0"),
+        F.transform("xs", lambda v, i: F.when(i == F.col("k"), F.col("xk_perm")).otherwise(v)).alias("xs"),
+        F.lit(1).cast("bigint").alias("node"), F.lit(True).alias("same"))
+    moved = (_route_permuted(f, st).join(f.leaves, ["tree", "node"])
+             .select("tree", "k", "id", ((F.col("y") - F.col("sy") / F.col("n")) ** 2).alias("e1")))
+    per = (moved.join(base, ["tree", "id"]).groupBy("tree", "k")
+           .agg(F.sum(F.col("e1") - F.col("e0")).alias("dsum"))
+           .join(n_oob, "tree").select("tree", "k", (F.col("dsum") / F.col("n_oob")).alias("value")))
     grid = _tree_rows(f.splits.sparkSession.range(len(f.features)).select(
         F.col("id").cast("int").alias("k")), range(p.ntree))
     return (grid.join(per, ["tree", "k"], "left")

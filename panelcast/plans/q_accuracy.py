@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accuracy, cohort, search
-from ..sources.panel import panel
+from ..sources.panel import panel_table as panel
 from ..spec import ANALOGUE as S
 from .oracle_sql import ols_scored_ctes
 from .registry import query

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import month_start, quarter_of, yearmonth
 from ..operators import accuracy, cohort
-from ..sources.panel import PANEL_SQL, panel
+from ..sources.panel import PANEL_SQL, panel, panel_table
 from ..spec import ANALOGUE as S
 from .oracle_sql import _in, cohort_ctes, forest_cohort_ctes, strict_win
 from .registry import query
@@ -19,7 +19,7 @@ _PCOLS = ", ".join(PANEL_COLS)
 
 @query("panel_monthly", f"WITH {PANEL_SQL} SELECT {_PCOLS} FROM panel", PANEL_DOUBLES)
 def q_panel_monthly(spark, d):
-    """PNL: line items rolled up to a unit x month panel."""
+    """PNL: line items rolled up to a unit x month panel (built from lineitem each run)."""
     return panel(spark, d).select(*PANEL_COLS)
 
 
@@ -31,7 +31,7 @@ SELECT unit, year, month,
 FROM panel""")
 def q_derive_time_columns(spark, d):
     """Yearmonth text, month-start date, quarter."""
-    return panel(spark, d).select(
+    return panel_table(spark, d).select(
         "unit", "year", "month", yearmonth("year", "month").alias("yearmonth"),
         month_start("year", "month").alias("date"), quarter_of("month").alias("quarter"))
 
@@ -40,21 +40,21 @@ def q_derive_time_columns(spark, d):
 SELECT unit, year, month, wyear, fold FROM cohort""")
 def q_fold_assignment(spark, d):
     """fold = water year - base, on the search cohort."""
-    return cohort.search_cohort(panel(spark, d), S).select("unit", "year", "month", "wyear", "fold")
+    return cohort.search_cohort(panel_table(spark, d), S).select("unit", "year", "month", "wyear", "fold")
 
 
 @query("filter_positive", f"WITH {PANEL_SQL} SELECT {_PCOLS} FROM panel WHERE target_a > 0",
        PANEL_DOUBLES)
 def q_filter_positive(spark, d):
     """rows with a positive target."""
-    return cohort.filter_positive(panel(spark, d), S).select(*PANEL_COLS)
+    return cohort.filter_positive(panel_table(spark, d), S).select(*PANEL_COLS)
 
 
 @query("group_filter_sum", f"""WITH {PANEL_SQL}
 SELECT {_PCOLS} FROM panel QUALIFY {strict_win('sum', 'target_a')} >= {S.sum_cut}""", PANEL_DOUBLES)
 def q_group_filter_sum(spark, d):
     """keep (unit, year) groups whose target sum reaches the cut."""
-    return cohort.filter_sum_at_least(panel(spark, d), S).select(*PANEL_COLS)
+    return cohort.filter_sum_at_least(panel_table(spark, d), S).select(*PANEL_COLS)
 
 
 @query("group_filter_mean_ge", f"""WITH {PANEL_SQL},
@@ -62,7 +62,7 @@ a AS (SELECT * FROM panel QUALIFY {strict_win('sum', 'target_a')} >= {S.sum_cut}
 SELECT {_PCOLS} FROM a QUALIFY {strict_win('avg', 'cover')} >= {S.cover_cut}""", PANEL_DOUBLES)
 def q_group_filter_mean_ge(spark, d):
     """F2 then F3: mean cover at or above the cut."""
-    p = cohort.filter_sum_at_least(panel(spark, d), S)
+    p = cohort.filter_sum_at_least(panel_table(spark, d), S)
     return cohort.filter_cover(p, S, forest=True).select(*PANEL_COLS)
 
 
@@ -71,7 +71,7 @@ a AS (SELECT * FROM panel QUALIFY {strict_win('sum', 'target_a')} >= {S.sum_cut}
 SELECT {_PCOLS} FROM a QUALIFY {strict_win('avg', 'cover')} < {S.cover_cut}""", PANEL_DOUBLES)
 def q_group_filter_mean_lt(spark, d):
     """F2 then F4: mean cover below the cut."""
-    p = cohort.filter_sum_at_least(panel(spark, d), S)
+    p = cohort.filter_sum_at_least(panel_table(spark, d), S)
     return cohort.filter_cover(p, S, forest=False).select(*PANEL_COLS)
 
 
@@ -81,7 +81,7 @@ SELECT unit, year, month, wyear, fold,
 FROM cohort WHERE wyear IS NOT NULL""")
 def q_temporal_split(spark, d):
     """train / test by water year on the search cohort."""
-    c = cohort.with_split(cohort.search_cohort(panel(spark, d), S), S)
+    c = cohort.with_split(cohort.search_cohort(panel_table(spark, d), S), S)
     return c.select("unit", "year", "month", "wyear", "fold", "split")
 
 
@@ -89,21 +89,21 @@ def q_temporal_split(spark, d):
 SELECT {_PCOLS} FROM fcohort""", PANEL_DOUBLES)
 def q_cohort_nondrought(spark, d):
     """F11 with F3 + F6 + F8: forest, non-drought years, units excluded."""
-    return cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False).select(*PANEL_COLS)
+    return cohort.forest_cohort(panel_table(spark, d), S, forest=True, drought=False).select(*PANEL_COLS)
 
 
 @query("cohort_drought", forest_cohort_ctes(forest=True, drought=True) + f"""
 SELECT {_PCOLS} FROM fcohort""", PANEL_DOUBLES)
 def q_cohort_drought(spark, d):
     """F11 with F3 + F7 + F8: forest, drought years."""
-    return cohort.forest_cohort(panel(spark, d), S, forest=True, drought=True).select(*PANEL_COLS)
+    return cohort.forest_cohort(panel_table(spark, d), S, forest=True, drought=True).select(*PANEL_COLS)
 
 
 @query("cohort_nonforest_drought", forest_cohort_ctes(forest=False, drought=True) + f"""
 SELECT {_PCOLS} FROM fcohort""", PANEL_DOUBLES)
 def q_cohort_nonforest_drought(spark, d):
     """F11 with F4 + F7 + F8: non-forest, drought years."""
-    return cohort.forest_cohort(panel(spark, d), S, forest=False, drought=True).select(*PANEL_COLS)
+    return cohort.forest_cohort(panel_table(spark, d), S, forest=False, drought=True).select(*PANEL_COLS)
 
 
 @query("exclude_units", f"""WITH {PANEL_SQL}
@@ -111,7 +111,7 @@ SELECT {_PCOLS} FROM panel WHERE NOT coalesce(unit IN {_in(S.excluded_units)}, f
        PANEL_DOUBLES)
 def q_exclude_units(spark, d):
     """F8: drop listed units (NULL ids kept)."""
-    return cohort.exclude_units(panel(spark, d), S).select(*PANEL_COLS)
+    return cohort.exclude_units(panel_table(spark, d), S).select(*PANEL_COLS)
 
 
 def _cohort_matrix_sql() -> str:
@@ -133,14 +133,14 @@ g AS (SELECT *, {strict_win('sum', 'target_a')} AS g_target_a,
 @query("cohort_matrix", _cohort_matrix_sql(), ("target_sum:2",))
 def q_cohort_matrix(spark, d):
     """F11 x 8: every cover side x year list x target in one job."""
-    return cohort.cohort_matrix(panel(spark, d), S, ["target_a", "target_b"])
+    return cohort.cohort_matrix(panel_table(spark, d), S, ["target_a", "target_b"])
 
 
 @query("unit_count", cohort_ctes() + """
 SELECT CAST(count(DISTINCT unit) AS BIGINT) AS n_units FROM cohort""")
 def q_unit_count(spark, d):
     """Exact count of distinct units in the search cohort."""
-    return accuracy.unit_count(cohort.search_cohort(panel(spark, d), S))
+    return accuracy.unit_count(cohort.search_cohort(panel_table(spark, d), S))
 
 
 @query("parse_iso_date", f"""WITH {PANEL_SQL}
@@ -152,6 +152,6 @@ def q_parse_iso_date(spark, d):
     """ISO text to date (text built from the panel's year and month)."""
     from ..functions.columns import parse_date
     txt = F.format_string("%d-%02d-01", F.col("year"), F.col("month"))
-    return panel(spark, d).select("unit", "year", "month", txt.alias("date_text"),
+    return panel_table(spark, d).select("unit", "year", "month", txt.alias("date_text"),
                                   parse_date(txt).alias("date"))
 

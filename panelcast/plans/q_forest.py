@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import chi2_1_quantile
 from ..operators import cohort, forest, importance, pdp, search, stats
 from ..sources import files
-from ..sources.panel import panel
+from ..sources.panel import panel_table as panel
 from ..session import scratch_path
 from ..spec import ANALOGUE as S
 from ..spec import ForestParams

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..sources.panel import panel
+from ..sources.panel import panel_table as panel
 from ..session import scratch_path
 from .q_accuracy import ERR_COLS, ERR_D, errors_of
 from .q_cohort import _PCOLS, PANEL_COLS, PANEL_DOUBLES

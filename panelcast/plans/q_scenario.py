@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, scenario, search
-from ..sources.panel import panel, read_table
+from ..sources.panel import panel_table as panel, read_table
 from ..spec import ANALOGUE as S
 from .oracle_sql import ols_scored_ctes
 from .q_accuracy import OLS_X

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accuracy, cohort, search
-from ..sources.panel import panel
+from ..sources.panel import panel_table as panel
 from ..spec import ANALOGUE as S
 from ..spec import SEARCH_FEATURES
 from .oracle_sql import cohort_ctes, ols_scored_ctes

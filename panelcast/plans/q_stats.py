@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import t_quantile, t_quantile_sql
 from ..operators import stats
-from ..sources.panel import PANEL_SQL, panel
+from ..sources.panel import PANEL_SQL, panel, panel_table
 from ..spec import FOREST_FEATURES as FEATS
 from .registry import query
 
 
 def matrix(spark, d):
-    return stats.per_tree_matrix(panel(spark, d), FEATS, "target_a")
+    return stats.per_tree_matrix(panel_table(spark, d), FEATS, "target_a")
 
 
 def _matrix_sql() -> str:
@@ -104,5 +104,5 @@ SELECT df, {t_quantile_sql(0.975, 'df')} AS q975, {t_quantile_sql(0.95, 'df')} A
        ("q975", "q95"))
 def q_t_quantile_grid(spark, d):
     """Student-t quantiles for every degrees-of-freedom value present in the data."""
-    dfs = panel(spark, d).select(F.col("lines").cast("bigint").alias("df")).distinct()
+    dfs = panel_table(spark, d).select(F.col("lines").cast("bigint").alias("df")).distinct()
     return dfs.select("df", t_quantile(0.975, "df").alias("q975"), t_quantile(0.95, "df").alias("q95"))

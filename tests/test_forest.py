@@ -175,3 +175,38 @@ def test_constant_feature_has_no_association(spark):
     c = spark.range(1).select(forest.association(F.lit(st.n), F.lit(st.sx[1]), F.lit(st.sxx[1]),
                                                  F.lit(st.sy), F.lit(st.syy), F.lit(st.sxy[1]))).first()[0]
     assert c == 0.0
+
+
+def test_pruned_importance_equals_full_routing(fitted, spark):
+    """Only rows that leave their original path are routed to the end; the result
+    must equal routing every permuted out-of-bag row."""
+    f, inp, rows, trees = fitted
+    got = {(r.tree, r.k): r.value for r in importance.conditional_importance(f, inp, 0.80).collect()}
+    p = f.params
+    oob = forest.subsample(inp, range(p.ntree), p, oob=True).join(inp, "id")
+    sets = importance.conditioning_sets(f, importance.association_pairs(inp, FEATS, 0.80))
+    c = importance.cells(oob, sets).withColumn("xk", F.col("xs")[F.col("k")])
+    perm = importance.permute_within(c, ["tree", "k", "cell"], "xk", "id", p.seed, 100_000, "xk_perm")
+    leaf = {(r.tree, r.node): r.sy / r.n for r in f.leaves.collect()}
+
+    def go(t, xs):
+        node = 1
+        sp = {(r.tree, r.node): (r.k, r.cut) for r in f.splits.collect()} if not hasattr(go, "sp") else go.sp
+        go.sp = sp
+        while (t, node) in sp:
+            k, cut = sp[(t, node)]
+            node = 2 * node + (1 if xs[k] > cut else 0)
+        return leaf[(t, node)]
+    n_oob = defaultdict(int)
+    for r in oob.collect():
+        n_oob[r.tree] += 1
+    want = defaultdict(float)
+    for r in perm.collect():
+        xs = list(r.xs)
+        e0 = (r.y - go(r.tree, xs)) ** 2
+        xs[r.k] = r.xk_perm
+        e1 = (r.y - go(r.tree, xs)) ** 2
+        want[(r.tree, r.k)] += (e1 - e0) / n_oob[r.tree]
+    for key, v in got.items():
+        assert v == pytest.approx(want.get(key, 0.0), abs=1e-9)
+    assert any(abs(v) > 0 for v in got.values())
