@@ -164,6 +164,46 @@ def t_quantile(p: float, df_expr: str) -> Column:
     return F.expr(t_quantile_sql(p, df_expr))
 
 
+def with_t_quantile(df: DataFrame, p: float, dof: str | Column, out: str) -> DataFrame:
+    """Add ``out`` = qt(p, dof) as staged projections.
+
+    Same arithmetic, in the same order, as :func:`t_quantile_sql` (so both engines
+    agree), but every shared subterm is computed once as a column instead of
+    being repeated inside one large expression."""
+    P = 2.0 * (1.0 - p)
+    x = _normal_quantile(0.5 * P)
+    xx = x * x
+    dd = _c(dof).cast("double")
+    # below 1 d.f. the quantile is NULL: null the input so no subterm divides by zero
+    t = df.withColumn("_tq_n", F.when(dd >= 1.0, dd))
+    n = F.col("_tq_n")
+    t = t.withColumn("_tq_a", F.lit(1.0) / (n - 0.5))
+    a = F.col("_tq_a")
+    t = t.withColumn("_tq_b", F.lit(48.0) / (a * a))
+    b = F.col("_tq_b")
+    t = t.withColumn("_tq_c", ((F.lit(20700.0) * a / b - 98.0) * a - 16.0) * a + 96.36)
+    c0 = F.col("_tq_c")
+    t = t.withColumn("_tq_d", ((F.lit(94.5) / (b + c0) - 3.0) / b + 1.0) * F.sqrt(a * (math.pi / 2)) * n)
+    d = F.col("_tq_d")
+    t = t.withColumn("_tq_y0", F.pow(d * P, F.lit(2.0) / n))
+    y0 = F.col("_tq_y0")
+    c1 = c0 + F.when(n < 5.0, F.lit(0.3) * (n - 4.5) * (x + 0.6)).otherwise(F.lit(0.0))
+    c2 = (((F.lit(0.05) * d * x - 5.0) * x - 7.0) * x - 2.0) * x + b + c1
+    y1 = ((((F.lit(0.4) * xx + 6.3) * xx + 36.0) * xx + 94.5) / c2 - xx - 3.0) / b + 1.0
+    t = t.withColumn("_tq_y1", y1 * x)
+    t = t.withColumn("_tq_y2", a * F.col("_tq_y1") * F.col("_tq_y1"))
+    y2 = F.col("_tq_y2")
+    tail = F.sqrt(n * F.when(y2 > 0.002, F.exp(y2) - 1.0).otherwise(F.lit(0.5) * y2 * y2 + y2))
+    centre = F.sqrt(n * (((F.lit(1.0) / (((n + 6.0) / (n * y0) - F.lit(0.089) * d - 0.822) * (n + 2.0) * 3.0)
+                           + F.lit(0.5) / (n + 4.0)) * y0 - 1.0) * (n + 1.0) / (n + 2.0) + F.lit(1.0) / y0))
+    df1 = 1.0 / math.tan(math.pi * (1.0 - p))
+    df2 = (2.0 / (P * (2.0 - P)) - 2.0) ** 0.5
+    q = (F.when(n.isNull() | (n < 1.0), F.lit(None).cast("double"))
+         .when(n == 1.0, F.lit(df1)).when(n == 2.0, F.lit(df2))
+         .when(y0 > F.lit(0.05) + a, tail).otherwise(centre))
+    return t.withColumn(out, q).drop("_tq_n", "_tq_a", "_tq_b", "_tq_c", "_tq_d", "_tq_y0", "_tq_y1", "_tq_y2")
+
+
 # --- chi-square(1) critical values -------------------------------------------
 
 def chi2_1_quantile(q: float) -> float:

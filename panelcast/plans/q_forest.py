@@ -236,7 +236,7 @@ def q_conditioning_cells(spark, d):
     inp = forest_rows(spark, d)
     pairs = importance.association_pairs(inp, FEATS, 0.80)
     oob = forest.subsample(inp, range(f.params.ntree), f.params, oob=True).join(inp, "id")
-    return importance.cells(oob, importance.conditioning_sets(f, pairs)).select("tree", "k", "id", "cell")
+    return importance.cells_fast(oob, f, pairs).select("tree", "k", "id", "cell")
 
 
 _IMP_MEMO: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import t_quantile, t_quantile_sql
+from ..functions.columns import t_quantile_sql, with_t_quantile
 from ..operators import stats
 from ..sources.panel import PANEL_SQL, panel, panel_table
 from ..spec import FOREST_FEATURES as FEATS
@@ -105,4 +105,4 @@ SELECT df, {t_quantile_sql(0.975, 'df')} AS q975, {t_quantile_sql(0.95, 'df')} A
 def q_t_quantile_grid(spark, d):
     """Student-t quantiles for every degrees-of-freedom value present in the data."""
     dfs = panel_table(spark, d).select(F.col("lines").cast("bigint").alias("df")).distinct()
-    return dfs.select("df", t_quantile(0.975, "df").alias("q975"), t_quantile(0.95, "df").alias("q95"))
+    return with_t_quantile(with_t_quantile(dfs, 0.975, "df", "q975"), 0.95, "df", "q95")

@@ -210,3 +210,20 @@ def test_pruned_importance_equals_full_routing(fitted, spark):
     for key, v in got.items():
         assert v == pytest.approx(want.get(key, 0.0), abs=1e-9)
     assert any(abs(v) > 0 for v in got.values())
+
+
+def test_fast_cells_equal_reference_cells(fitted):
+    f, inp, rows, trees = fitted
+    pairs = importance.association_pairs(inp, FEATS, 0.0)     # threshold 0: condition on everything
+    oob = forest.subsample(inp, range(P.ntree), P, oob=True).join(inp, "id")
+    ref = {(r.tree, r.k, r.id): r.cell for r in
+           importance.cells(oob, importance.conditioning_sets(f, pairs)).collect()}
+    got = {(r.tree, r.k, r.id): r.cell for r in importance.cells_fast(oob, f, pairs).collect()}
+    assert got == ref and any(v for v in got.values())
+
+
+def test_count_below_binary_search(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 5.0, 9.0], x) for x in (0.5, 1.0, 1.5, 5.0, 9.5)] +
+                               [([], 3.0)], "cuts array<double>, x double")
+    got = [r.idx for r in importance.with_count_below(df, "cuts", "x", "idx", 3).collect()]
+    assert got == [0, 0, 1, 2, 4, 0]

@@ -109,3 +109,12 @@ def test_chi2_thresholds():
     assert round(chi2_1_quantile(0.80), 6) == 1.642374
     assert round(chi2_1_quantile(0.90), 6) == 2.705543
     assert round(chi2_1_quantile(0.95), 6) == 3.841459
+
+
+def test_staged_t_quantile_equals_sql_form(spark):
+    from panelcast.functions.columns import with_t_quantile
+    df = spark.createDataFrame([(d,) for d in [0, 1, 2, 3, 4, 7, 30, 250]] + [(None,)], "df int")
+    for p in (0.975, 0.95):
+        a = {r.df: r.q for r in with_t_quantile(df, p, "df", "q").collect()}
+        b = {r.df: r.q for r in df.select("df", t_quantile(p, "df").alias("q")).collect()}
+        assert a == b
