@@ -286,17 +286,24 @@ def fit_forest(cohort: DataFrame, features: Sequence[str], target: str,
 def route(state: DataFrame, splits: DataFrame, depth: int, lineage_every: int = 8) -> DataFrame:
     """Send (tree, <row key>, node, xs) rows down their trees: one left join with
     the splits per level; a row whose node has no split has reached its leaf and
-    passes through unchanged.  The plan is one linear chain, written to shared
-    storage every ``lineage_every`` levels."""
-    cur = state
+    passes through unchanged.  Every ``lineage_every`` levels the rows are
+    written to shared storage and the finished ones are set aside, so only
+    active rows travel further and the plan stays a short linear chain."""
+    cur, done = state, []
     sp = splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
     for level in range(depth):
         nxt = (cur.join(sp, ["tree", "node"], "left")
-               .withColumn("node", F.when(F.col("_sk").isNull(), F.col("node")).otherwise(
+               .withColumn("_leaf", F.col("_sk").isNull())
+               .withColumn("node", F.when(F.col("_leaf"), F.col("node")).otherwise(
                    child(F.col("node"), F.col("xs")[F.col("_sk")], F.col("_cut"))))
                .drop("_sk", "_cut"))
-        cur = cut_lineage(nxt, "route") if (level + 1) % lineage_every == 0 else nxt
-    return cur
+        if (level + 1) % lineage_every == 0 and level + 1 < depth:
+            written = cut_lineage(nxt, "route")
+            done.append(written.filter(F.col("_leaf")).drop("_leaf"))
+            cur = written.filter(~F.col("_leaf")).drop("_leaf")
+        else:
+            cur = nxt.drop("_leaf")
+    return _union(done + [cur])
 
 
 def predict_forest(f: Forest, rows: DataFrame, key: str = "id") -> DataFrame:

@@ -227,3 +227,15 @@ def test_count_below_binary_search(spark):
                                [([], 3.0)], "cuts array<double>, x double")
     got = [r.idx for r in importance.with_count_below(df, "cuts", "x", "idx", 3).collect()]
     assert got == [0, 0, 1, 2, 4, 0]
+
+
+def test_lineage_cuts_do_not_change_results(fitted):
+    """Rows set aside at lineage cuts (every level here) give the same leaves."""
+    f, inp, rows, trees = fitted
+    state = forest._tree_rows(inp.select("id", "xs"), range(P.ntree)).withColumn("node", F.lit(1).cast("bigint"))
+    a = sorted((r.tree, r.id, r.node) for r in forest.route(state, f.splits, f.depth, 1).collect())
+    b = sorted((r.tree, r.id, r.node) for r in forest.route(state, f.splits, f.depth, 100).collect())
+    assert a == b and len(a) == P.ntree * len(rows)
+    pa = sorted((r.feature, r.v, round(r.pd, 9)) for r in pdp.partial_dependence(f, inp, [0], lineage_every=2).collect())
+    pb = sorted((r.feature, r.v, round(r.pd, 9)) for r in pdp.partial_dependence(f, inp, [0], lineage_every=100).collect())
+    assert pa == pb
