@@ -22,6 +22,7 @@ from ..spec import ANALOGUE as S
 from ..spec import ForestParams
 from .oracle_sql import forest_cohort_ctes
 from .registry import query
+from ..session import session_key
 
 FEATS = S.features
 P = len(FEATS)
@@ -184,7 +185,7 @@ _FOREST_MEMO: dict = {}
 
 def fitted(spark: SparkSession, d: str) -> forest.Forest:
     """Grow once per (session, data folder); the other forest queries reuse it."""
-    key = (id(spark), d)
+    key = (session_key(spark), d)
     if key not in _FOREST_MEMO:
         _FOREST_MEMO.clear()
         c = cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False)
@@ -243,7 +244,7 @@ _IMP_MEMO: dict = {}
 
 
 def perm_importance(spark, d) -> DataFrame:
-    key = (id(spark), d)
+    key = (session_key(spark), d)
     if key not in _IMP_MEMO:
         _IMP_MEMO.clear()
         f = fitted(spark, d)
@@ -322,7 +323,7 @@ _SMALL_MEMO: dict = {}
 
 
 def small_forest(spark: SparkSession, d: str, prm: ForestParams) -> forest.Forest:
-    key = (id(spark), d, prm.max_depth)
+    key = (session_key(spark), d, prm.max_depth)
     if key not in _SMALL_MEMO:
         c = cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False)
         _SMALL_MEMO[key] = forest.fit_forest(c, FEATS, S.target, prm)

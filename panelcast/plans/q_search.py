@@ -12,6 +12,7 @@ from ..spec import SEARCH_FEATURES
 from .oracle_sql import cohort_ctes, ols_scored_ctes
 from .q_accuracy import ols_scored
 from .registry import query
+from ..session import session_key
 
 BASELINES = (("mean", None), ("ols_lines", "lines"), ("ols_price", "price"), ("ols_tax", "tax"))
 
@@ -94,7 +95,7 @@ _SEARCH_MEMO: dict = {}
 
 def fitted_search(spark, d):
     """Fit the search once per (session, data folder); later queries reuse the leader."""
-    key = (id(spark), d)
+    key = (session_key(spark), d)
     if key not in _SEARCH_MEMO:
         _SEARCH_MEMO.clear()
         _SEARCH_MEMO[key] = search.model_search(train_frame(spark, d), S.target, SEARCH_FEATURES,

@@ -64,3 +64,9 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Key for per-session memos.  A restarted context has a new application id, so a
+    new session never picks up tables bound to a stopped one."""
+    return (spark.sparkContext.applicationId, id(spark))
