@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,9 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` is used as given; a folder of our own
-    is set only when the session has none (local tests).
+    The cluster's ``spark.checkpoint.dir`` is used as given.  A folder of our own is
+    set only where the session names none and everything runs in one JVM (tests);
+    on any other master a local folder would be seen by one machine only, so this raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set and the master is {sc.master}: "
+                "name a folder that the driver and all executors share")
         conf_dir = os.path.join(os.environ.get("TMPDIR", "/tmp"), "panelcast-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -66,6 +72,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table written by :func:`cut_lineage` once nothing reads it any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def session_key(spark: SparkSession) -> tuple:
     """Key for per-session memos.  A restarted context has a new application id, so a
     new session never picks up tables bound to a stopped one."""
