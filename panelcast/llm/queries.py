@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sql
+from . import license_scan, line_dedup, sql
 
 QUERIES = {
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
 ORACLE = {
+    "op4_license_scan": sql.OP4,
     "op5_line_dedup": sql.OP5,
 }

@@ -16,3 +16,41 @@ SELECT k.doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
 FROM k LEFT JOIN hot ON k.key = hot.key
 GROUP BY k.doc_id
 """
+
+
+def _op4() -> str:
+    from .license_scan import BASE, INDEX, MIN_VOTES, WORD
+
+    values = ", ".join(f"({t}, '{label}', {p}, '{w}', {k}, {r})" for t, label, p, w, k, r in INDEX)
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, i AS start, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM f) "
+        "WHERE " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+        for phrase, label in BASE.items())
+    low = LOW.format("coalesce(text, '')")
+    return rf"""
+WITH f AS (SELECT doc_id, regexp_extract_all({low}, '{WORD}') AS w FROM documents),
+t(tid, label, tpos, word, is_key, is_rare) AS (VALUES {values}),
+need AS (SELECT tid, least({MIN_VOTES}, count(*) FILTER (WHERE is_rare)) AS votes,
+         count(*) FILTER (WHERE is_key) AS n_key, count(*) AS n_all FROM t GROUP BY tid),
+h AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM f),
+placed AS (
+  SELECT doc_id, t.tid, t.label, pos - tpos AS start, count(*) AS m,
+         count(*) FILTER (WHERE is_key) AS k, count(*) FILTER (WHERE is_rare) AS votes
+  FROM h JOIN t ON h.word = t.word GROUP BY ALL),
+verified AS (
+  SELECT doc_id, label, m / n_all AS score FROM placed JOIN need ON placed.tid = need.tid
+  WHERE placed.k = need.n_key AND placed.votes >= need.votes),
+base AS ({base}),
+b AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi,
+      string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM
+      (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
+s AS (SELECT doc_id, max(score) AS score FROM verified GROUP BY doc_id)
+SELECT f.doc_id, len(w) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+       coalesce(s.score, CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM f LEFT JOIN b ON f.doc_id = b.doc_id LEFT JOIN a ON f.doc_id = a.doc_id LEFT JOIN s ON f.doc_id = s.doc_id
+"""
+
+
+OP4 = _op4()
