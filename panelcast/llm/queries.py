@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, sql
+from . import license_scan, line_dedup, minhash, sql
 
 QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLE = {
     "op4_license_scan": sql.OP4,
     "op5_line_dedup": sql.OP5,
+    "op10_minhash": sql.OP10,
 }

@@ -54,3 +54,23 @@ FROM f LEFT JOIN b ON f.doc_id = b.doc_id LEFT JOIN a ON f.doc_id = a.doc_id LEF
 
 
 OP4 = _op4()
+
+OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+      WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS seen FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.seen = u.a),
+c AS (SELECT doc_id, min(seen) AS c FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.c, n.doc_id) AS component_id,
+       coalesce(c.c, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN c ON n.doc_id = c.doc_id
+"""
