@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash, sql
+from . import decontaminate, license_scan, line_dedup, minhash, sql, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_minhash": minhash.op10_minhash,
 }
 
