@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash, sql, toxicity
+from . import decontaminate, license_scan, line_dedup, minhash, packing, sql, toxicity
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
