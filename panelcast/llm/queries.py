@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash, packing, sql, toxicity
+from . import chat, decontaminate, license_scan, line_dedup, minhash, packing, sql, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_minhash": minhash.op10_minhash,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE = {
     "op4_license_scan": sql.OP4,
     "op5_line_dedup": sql.OP5,
+    "op6_chat_format": sql.OP6,
     "op10_minhash": sql.OP10,
 }

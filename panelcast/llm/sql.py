@@ -74,3 +74,25 @@ SELECT n.doc_id, n.n AS n_shingles, coalesce(c.c, n.doc_id) AS component_id,
        coalesce(c.c, n.doc_id) = n.doc_id AS kept
 FROM n LEFT JOIN c ON n.doc_id = c.doc_id
 """
+
+_ANGLE = r"<(\\*)(\|turn\|>|\|say\|>|\|end\|>|/s>)"
+_SQUARE = r"\[(\\*)(INST\]|/INST\])"
+
+
+def _escaped(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{_ANGLE}', '<\\1\\\\\\2', 'g'), '{_SQUARE}', '[\\1\\\\\\2', 'g')"
+
+
+OP6 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|><|say|><|end|>') + 1 + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT
+         AS formatted_chars
+FROM c GROUP BY conv_id
+"""
