@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, license_scan, line_dedup, minhash, packing, sql, toxicity
+from . import chat, decontaminate, fingerprint, license_scan, line_dedup, minhash, packing, sql, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_minhash": minhash.op10_minhash,
 }
