@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, license_scan, line_dedup, minhash, packing, sql, toxicity
+from . import chat, decontaminate, fingerprint, langid, license_scan, line_dedup, minhash, packing, sql, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_language_id": langid.op9_language_id,
     "op10_minhash": minhash.op10_minhash,
 }
 
@@ -19,5 +20,6 @@ ORACLE = {
     "op4_license_scan": sql.OP4,
     "op5_line_dedup": sql.OP5,
     "op6_chat_format": sql.OP6,
+    "op9_language_id": langid.op9_language_id,
     "op10_minhash": sql.OP10,
 }
