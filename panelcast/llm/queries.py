@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, langid, license_scan, line_dedup, minhash, packing, sql, toxicity
+from . import chat, decontaminate, extract, fingerprint, langid, license_scan, line_dedup, minhash, packing, sql, toxicity
 
 QUERIES = {
+    "op1_html": extract.op1_html,
     "op3_packing": packing.op3_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_license_scan": license_scan.op4_license_scan,
