@@ -5,15 +5,16 @@
    and the low ``BITS`` bits of every minimum, packed into longs.
 2. Texts with the same set are one *class*, whose representative is the smallest id; only
    representatives go on, so copies are never expanded into pairs.
-3. *Band candidates*: a bucket's members are paired with its smallest and its largest member.
-   A pair goes on if the b-bit estimate, corrected for chance collisions and taken with a
+3. *Band candidates*: in the buckets of the first bands every member is paired with the smallest
+   one, then in all buckets the members that are not yet in the smallest one's component with
+   the smallest and the largest.  A pair goes on if the b-bit estimate, corrected for chance collisions and taken with a
    margin of more than five standard deviations, can reach the threshold; it is a link when the full
-   sets say so.  Connected components follow.
+   sets say so.  Connected components follow each time.
 4. *The rest*: in a bucket that still has several components, members outside the component of
    its smallest member meet the members of other components, by a join whose condition is
    the b-bit estimate, so only pairs that may be links are ever emitted; they are confirmed
    on the full sets too.  Links inside a component could change nothing.  This makes
-   the result that of all pairs in a bucket, at the cost of a star for a group of near copies.
+   the result that of all pairs in a bucket, at the cost of stars for a group of near copies.
 
 With 32 bands of 5 rows a pair of similarity 0.85 shares no bucket with probability 7e-9.
 
@@ -42,6 +43,10 @@ BANDS, ROWS, BITS = 32, 5, 4
 SEED = 20240613
 #: Standard deviations that an estimate may lie below the threshold before a candidate is dropped.
 SIGMAS = 5.5
+#: Bands whose buckets are joined by stars first.
+FIRST_BANDS = 4
+#: Ids that may go to the scan of the texts as a broadcast: some 50 MB.
+FEW_IDS = 1_000_000
 
 
 def factors(n: int, seed: int = SEED) -> np.ndarray:
@@ -171,10 +176,16 @@ def _confirm(percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on full sets; ``texts``: (id, text), one row an id."""
+    """The pairs (a, b) that are links on full sets; ``texts``: (id, text), one row an id.
+
+    Only the texts that the pairs name are shuffled: their ids go to the scan as a broadcast while there
+    are ``FEW_IDS`` at most, and by a shuffled semi-join beyond that.
+    """
     kind = dict(texts.dtypes)["id"]
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    some = texts.join(ids, "id", "left_semi")
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(),
+                      "pair-ids")
+    few = ids.count() <= FEW_IDS
+    some = cut_lineage(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "pair-texts")
     full = (pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
             .join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
     return full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
@@ -191,7 +202,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = (table.where("n_shingles > 0")
             .join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
             .dropDuplicates(["digest", "id"]))
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = (entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
             .where(F.col("lo") < F.col("hi")))
     crowded = cut_lineage(entries.join(hubs, "bucket"), "buckets")
@@ -204,21 +215,32 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return (pairs.join(left, "a").join(right, "b")
                 .where(may_link(F.col("sig_a"), F.col("sig_b"), n_hashes, bits, threshold)).select("a", "b").distinct())
 
-    star = (crowded.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(confirm(cut_lineage(pairs, "pairs"), texts, percent), "links")
+
+    def members(found: DataFrame) -> DataFrame:
+        """The buckets' members with their components, and the component of the smallest (main)."""
+        main = found.select(F.col("id").alias("lo"), F.col("component").alias("main"))
+        return (crowded.join(found, "id", "left").join(main, "lo", "left")
+                .withColumn("component", F.coalesce("component", "id")).withColumn("main", F.coalesce("main", "lo")))
+
+    # a star in each bucket of a few bands: it joins most of a large group
+    first = crowded.where((F.col("band") < FIRST_BANDS) & (F.col("lo") < F.col("id")))
+    links = linked(tested(first.select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()))
+    found = cut_lineage(components(links), "components")
+    # stars in all buckets, of what isn't joined yet
+    outside = members(found).where("component <> main")
+    star = (outside.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
                                              F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
             .select("p.*").where("a < b").distinct())
-    links = cut_lineage(confirm(cut_lineage(tested(star), "star-pairs"), texts, percent), "links")
+    links = links.unionAll(linked(tested(star)))
     found = cut_lineage(components(links), "components")
-    # the rest: members outside the component of the bucket's smallest member
-    named = found.select("id", "component")
-    inner = (crowded.where("id > lo AND id < hi").select("bucket").distinct())
-    member = cut_lineage(
-        crowded.join(inner, "bucket", "left_semi").join(named, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-        .join(named.select(F.col("id").alias("lo"), F.col("component").alias("main")), "lo", "left")
-        .withColumn("main", F.coalesce("main", "lo")).select("id", "bucket", "component", "main"), "members")
-    split = member.where("component <> main")
-    pool = member.join(split.select("bucket").distinct(), "bucket", "left_semi").join(sigs, "id")
+    # the rest of a bucket's pairs: members outside the main component with those of other components
+    inner = crowded.where("id > lo AND id < hi").select("bucket").distinct()
+    member = cut_lineage(members(found).join(inner, "bucket", "left_semi")
+                         .select("id", "bucket", "component", "main"), "members")
+    split = member.where("component <> main").select("bucket").distinct()
+    pool = member.join(split, "bucket", "left_semi").join(sigs, "id")
     x = pool.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"),
                                                F.col("sig").alias("sig_a"))
     y = pool.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("main").alias("mb"),
@@ -227,9 +249,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = (x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & once
                    & may_link(F.col("sig_a"), F.col("sig_b"), n_hashes, bits, threshold))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = cut_lineage(confirm(cut_lineage(more, "rest-pairs"), texts, percent), "links")
-    if not more.isEmpty():
-        found = cut_lineage(components(links.unionAll(more)), "components")
+    found = cut_lineage(components(links.unionAll(linked(more))), "components")
     rep = (classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
            .select("digest", F.coalesce("component", "rep").alias("component")))
     return (table.select("id", "n_shingles", "digest").join(rep, "digest", "left")
