@@ -16,7 +16,8 @@
    on the full sets too.  Links inside a component could change nothing.  This makes
    the result that of all pairs in a bucket, at the cost of stars for a group of near copies.
 
-With 32 bands of 5 rows a pair of similarity 0.85 shares no bucket with probability 7e-9.
+With 32 bands of 5 rows a pair of similarity 0.85 shares no bucket with probability 7e-9, one of
+0.8 with probability 3e-6.
 
 Defined results: a null or empty text, or one without words, has an empty set and stays alone;
 fewer words than five are one shingle; each row comes back, and rows that share an id and a
@@ -109,9 +110,10 @@ def _sketches(n_hashes: int, rows: int, bits: int):
                 sizes, digests, bands, packed = sketch_block(
                     data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], a, rows, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(digests, pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "digest", "bands", "sig"])
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes),
+                     pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                     pa.array(packed, pa.list_(pa.int64()))],
+                    names=["id", "text_hash", "n_shingles", "digest", "bands", "sig"])
     return run
 
 
@@ -119,9 +121,9 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
            bits: int = BITS) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(
+    return docs.select(F.col(id_col).alias("id"), text_col, F.xxhash64(text_col)).mapInArrow(
         _sketches(bands * rows, rows, bits),
-        f"id {kind}, n_shingles long, digest binary, bands array<long>, sig array<long>")
+        f"id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>, sig array<long>")
 
 
 def unequal_bits(x: Column, y: Column, n_words: int, bits: int) -> Column:
@@ -191,9 +193,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """(id, n_shingles, component) of every row; links: 100 * intersection >= percent * union."""
+    """(id, text_hash, n_shingles, component) of every row; links: 100 * intersection >= percent * union."""
     n_hashes, threshold = bands * rows, percent / 100
     table = cut_lineage(sketch(docs, id_col, text_col, bands, rows, bits), "sketch")
     # one class for each set of shingles; copies end here
@@ -252,12 +254,31 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = cut_lineage(components(links.unionAll(linked(more))), "components")
     rep = (classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
            .select("digest", F.coalesce("component", "rep").alias("component")))
-    return (table.select("id", "n_shingles", "digest").join(rep, "digest", "left")
-            .select("id", "n_shingles",
+    return (table.select("id", "text_hash", "n_shingles", "digest").join(rep, "digest", "left")
+            .select("id", "text_hash", "n_shingles",
                     F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component"))
                     .otherwise(F.col("id")).alias("component")))
 
 
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one with the smallest id.
+
+    Of rows that repeat an id and a text one stays, if the text has words.
+    """
+    found = cut_lineage(near_components(docs, id_col=id_col, text_col=text_col, percent=percent), "near-components")
+    th = F.xxhash64(docs[text_col])
+    gone = found.where("id <> component").select("id", "text_hash").distinct()
+    kept = docs.join(gone, (docs[id_col] == gone["id"]) & (th == gone["text_hash"]), "left_anti")
+    again = (found.where("id = component AND n_shingles > 0").groupBy("id", "text_hash").count().where("count > 1")
+             .select("id", "text_hash"))
+    if again.isEmpty():
+        return kept
+    th = F.xxhash64(kept[text_col])
+    same = (kept[id_col] == again["id"]) & (th == again["text_hash"])
+    return kept.join(again, same, "left_anti").unionAll(
+        kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each document's shingle set, its component of linked documents, and whether it stays."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
