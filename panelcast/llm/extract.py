@@ -65,13 +65,13 @@ def page_nodes(page: str) -> Iterator[tuple[int, int, int]]:
         for n in at.above():
             if id(n) in texts:
                 texts[id(n)].append(text)
-    by_path: dict[str, tuple[list[str], list[str]]] = {}
+    by_path: dict[int, tuple[list[str], list[str]]] = {}
     for n in judged:
         style, content = by_path.setdefault(n.path, ([], []))
         style.append(",".join(n.children))
         content += texts[id(n)]
     for path, (style, content) in by_path.items():
-        yield digest(path), digest("|".join(style)), digest("\n".join(content))
+        yield path, digest("|".join(style)), digest("\n".join(content))
 
 
 def main_text(page: str, importance: Callable[[int], float]) -> str:
@@ -80,12 +80,18 @@ def main_text(page: str, importance: Callable[[int], float]) -> str:
     scores: dict[int, float] = {}
 
     def score(n: Node) -> float:
-        if id(n) not in scores:
-            own = 1.0
-            if n.tag in CONTAINER or named_role(n):
-                own = importance(digest(n.path)) * (ROLE_WEIGHT if named_role(n) else 1)
-            scores[id(n)] = min(own, score(n.parent)) if n.parent else own
-        return scores[id(n)]
+        """The least importance on the way down to an element."""
+        way, x = [], n
+        while x and id(x) not in scores:
+            way.append(x)
+            x = x.parent
+        least = scores[id(x)] if x else 1.0
+        for x in reversed(way):
+            role = named_role(x)
+            if role or x.tag in CONTAINER:
+                least = min(least, importance(x.path) * (ROLE_WEIGHT if role else 1))
+            scores[id(x)] = least
+        return least
 
     def in_role(n: Node) -> bool:
         return any(named_role(x) for x in n.above())

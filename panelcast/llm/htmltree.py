@@ -34,14 +34,19 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little",
+                          signed=True)
+
+
 class Node:
-    """An element: its tag, step (tag, classes and id without digits), and the steps above it."""
+    """An element: its tag, its step (tag, classes and id without digits), and a hash of the steps to it."""
 
     __slots__ = ("tag", "step", "path", "parent", "children", "blocks", "names")
 
     def __init__(self, tag: str, names: tuple[str, ...], step: str, parent: Node | None) -> None:
         self.tag, self.names, self.step, self.parent = tag, names, step, parent
-        self.path = (parent.path if parent else "") + "/" + step
+        self.path: int = digest(f"{parent.path if parent else 0}/{step}")
         self.children: list[str] = []
         self.blocks: list[int] = []
 
@@ -129,8 +134,3 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         nodes.append(here)
     flush()
     return nodes, blocks
-
-
-def digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little",
-                          signed=True)
