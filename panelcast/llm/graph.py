@@ -29,25 +29,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     stars, path = _write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                          .distinct(), "edges")
-    while True:
+    seen = _print(stars)
+    while seen[0]:
         # large star: neighbours above a node go to its smallest neighbour (or itself)
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (both.join(low, "a").where(F.col("b") > F.col("a"))
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        large, large_path = _write(large, "large-star")
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a")
                  .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
-        new, new_path = _write(small, "small-star")
-        changed = _print(new) != _print(stars)
-        drop_path(stars.sparkSession, large_path)
+        new, new_path = _write(small, "stars")
         drop_path(stars.sparkSession, path)
-        stars, path = new, new_path
-        if not changed:
+        stars, path, before, seen = new, new_path, seen, _print(new)
+        if seen == before:
             break
     found = stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found.unionAll(found.select(F.col("component").alias("id"), "component").distinct())

@@ -6,15 +6,15 @@
 2. Texts with the same set are one *class*, whose representative is the smallest id; only
    representatives go on, so copies are never expanded into pairs.
 3. *Band candidates*: in the buckets of the first bands every member is paired with the smallest
-   one, then in all buckets the members that are not yet in the smallest one's component with
-   the smallest and the largest.  A pair goes on if the b-bit estimate, corrected for chance collisions and taken with a
-   margin of more than five standard deviations, can reach the threshold; it is a link when the full
-   sets say so.  Connected components follow each time.
-4. *The rest*: in a bucket that still has several components, members outside the component of
-   its smallest member meet the members of other components, by a join whose condition is
-   the b-bit estimate, so only pairs that may be links are ever emitted; they are confirmed
-   on the full sets too.  Links inside a component could change nothing.  This makes
-   the result that of all pairs in a bucket, at the cost of stars for a group of near copies.
+   and the largest one.  A pair goes on if the b-bit estimate, corrected for chance collisions and
+   taken with a margin of more than five standard deviations, can reach the threshold; it is a link when the
+   full sets say so.  Connected components follow.
+4. *The rest*: a bucket of any band may still have several components.  In one of ``SMALL``
+   members at most, members outside the component of its smallest member meet those of other
+   components, by a join whose condition is the estimate.  The members of larger ones take an exact
+   prefix filter on their rarest shingles (:func:`rare_pairs`).  Both give every pair that
+   may be a link, and no others are emitted; full sets decide again.  Links inside a component
+   could change nothing, so the result is that of all pairs in all buckets.
 
 With 32 bands of 5 rows a pair of similarity 0.85 shares no bucket with probability 7e-9, one of
 0.8 with probability 3e-6.
@@ -33,11 +33,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .graph import components
+from .graph import cut_components
 from .storage import cut_lineage, read_table, small_batches
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -46,6 +46,8 @@ SEED = 20240613
 SIGMAS = 5.5
 #: Bands whose buckets are joined by stars first.
 FIRST_BANDS = 4
+#: Members of a bucket whose pairs are all compared by their estimates; larger buckets take the prefix filter.
+SMALL = 16
 #: Ids that may go to the scan of the texts as a broadcast: some 50 MB.
 FEW_IDS = 1_000_000
 
@@ -177,22 +179,62 @@ def _confirm(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on full sets; ``texts``: (id, text), one row an id.
+def _texts_of(ids: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """The texts of ``n`` ids at most: the ids go to the scan as a broadcast while there are ``FEW_IDS`` at
+    most, and by a shuffled semi-join beyond that, so all texts are never shuffled for a few."""
+    return cut_lineage(texts.join(F.broadcast(ids) if n <= FEW_IDS else ids, "id", "left_semi"), "some-texts")
 
-    Only the texts that the pairs name are shuffled: their ids go to the scan as a broadcast while there
-    are ``FEW_IDS`` at most, and by a shuffled semi-join beyond that.
-    """
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on full sets; ``texts``: (id, text)."""
     kind = dict(texts.dtypes)["id"]
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(),
-                      "pair-ids")
-    few = ids.count() <= FEW_IDS
-    some = cut_lineage(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "pair-texts")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    some = _texts_of(ids, 2 * pairs.count(), texts)
     full = (pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
             .join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
     return full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component, text) to one row a shingle: (id, component, n, token)."""
+    for batch in batches:
+        data, bounds = textscan.text_buffer(batch.column(2))
+        for i, j in textscan.blocks(bounds, 1 << 18):
+            sets = _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+            size = np.array([len(s) for s in sets])
+            at = pa.array(np.repeat(np.arange(i, j), size))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, size), pa.int64()),
+                 pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "n", "token"])
+
+
+def rare_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that may be links; ``members``: (id, component), each id once.
+
+    An exact prefix filter.  Two sets of x and y shingles that are links share ``least`` of them; with all
+    shingles in one order, rarest first, the first one that they share has so many after it on either side
+    that they still can.  A group's members mostly differ by shingles of their own, which come first and pair
+    with nothing, so a crowded bucket doesn't give the square of its size.
+    """
+    kind = dict(members.dtypes)["id"]
+    some = _texts_of(members.select("id"), members.count(), texts)
+    tokens = cut_lineage(members.join(some, "id").select("id", "component", "text").mapInArrow(
+        _tokens, f"id {kind}, component {kind}, n long, token long"), "tokens")
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "token")  # as many rows as the text has shingles
+    first = (tokens.join(df, "token").withColumn("place", F.row_number().over(order))
+             .where(F.col("df") > 1)
+             .where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+             .select("id", "component", "n", "token", "place"))
+    x, y = (first.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place")))
+            for s in ("a", "b"))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    may = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
+    return (x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b"))
+                   & (F.col("component_a") != F.col("component_b")) & may)
+            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """(id, text_hash, n_shingles, component) of every row; links: 100 * intersection >= percent * union."""
@@ -226,32 +268,35 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return (crowded.join(found, "id", "left").join(main, "lo", "left")
                 .withColumn("component", F.coalesce("component", "id")).withColumn("main", F.coalesce("main", "lo")))
 
-    # a star in each bucket of a few bands: it joins most of a large group
-    first = crowded.where((F.col("band") < FIRST_BANDS) & (F.col("lo") < F.col("id")))
-    links = linked(tested(first.select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()))
-    found = cut_lineage(components(links), "components")
-    # stars in all buckets, of what isn't joined yet
-    outside = members(found).where("component <> main")
-    star = (outside.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
-                                             F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
+    # stars in the buckets of a few bands: they join most of a large group
+    first = crowded.where(F.col("band") < FIRST_BANDS)
+    star = (first.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
+                                           F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
             .select("p.*").where("a < b").distinct())
-    links = links.unionAll(linked(tested(star)))
-    found = cut_lineage(components(links), "components")
-    # the rest of a bucket's pairs: members outside the main component with those of other components
-    inner = crowded.where("id > lo AND id < hi").select("bucket").distinct()
-    member = cut_lineage(members(found).join(inner, "bucket", "left_semi")
-                         .select("id", "bucket", "component", "main"), "members")
+    links = linked(tested(star))
+    found = cut_components(links)
+    # the rest: buckets that still have several components
+    inner = (crowded.where(f"band >= {FIRST_BANDS} OR (id > lo AND id < hi)").groupBy("bucket")
+             .agg(F.count(F.lit(1)).alias("size")))
+    member = cut_lineage(members(found).join(inner, "bucket").select("id", "bucket", "component", "main", "size"),
+                         "members")
     split = member.where("component <> main").select("bucket").distinct()
-    pool = member.join(split, "bucket", "left_semi").join(sigs, "id")
-    x = pool.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"),
-                                               F.col("sig").alias("sig_a"))
-    y = pool.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("main").alias("mb"),
-                    F.col("sig").alias("sig_b"))
+    pool = member.join(split, "bucket", "left_semi")
+    small = pool.where(F.col("size") <= SMALL).join(sigs, "id")
+    x = small.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"),
+                                                F.col("sig").alias("sig_a"))
+    y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("main").alias("mb"),
+                     F.col("sig").alias("sig_b"))
     once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))  # both outside: one order of the two
     more = (x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & once
                    & may_link(F.col("sig_a"), F.col("sig_b"), n_hashes, bits, threshold))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = cut_lineage(components(links.unionAll(linked(more))), "components")
+    large = cut_lineage(pool.where(F.col("size") > SMALL).select("id", "component").distinct(), "crowd")
+    if not large.isEmpty():
+        more = more.unionAll(tested(rare_pairs(large, texts, percent))).distinct()
+    more = linked(more)
+    if not more.isEmpty():
+        found = cut_components(links.unionAll(more))
     rep = (classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
            .select("digest", F.coalesce("component", "rep").alias("component")))
     return (table.select("id", "text_hash", "n_shingles", "digest").join(rep, "digest", "left")
