@@ -61,11 +61,15 @@ def zero_to_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 # --- rounding -----------------------------------------------------------------
 
 def round_half_away(col: str | Column, digits: int = 6) -> Column:
-    """Round half away from zero on the binary value, as DuckDB's ``round`` does."""
+    """Round half away from zero on the binary value, as DuckDB's ``round`` does.
+
+    From 2^52 scaled units on a double has no fraction left, so the value is its own
+    rounding (``floor`` would overflow a BIGINT there)."""
     c = _c(col)
     scale = float(10 ** digits)
-    return F.when(c.isNull() | F.isnan(c), c).otherwise(
-        F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale)
+    scaled = F.abs(c) * scale
+    return F.when(c.isNull() | F.isnan(c) | (scaled >= 2.0 ** 52), c).otherwise(
+        F.signum(c) * F.floor(scaled + 0.5) / scale)
 
 
 def round_doubles(df: DataFrame, digits: int = 6, per_column: dict | None = None) -> DataFrame:

@@ -56,8 +56,9 @@ def regression_metrics(scored: DataFrame, actual: str, pred: str = "pred",
     """MSE, RMSE, MAE, R2, mean residual deviance on test and ``*_train`` on train, one row.
 
     One pass over the scored frame: each metric is a conditional aggregate, so
-    test and train share the scan.  R2 = 1 - SSE/SST; the Gaussian deviance
-    equals the MSE.
+    test and train share the scan.  All metrics are over the rows that have an actual value and
+    a prediction.  R2 = 1 - MSE / variance (NULL where the actuals don't vary); the built-in
+    variance doesn't cancel.  The Gaussian deviance equals the MSE.
     """
     return scored.agg(*_metric_exprs(actual, pred, split))
 
@@ -87,11 +88,10 @@ def _metric_exprs(actual: str, pred: str, split: str):
     for tag, sfx in (("test", ""), ("train", "_train")):
         on = F.col(split) == tag
         r = F.when(on, F.col(actual) - F.col(pred))
-        y = F.when(on, F.col(actual))
+        y = F.when(r.isNotNull(), F.col(actual))     # the same rows in both sums
         mse = F.avg(r * r)
-        sst = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
         out += [mse.alias(f"MSE{sfx}"), F.sqrt(mse).alias(f"RMSE{sfx}"),
                 F.avg(F.abs(r)).alias(f"MAE{sfx}"),
-                (F.lit(1.0) - F.sum(r * r) / sst).alias(f"R2{sfx}"),
+                F.when(F.var_pop(y) > 0, F.lit(1.0) - mse / F.var_pop(y)).alias(f"R2{sfx}"),
                 mse.alias(f"Mean_Residual_Deviance{sfx}")]
     return out

@@ -5,13 +5,14 @@ feature x with the target y in a node reduces to the quadratic form
 ``c = (n - 1) * corr(x, y)^2`` (one degree of freedom: ordering by p-value is
 ordering by c), and the statistic of the cut ``x <= v`` is
 
-    c(v) = (n - 1) (n S_L - n_L S)^2 / (n_L n_R (n Syy - S^2))
+    c(v) = (n - 1) S_L^2 / (n_L n_R var(y))
 
-from cumulative counts and sums (Hothorn, Hornik & Zeileis 2006).  A tree
+from cumulative counts and sums S_L of y less its node mean (Hothorn, Hornik & Zeileis 2006).  A tree
 level is therefore a handful of aggregates:
 
-* node moments: one wide aggregate per (tree, node) -- n, sums of y, y^2 and,
-  per feature, x, x^2, x*y (no row is replicated per feature);
+* node moments: one wide aggregate per (tree, node) -- n, sum of y and, per feature, the
+  count, variances and covariance of the pairs without NULL (no row is replicated per
+  feature; the built-in variances merge stably, so large offsets don't cancel);
 * candidate features (``mtry``) drawn per node from a seeded hash;
 * the best cut of the selected feature: counts and sums per distinct value,
   then cumulative sums in value order;
@@ -25,6 +26,10 @@ tree holds all its rows, so every key includes the tree id.
 Rows are identified by ``id``; features travel as one array column ``xs``.
 Membership of a row in a tree's subsample is a pure function of
 (seed, tree, id), so the out-of-bag rows are recomputed, never stored.
+
+NULL: a row without a target is not learned from.  A NULL feature takes no part in its
+association, its cut candidates and their counts; a row whose split value is NULL goes
+left, in growth and in routing alike.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ from ..functions.columns import round_half_away
 from ..session import cut_lineage
 from ..spec import ForestParams
 
+MAX_LEVELS = 61   # node ids are binary paths in a BIGINT; growth raises beyond, it never just stops
 ROUND = 6   # statistics are compared at 6 decimals so both engines pick the same argmax
 
 
@@ -60,8 +66,9 @@ def forest_input(cohort: DataFrame, features: Sequence[str], target: str,
     """(id, y, xs): row id, target and the feature array."""
     from ..sources.panel import row_id
     rid = id_col if id_col is not None else row_id()
-    return cohort.select(rid.alias("id"), F.col(target).cast("double").alias("y"),
-                         F.array(*[F.col(c).cast("double") for c in features]).alias("xs"))
+    return cohort.where(F.col(target).isNotNull()).select(
+        rid.alias("id"), F.col(target).cast("double").alias("y"),
+        F.array(*[F.col(c).cast("double") for c in features]).alias("xs"))
 
 
 # --- M8a: subsample -----------------------------------------------------------
@@ -104,41 +111,43 @@ def candidates(nodes: DataFrame, n_features: int, p: ForestParams) -> DataFrame:
 # --- node moments -----------------------------------------------------------------
 
 def node_stats(m: DataFrame, n_features: int) -> DataFrame:
-    """Per (tree, node): n, sy, syy and arrays sx, sxx, sxy over features, one aggregate."""
+    """Per (tree, node): n, sy and, per feature over the rows where it isn't NULL, arrays nk (rows),
+    my and vy (mean and variance of y), vx and cxy -- one aggregate."""
     y = F.col("y")
     xk = [F.col("xs")[k] for k in range(n_features)]
+    with_x = [F.when(x.isNotNull(), y) for x in xk]
     return m.groupBy("tree", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        F.array(*[F.sum(x) for x in xk]).alias("sx"),
-        F.array(*[F.sum(x * x) for x in xk]).alias("sxx"),
-        F.array(*[F.sum(x * y) for x in xk]).alias("sxy"))
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"),
+        F.array(*[F.count(x) for x in xk]).alias("nk"),
+        F.array(*[F.avg(v) for v in with_x]).alias("my"),
+        F.array(*[F.var_pop(v) for v in with_x]).alias("vy"),
+        F.array(*[F.var_pop(x) for x in xk]).alias("vx"),
+        F.array(*[F.covar_pop(x, y) for x in xk]).alias("cxy"))
 
 
-def association(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column) -> Column:
-    """c = (n - 1) corr(x, y)^2 from moments; 0 when either side is constant."""
-    n = n.cast("double")
-    num = n * sxy - sx * sy
-    den = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.when(den > 0, (n - 1) * num * num / den).otherwise(F.lit(0.0))
+def association(n: Column, vx: Column, vy: Column, cxy: Column) -> Column:
+    """c = (n - 1) corr(x, y)^2 from variances and covariance; 0 when either side is constant."""
+    return F.when((vx > 0) & (vy > 0), (n.cast("double") - 1) * (cxy / vx) * (cxy / vy)).otherwise(F.lit(0.0))
 
 
 # --- M8c: split variable --------------------------------------------------------------
 
 def select_variable(stats: DataFrame, n_features: int, p: ForestParams) -> DataFrame:
-    """(tree, node, k, stat): among the node's candidates the feature with the largest
-    association (ties: lowest k), for nodes with at least ``minsplit`` rows.  Nodes
-    whose best association is 0 are not split.
+    """(tree, node, k, stat, n, my, vy): among the node's candidates the feature with the largest
+    association (ties: lowest k), for nodes with at least ``minsplit`` rows; n, my and vy
+    are of the rows where that feature isn't NULL.  Nodes whose best association is 0 are not split.
 
     One projection over the node-moment row: candidates, their statistics and
     the arg-max are array expressions, so this step adds no shuffle."""
     def stat_of(e):
         k = e["k"]
-        c = association(F.col("n"), F.col("sx")[k], F.col("sxx")[k], F.col("sy"), F.col("syy"),
-                        F.col("sxy")[k])
+        c = association(F.col("nk")[k], F.col("vx")[k], F.col("vy")[k], F.col("cxy")[k])
         return F.struct(round_half_away(c, ROUND).alias("stat"), (-k).alias("nk"))
     best = F.array_max(F.transform(_candidate_array(n_features, p), stat_of))
+    k = -best["nk"]
     return (stats.filter(F.col("n") >= p.minsplit)
-            .select("tree", "node", (-best["nk"]).alias("k"), best["stat"].alias("stat"))
+            .select("tree", "node", k.alias("k"), best["stat"].alias("stat"), F.col("nk")[k].alias("n"),
+                    F.col("my")[k].alias("my"), F.col("vy")[k].alias("vy"))
             .filter(F.col("stat") > 0))
 
 
@@ -154,52 +163,43 @@ def value_blocks(inp: DataFrame, n_features: int, blocks: int = 256) -> list[lis
     return [sorted(set(row[f"b{k}"] or [])) for k in range(n_features)]
 
 
-def best_cut(m: DataFrame, stats: DataFrame, var: DataFrame, minbucket: int,
-             bounds: list[list[float]] | None = None) -> DataFrame:
+def best_cut(m: DataFrame, var: DataFrame, minbucket: int, bounds: list[list[float]]) -> DataFrame:
     """(tree, node, k, cut, cut_stat): the cut x <= v of the selected feature with the
     largest two-sample statistic, both sides >= minbucket (ties: smallest v).
 
-    Rows are first reduced to (count, sum y) per distinct value, so a value
-    repeated by a third of all rows is one row here.  The cumulative sums over
-    a node's values are taken in two levels when ``bounds`` is given: totals per
-    value block (at most one block per boundary), an exclusive prefix over the
-    blocks, then a running sum inside each block -- no window holds more than
-    one block of one node."""
+    Rows are first reduced to (count, sum of y less the node's mean) per distinct value, so a
+    value repeated by a third of all rows is one row here.  The cumulative sums over
+    a node's values are taken in two levels: totals per value block (at most one block
+    per boundary), an exclusive prefix over the blocks, then a running sum inside each block,
+    so no window holds more than one block of one node.  The best cut is a map-side maximum."""
     x = F.col("xs")[F.col("k")]
-    dv = (m.join(var.select("tree", "node", "k"), ["tree", "node"])
-          .groupBy("tree", "node", "k", x.alias("x"))
-          .agg(F.count(F.lit(1)).alias("cnt"), F.sum("y").alias("s")))
-    if bounds:
-        b = F.array(*[F.array(*[F.lit(float(v)) for v in bk]).cast("array<double>") for bk in bounds])
-        dv = dv.withColumn("blk", F.size(F.filter(b[F.col("k")], lambda v: v < F.col("x"))))
-        tot = dv.groupBy("tree", "node", "blk").agg(F.sum("cnt").alias("bn"), F.sum("s").alias("bs"))
-        wb = Window.partitionBy("tree", "node").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-        pre = tot.select("tree", "node", "blk", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("pn"),
-                         F.coalesce(F.sum("bs").over(wb), F.lit(0.0)).alias("ps"))
-        w = Window.partitionBy("tree", "node", "blk").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        cum = (dv.select("tree", "node", "k", "blk", "x", F.sum("cnt").over(w).alias("nl0"),
-                         F.sum("s").over(w).alias("sl0"))
-               .join(pre, ["tree", "node", "blk"])
-               .select("tree", "node", "k", "x", (F.col("nl0") + F.col("pn")).alias("nl"),
-                       (F.col("sl0") + F.col("ps")).alias("sl")))
-    else:
-        w = Window.partitionBy("tree", "node").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        cum = dv.select("tree", "node", "k", "x", F.sum("cnt").over(w).alias("nl"),
-                        F.sum("s").over(w).alias("sl"))
-    j = cum.join(stats.select("tree", "node", "n", "sy", "syy"), ["tree", "node"])
+    dv = (m.join(var.select("tree", "node", "k", "n", "my", "vy"), ["tree", "node"]).filter(x.isNotNull())
+          .groupBy("tree", "node", "k", "n", "vy", x.alias("x"))
+          .agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col("y") - F.col("my")).alias("s")))
+    b = F.array(*[F.array(*[F.lit(float(v)) for v in bk]).cast("array<double>") for bk in bounds])
+    dv = dv.withColumn("blk", F.size(F.filter(b[F.col("k")], lambda v: v < F.col("x"))))
+    tot = dv.groupBy("tree", "node", "blk").agg(F.sum("cnt").alias("bn"), F.sum("s").alias("bs"))
+    wb = Window.partitionBy("tree", "node").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    pre = tot.select("tree", "node", "blk", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("pn"),
+                     F.coalesce(F.sum("bs").over(wb), F.lit(0.0)).alias("ps"))
+    w = Window.partitionBy("tree", "node", "blk").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (dv.select("tree", "node", "k", "n", "vy", "blk", "x", F.sum("cnt").over(w).alias("nl0"),
+                     F.sum("s").over(w).alias("sl0"))
+           .join(pre, ["tree", "node", "blk"])
+           .select("tree", "node", "k", "n", "vy", "x", (F.col("nl0") + F.col("pn")).alias("nl"),
+                   (F.col("sl0") + F.col("ps")).alias("sl")))
     n, nl = F.col("n").cast("double"), F.col("nl").cast("double")
-    nr = n - nl
-    num = n * F.col("sl") - nl * F.col("sy")
-    den = nl * nr * (n * F.col("syy") - F.col("sy") * F.col("sy"))
-    c = F.when(den > 0, (n - 1) * num * num / den)
-    j = (j.filter((F.col("nl") >= minbucket) & (F.col("n") - F.col("nl") >= minbucket))
-         .select("tree", "node", "k", F.col("x").alias("cut"), round_half_away(c, ROUND).alias("cut_stat"))
-         .filter(F.col("cut_stat").isNotNull()))
-    wb = Window.partitionBy("tree", "node").orderBy(F.col("cut_stat").desc(), "cut")
-    return j.withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") == 1).drop("_r")
+    sides = nl * (n - nl)
+    c = F.when((sides > 0) & (F.col("vy") > 0), (n - 1) * F.col("sl") * F.col("sl") / (sides * F.col("vy")))
+    best = F.max(F.struct(F.col("cut_stat"), (-F.col("x")).alias("nx"))).alias("b")
+    return (cum.filter((F.col("nl") >= minbucket) & (F.col("n") - F.col("nl") >= minbucket))
+            .withColumn("cut_stat", round_half_away(c, ROUND)).filter(F.col("cut_stat").isNotNull())
+            .groupBy("tree", "node", "k").agg(best)
+            .select("tree", "node", "k", (F.lit(0.0) - F.col("b.nx")).alias("cut"), F.col("b.cut_stat").alias("cut_stat")))
 
 
 def child(node: Column, x: Column, cut: Column) -> Column:
+    """The child that a row goes to; a NULL value goes left."""
     return node * 2 + F.when(x > cut, 1).otherwise(0)
 
 
@@ -219,7 +219,7 @@ class Forest:
 
 
 def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int,
-               bounds: list[list[float]] | None = None):
+               bounds: list[list[float]]):
     """One level: returns (splits, leaves, next membership) for the active nodes in ``m``.
 
     Only the splits are written here; the leaves stay a lazy plan over this
@@ -227,7 +227,7 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
     mx = m.join(inp, "id")
     stats = node_stats(mx, n_features)
     var = select_variable(stats, n_features, p)
-    cuts = best_cut(mx, stats, var, p.minbucket, bounds)
+    cuts = best_cut(mx, var, p.minbucket, bounds)
     splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "splits")
     leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
     nxt = (mx.join(splits, ["tree", "node"])
@@ -240,8 +240,7 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
     # written once: every level's plan then starts from a plain scan (short to analyse,
     # real size statistics, and nothing to recompute if an executor is lost)
     inp = cut_lineage(inp, "forest-input")
-    big = p.blocks > 1 and inp.count() > p.block_min_rows
-    bounds = value_blocks(inp, n_features, p.blocks) if big else None
+    bounds = value_blocks(inp, n_features, p.blocks)
     all_splits, all_leaves, deepest = [], [], 0
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
@@ -255,7 +254,9 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
             all_splits.append(splits)
             deepest = max(deepest, depth + 1)
             m = cut_lineage(nxt, "members")
-        if m is not None:   # max depth reached: the remaining nodes are leaves
+        if m is not None and p.max_depth >= MAX_LEVELS:
+            raise ValueError(f"a tree is deeper than {MAX_LEVELS} levels: node ids end there")
+        if m is not None:   # the depth limit that was asked for: the remaining nodes are leaves
             all_leaves.append(m.join(inp, "id").groupBy("tree", "node").agg(
                 F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
     leaves = cut_lineage(_union(all_leaves), "leaves")

@@ -11,9 +11,9 @@ For a tree t and a feature j used by t:
 * importance(t, j) = MSE(permuted) - MSE(original) over t's out-of-bag rows.
 A feature that t never splits on scores 0.
 
-Permutation groups can be as large as a tree's whole out-of-bag sample, so
-each cell is split into blocks of at most ``max_block`` rows by a seeded hash
-before ranking; a cell below that size is permuted exactly.
+Permutation groups can be as large as a tree's whole out-of-bag sample, so ranks within a
+group are taken in two levels over blocks of a seeded hash; the result is the same full
+permutation whatever the number of blocks.
 """
 
 from __future__ import annotations
@@ -26,35 +26,33 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_1_quantile, round_half_away
 from ..session import cut_lineage
-from .forest import Forest, _tree_rows, child, hash32, route, subsample
+from .forest import Forest, _tree_rows, association, child, hash32, route, subsample
 
 
 def association_pairs(inp: DataFrame, features: Sequence[str], threshold: float = 0.80) -> DataFrame:
-    """(feature, other, stat, conditioned) for every ordered pair, from one aggregate.
+    """(feature, other, stat, conditioned) for every ordered pair, from one aggregate
+    over the rows where neither feature is NULL.
 
     stat = (n - 1) corr(x_j, x_k)^2; conditioned = stat > chi-square(1) quantile
     of ``threshold`` (0.80 -> 1.642374, 0.90 -> 2.705543, 0.95 -> 3.841459)."""
     p = len(features)
     x = [F.col("xs")[i] for i in range(p)]
     pairs = [(i, k) for i in range(p) for k in range(i + 1, p)]
-    m = inp.agg(F.count(F.lit(1)).alias("n"),
-                F.array(*[F.sum(x[i]) for i in range(p)]).alias("s"),
-                F.array(*[F.sum(x[i] * x[i]) for i in range(p)]).alias("q"),
-                F.array(*[F.sum(x[i] * x[k]) for i, k in pairs]).alias("c"))
+
+    def both(i, k, e):
+        return F.when(x[i].isNotNull() & x[k].isNotNull(), e)
+    m = inp.agg(F.array(*[F.struct(F.count(both(i, k, F.lit(1))).alias("n"), F.var_pop(both(i, k, x[i])).alias("va"),
+                                   F.var_pop(both(i, k, x[k])).alias("vb"), F.covar_pop(x[i], x[k]).alias("c"))
+                          for i, k in pairs]).alias("m"))
     crit = chi2_1_quantile(threshold)
-    # one row per ordered pair: (k, z, index of the unordered pair's cross moment)
+    # one row per ordered pair: (k, z, index of the unordered pair's moments)
     idx = {pr: t for t, pr in enumerate(pairs)}
     lit_pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(features[i]).alias("feature"),
                                    F.lit(k).alias("z"), F.lit(features[k]).alias("other"),
                                    F.lit(idx[(min(i, k), max(i, k))]).alias("t"))
                           for i in range(p) for k in range(p) if i != k])
-    e = m.select("n", "s", "q", "c", F.explode(lit_pairs).alias("pr")).select("n", "s", "q", "c", "pr.*")
-    n = F.col("n").cast("double")
-    sa, sb = F.col("s")[F.col("k")], F.col("s")[F.col("z")]
-    qa, qb = F.col("q")[F.col("k")], F.col("q")[F.col("z")]
-    num = n * F.col("c")[F.col("t")] - sa * sb
-    den = (n * qa - sa * sa) * (n * qb - sb * sb)
-    stat = F.when(den > 0, (n - 1) * num * num / den).otherwise(F.lit(0.0))
+    e = m.select("m", F.explode(lit_pairs).alias("pr")).select("m", "pr.*").withColumn("v", F.col("m")[F.col("t")])
+    stat = association(F.col("v.n"), F.col("v.va"), F.col("v.vb"), F.col("v.c"))
     out = e.select("k", "feature", "z", "other", round_half_away(stat, 6).alias("stat"))
     return out.withColumn("conditioned", F.col("stat") > F.lit(crit))
 
@@ -123,28 +121,42 @@ def cells_fast(rows: DataFrame, f: Forest, pairs: DataFrame) -> DataFrame:
             .withColumn("cell", F.coalesce("cell", F.lit(""))))
 
 
+def _rank(df: DataFrame, keys: Sequence[str], h, tie: str, out: str, bits: int) -> DataFrame:
+    """``out``: the row's place in its group (``keys``, NULL-safe) by the 32-bit hash ``h`` and ``tie``.
+
+    The top ``bits`` of the hash are blocks in order: counts before the block plus the place in the
+    block.  A window holds one block of a group, or one group's at most 2^bits block counts."""
+    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - bits))
+    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_pb"),
+                           F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_b") == F.col("_pb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", tie))
+    return (d.withColumn("_p", place).join(prefix, same)
+            .withColumn(out, F.col("_before") + F.col("_p"))
+            .drop("_h", "_b", "_p", "_pb", "_before", *[f"_k{i}" for i in range(len(keys))]))
+
+
 def permute_within(df: DataFrame, keys: Sequence[str], col: str, order: str, seed: int,
-                   max_block: int = 100_000, out: str | None = None) -> DataFrame:
-    """Seeded permutation of ``col`` within groups ``keys``.
-
-    Rows are ranked by ``order`` and by a seeded hash; row r takes the value of
-    the row whose hash rank equals r's order rank.  Groups above ``max_block``
-    rows are first split into ceil(size / max_block) blocks by hash, so no
-    window ever holds more than about ``max_block`` rows (a group of a third of
-    all rows is permuted by many tasks)."""
+                   bits: int = 6, out: str | None = None) -> DataFrame:
+    """Seeded permutation of ``col`` within groups ``keys`` (NULL is a group like any other).
+
+    Rows are ranked by two independent seeded hashes of (keys, ``order``); a row takes the value of
+    the row whose second rank equals its first.  One rule for every group size: 2^``bits`` blocks
+    only say how the ranks are computed."""
     out = out or f"{col}_perm"
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sz"))
-    d = df.join(sizes, keys).withColumn(
-        "_blk", F.pmod(hash32(seed, "b", *[F.col(k) for k in keys], F.col(order)),
-                       F.ceil(F.col("_sz") / F.lit(float(max_block)))))
-    part = keys + ["_blk"]
-    h = hash32(seed, "p", *[F.col(k) for k in keys], F.col(order))
-    r_by_order = F.row_number().over(Window.partitionBy(*part).orderBy(order))
-    r_by_hash = F.row_number().over(Window.partitionBy(*part).orderBy(h, order))
-    a = d.withColumn("_r", r_by_order)
-    b = d.select(*part, F.col(col).alias(out), r_by_hash.alias("_r"))
-    return a.join(b, part + ["_r"]).drop("_r", "_blk", "_sz")
+    parts = [*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col(order)]
+    a = _rank(df, keys, hash32(seed, "o", *parts), order, "_r", bits)
+    b = _rank(df.select(*keys, order, F.col(col).alias(out)), keys, hash32(seed, "p", *parts), order, "_q", bits)
+    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_q"), out)
+    same = F.col("_r") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return a.join(b, same).drop("_r", "_q", *[f"_k{i}" for i in range(len(keys))])
 
 
 def _leaf_pred(f: Forest, state: DataFrame) -> DataFrame:
@@ -152,14 +164,13 @@ def _leaf_pred(f: Forest, state: DataFrame) -> DataFrame:
             .withColumn("pred", F.col("sy") / F.col("n")).drop("sy", "n", "node"))
 
 
-def subtree_masks(f: Forest) -> DataFrame:
-    """(tree, node, _mask): bit k set when feature k is split on at or below the node.
-    Every split contributes its feature bit to itself and its ancestors (node >> d);
-    one aggregate over splits x depth rows."""
+def subtree_features(f: Forest) -> DataFrame:
+    """(tree, node, _below): the features split on at or below the node.  Every split names its
+    feature to itself and its ancestors (node >> d); one aggregate over splits x depth rows, an
+    array of as many entries as there are features at most."""
     anc = f.splits.select("tree", "node", "k", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("d"))
-    return (anc.select("tree", F.expr("shiftright(node, d)").alias("node"),
-                       F.expr("shiftleft(CAST(1 AS BIGINT), k)").alias("bit"))
-            .groupBy("tree", "node").agg(F.bit_or("bit").alias("_mask")))
+    return (anc.select("tree", F.expr("shiftright(node, d)").alias("node"), "k")
+            .groupBy("tree", "node").agg(F.collect_set("k").alias("_below")))
 
 
 def _route_permuted(f: Forest, state: DataFrame, lineage_every: int = 8) -> DataFrame:
@@ -169,15 +180,17 @@ def _route_permuted(f: Forest, state: DataFrame, lineage_every: int = 8) -> Data
     leaf, so it is dropped here (it adds 0 to the importance); other rows
     continue.  Returns the finished rows that left the original path."""
     sp = cut_lineage(f.splits.select("tree", "node", F.col("k").alias("_sk"), F.col("cut").alias("_cut"))
-                     .join(subtree_masks(f), ["tree", "node"]), "perm-splits")
+                     .join(subtree_features(f), ["tree", "node"]), "perm-splits")
     cur = state
     for level in range(f.depth):
         j = cur.join(sp, ["tree", "node"], "left")
-        k_below = F.col("_mask").bitwiseAND(F.expr("shiftleft(CAST(1 AS BIGINT), k)")) != 0
+        k_below = F.array_contains(F.col("_below"), F.col("k"))
         j = j.filter(~F.col("same") | F.coalesce(k_below, F.lit(False)))
         split = F.col("_sk").isNotNull()
         x = F.col("xs")[F.col("_sk")]
-        diverge = (F.col("_sk") == F.col("k")) & ((F.col("xk0") > F.col("_cut")) != (x > F.col("_cut")))
+        def right(v):
+            return F.coalesce(v > F.col("_cut"), F.lit(False))     # a NULL value goes left
+        diverge = (F.col("_sk") == F.col("k")) & (right(F.col("xk0")) != right(x))
         nxt = j.select(
             "tree", "k", "id", "y", "xs", "xk0",
             F.when(split, child(F.col("node"), x, F.col("_cut"))).otherwise(F.col("node")).alias("node"),
@@ -186,8 +199,7 @@ def _route_permuted(f: Forest, state: DataFrame, lineage_every: int = 8) -> Data
     return cur.filter(~F.col("same"))
 
 
-def conditional_importance(f: Forest, inp: DataFrame, threshold: float = 0.80,
-                           max_block: int = 100_000) -> DataFrame:
+def conditional_importance(f: Forest, inp: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(tree, k, value) for every tree and feature (0 when the tree does not use k).
 
     value = mean over the tree's out-of-bag rows of (permuted error - original
@@ -200,8 +212,8 @@ def conditional_importance(f: Forest, inp: DataFrame, threshold: float = 0.80,
     n_oob = base.groupBy("tree").agg(F.count(F.lit(1)).alias("n_oob"))
     pairs = association_pairs(inp, f.features, threshold)
     c = cells_fast(oob, f, pairs).withColumn("xk", F.col("xs")[F.col("k")])
-    perm = permute_within(c, ["tree", "k", "cell"], "xk", "id", seed, max_block, "xk_perm")
-    st = perm.filter(F.col("xk_perm") != F.col("xk")).select(
+    perm = permute_within(c, ["tree", "k", "cell"], "xk", "id", seed, out="xk_perm")
+    st = perm.filter(~F.col("xk_perm").eqNullSafe(F.col("xk"))).select(
         "tree", "k", "id", "y", F.col("xk").alias("xk0"),
         F.transform("xs", lambda v, i: F.when(i == F.col("k"), F.col("xk_perm")).otherwise(v)).alias("xs"),
         F.lit(1).cast("bigint").alias("node"), F.lit(True).alias("same"))

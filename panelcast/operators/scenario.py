@@ -58,11 +58,14 @@ def prepare(scen: DataFrame) -> DataFrame:
     return scen.withColumn("date", parse_date("date")).withColumn("quarter", quarter_of("month"))
 
 
-def check_unique(df: DataFrame, key: str) -> None:
-    """Fail when ``key`` repeats (a repeated lookup key would multiply rows)."""
-    dup = df.groupBy(key).count().filter(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"lookup key {key!r} is not unique")
+def unique_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row a key; a repeated key (it would multiply rows) raises when the query runs.
+    One aggregate over the small list, no job while the plan is built."""
+    rest = [c for c in df.columns if c != key]
+    text = F.concat(F.lit(f"lookup key {key} is not unique: "), F.col(key).cast("string"))
+    one = df.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("_n"))
+    return one.select(F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(text).cast(dict(df.dtypes)[key]))
+                      .alias(key), *rest)
 
 
 def restrict_to_units(scen: DataFrame, units: DataFrame, key: str = "unit",
@@ -73,7 +76,7 @@ def restrict_to_units(scen: DataFrame, units: DataFrame, key: str = "unit",
     when its size estimate allows and falls back to a shuffle join otherwise.
     """
     if check:
-        check_unique(units, key)
+        units = unique_rows(units, key)
     rest = [c for c in scen.columns if c != key]
     extra = [c for c in units.columns if c != key]
     return scen.join(units, key, "inner").select(key, *rest, *extra)

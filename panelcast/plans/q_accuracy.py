@@ -100,8 +100,7 @@ def _metrics_sql() -> str:
         y = f"CASE WHEN split = '{tag}' THEN target_a END"
         mse = f"avg(({r}) * ({r}))"
         cols += [f"{mse} AS MSE{sfx}", f"sqrt({mse}) AS RMSE{sfx}", f"avg(abs({r})) AS MAE{sfx}",
-                 f"1.0 - sum(({r}) * ({r})) / (sum(({y}) * ({y})) - sum({y}) * sum({y}) / count({y}))"
-                 f" AS R2{sfx}",
+                 f"1.0 - sum(({r}) * ({r})) / regr_sxx({y}, {y}) AS R2{sfx}",
                  f"{mse} AS Mean_Residual_Deviance{sfx}"]
     return ols_scored_ctes() + "\nSELECT " + ",\n       ".join(cols) + "\nFROM scored"
 

@@ -52,36 +52,39 @@ def _level_sql(L: int, prm: ForestParams = ROOT) -> str:
     """One tree level in SQL over membership ``mem{L}`` (tree, id, node): node moments,
     candidates, split variable, best cut and the next membership ``mem{L+1}``."""
     return f""",
-st{L} AS (SELECT m.tree, m.node, CAST(count(*) AS BIGINT) AS n, sum(y) AS sy, sum(y * y) AS syy,
-              {", ".join(f"sum(x{i}) AS sx{i}, sum(x{i} * x{i}) AS sxx{i}, sum(x{i} * y) AS sxy{i}" for i in range(P))}
+st{L} AS (SELECT m.tree, m.node, CAST(count(*) AS BIGINT) AS n,
+              {", ".join(f"regr_count(y, x{i}) AS n{i}, regr_r2(y, x{i}) AS r{i}" for i in range(P))}
        FROM mem{L} m JOIN rows r ON m.id = r.id GROUP BY m.tree, m.node),
-stl{L} AS ({" UNION ALL ".join(f"SELECT tree, node, n, sy, syy, {i} AS k, sx{i} AS sx, sxx{i} AS sxx, sxy{i} AS sxy FROM st{L}" for i in range(P))}),
+stl{L} AS ({" UNION ALL ".join(f"SELECT tree, node, {i} AS k, n{i} AS nk, r{i} AS r2 FROM st{L}" for i in range(P))}),
+cn{L} AS (SELECT m.tree, m.node, {", ".join(f"max(x{i}) > min(x{i}) AS v{i}" for i in range(P))}, max(y) > min(y) AS vy
+       FROM mem{L} m JOIN rows r ON m.id = r.id GROUP BY m.tree, m.node),
+cnl{L} AS ({" UNION ALL ".join(f"SELECT tree, node, {i} AS k, v{i} AND vy AS varies FROM cn{L}" for i in range(P))}),
 cand{L} AS (SELECT tree, node, k FROM (
            SELECT t.tree, t.node, CAST(kk.k AS INTEGER) AS k,
                   row_number() OVER (PARTITION BY t.tree, t.node
                                      ORDER BY {_h(str(prm.seed), "'c'", 't.tree', 't.node', 'kk.k')}, kk.k) AS rn
            FROM (SELECT tree, node FROM st{L} WHERE n >= {prm.minsplit}) t, range(0, {P}) kk(k))
          WHERE rn <= {prm.mtry}),
-cstat{L} AS (SELECT c.tree, c.node, c.k,
-                 round(CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
-                       THEN (n - 1) * (n * sxy - sx * sy) * (n * sxy - sx * sy)
-                            / ((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0.0 END, 6) AS stat
-          FROM cand{L} c JOIN stl{L} s ON c.tree = s.tree AND c.node = s.node AND c.k = s.k),
+cstat{L} AS (SELECT c.tree, c.node, c.k, round(CASE WHEN v.varies THEN (s.nk - 1) * s.r2 ELSE 0.0 END, 6) AS stat
+          FROM cand{L} c JOIN stl{L} s ON c.tree = s.tree AND c.node = s.node AND c.k = s.k
+               JOIN cnl{L} v ON c.tree = v.tree AND c.node = v.node AND c.k = v.k),
 var{L} AS (SELECT tree, node, k, stat FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY stat DESC, k) AS rn FROM cstat{L})
         WHERE rn = 1 AND stat > 0),
-dv{L} AS (SELECT v.tree, v.node, v.k, {_xk('v.k')} AS x, count(*) AS cnt, sum(r.y) AS s
-       FROM var{L} v JOIN mem{L} m ON v.tree = m.tree AND v.node = m.node JOIN rows r ON m.id = r.id
-       GROUP BY 1, 2, 3, 4),
+nv{L} AS (SELECT v.tree, v.node, v.k, m.id, {_xk('v.k')} AS x, r.y
+       FROM var{L} v JOIN mem{L} m ON v.tree = m.tree AND v.node = m.node JOIN rows r ON m.id = r.id),
+ns{L} AS (SELECT tree, node, count(*) AS n, avg(y) AS my, var_pop(y) AS vy FROM nv{L} WHERE x IS NOT NULL GROUP BY 1, 2),
+dv{L} AS (SELECT v.tree, v.node, v.k, v.x, count(*) AS cnt, sum(v.y - s.my) AS s
+       FROM nv{L} v JOIN ns{L} s ON v.tree = s.tree AND v.node = s.node
+       WHERE x IS NOT NULL GROUP BY 1, 2, 3, 4),
 cum{L} AS (SELECT tree, node, k, x,
                sum(cnt) OVER (PARTITION BY tree, node ORDER BY x ROWS UNBOUNDED PRECEDING) AS nl,
                sum(s) OVER (PARTITION BY tree, node ORDER BY x ROWS UNBOUNDED PRECEDING) AS sl
         FROM dv{L}),
 cs2{L} AS (SELECT c.tree, c.node, c.k, c.x AS cut,
-                  round(CASE WHEN c.nl * (st.n - c.nl) * (st.n * st.syy - st.sy * st.sy) > 0 THEN
-                    (st.n - 1) * (st.n * c.sl - c.nl * st.sy) * (st.n * c.sl - c.nl * st.sy)
-                    / (CAST(c.nl AS DOUBLE) * (st.n - c.nl) * (st.n * st.syy - st.sy * st.sy)) END, 6) AS cut_stat
-           FROM cum{L} c JOIN st{L} st ON c.tree = st.tree AND c.node = st.node
+                  round(CASE WHEN c.nl * (st.n - c.nl) > 0 AND st.vy > 0 THEN
+                    (st.n - 1) * c.sl * c.sl / (CAST(c.nl AS DOUBLE) * (st.n - c.nl) * st.vy) END, 6) AS cut_stat
+           FROM cum{L} c JOIN ns{L} st ON c.tree = st.tree AND c.node = st.node
            WHERE c.nl >= {prm.minbucket} AND st.n - c.nl >= {prm.minbucket}),
 cut{L} AS (SELECT tree, node, k, cut, cut_stat FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY cut_stat DESC, cut) AS rn
@@ -130,14 +133,14 @@ def q_node_candidates(spark, d):
 @query("select_variable", _rows_sql() + "\nSELECT tree, node, k, stat FROM var", ("stat",))
 def q_select_variable(spark, d):
     """Split variable of each root = the candidate with the largest association."""
-    return root_level(spark, d)[5]
+    return root_level(spark, d)[5].select("tree", "node", "k", "stat")
 
 
 @query("best_cut", _rows_sql() + "\nSELECT tree, node, k, cut, cut_stat FROM cut", ("cut", "cut_stat"))
 def q_best_cut(spark, d):
     """M8d: best cut of the selected variable at each root, both sides >= minbucket."""
     inp, mem, mx, st, cand, var = root_level(spark, d)
-    return forest.best_cut(mx, st, var, ROOT.minbucket, forest.value_blocks(inp, P, ROOT.blocks))
+    return forest.best_cut(mx, var, ROOT.minbucket, forest.value_blocks(inp, P, ROOT.blocks))
 
 
 def _assoc_sql() -> str:
@@ -165,7 +168,7 @@ def q_association_pairs(spark, d):
 
 @query("permute_within", _rows_sql() + f""",
 g AS (SELECT id, x7 AS wyear, x0 AS tax FROM rows),
-a AS (SELECT *, row_number() OVER (PARTITION BY wyear ORDER BY id) AS r FROM g),
+a AS (SELECT *, row_number() OVER (PARTITION BY wyear ORDER BY {_h(str(ROOT.seed), "'o'", 'wyear', 'id')}, id) AS r FROM g),
 b AS (SELECT wyear, tax AS tax_perm,
              row_number() OVER (PARTITION BY wyear ORDER BY {_h(str(ROOT.seed), "'p'", 'wyear', 'id')}, id) AS r
       FROM g)
@@ -185,7 +188,7 @@ _FOREST_MEMO: dict = {}
 
 def fitted(spark: SparkSession, d: str) -> forest.Forest:
     """Grow once per (session, data folder); the other forest queries reuse it."""
-    key = (session_key(spark), d)
+    key = session_key(spark, d)
     if key not in _FOREST_MEMO:
         _FOREST_MEMO.clear()
         c = cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False)
@@ -244,7 +247,7 @@ _IMP_MEMO: dict = {}
 
 
 def perm_importance(spark, d) -> DataFrame:
-    key = (session_key(spark), d)
+    key = session_key(spark, d)
     if key not in _IMP_MEMO:
         _IMP_MEMO.clear()
         f = fitted(spark, d)
@@ -323,7 +326,7 @@ _SMALL_MEMO: dict = {}
 
 
 def small_forest(spark: SparkSession, d: str, prm: ForestParams) -> forest.Forest:
-    key = (session_key(spark), d, prm.max_depth)
+    key = (session_key(spark, d), prm.max_depth)
     if key not in _SMALL_MEMO:
         c = cohort.forest_cohort(panel(spark, d), S, forest=True, drought=False)
         _SMALL_MEMO[key] = forest.fit_forest(c, FEATS, S.target, prm)
@@ -359,7 +362,8 @@ grid AS (SELECT CASE WHEN ng > 1 THEN lo + g * (hi - lo) / (ng - 1) ELSE lo END
 proute AS (SELECT g.v, r.id, t.tree, {node('r', (1, 'g.v'))} AS node
            FROM rows r CROSS JOIN grid g CROSS JOIN trees t LEFT JOIN cut0 c ON c.tree = t.tree),
 po AS (SELECT o.tree, o.id, o.y, c.k, c.cut, {_xk('c.k', 'o')} AS xk FROM oob o JOIN cut0 c ON c.tree = o.tree),
-pa AS (SELECT *, row_number() OVER (PARTITION BY tree, k ORDER BY id) AS rr FROM po),
+pa AS (SELECT *, row_number() OVER (PARTITION BY tree, k
+                                    ORDER BY {_h(str(ROOT.seed), "'o'", 'tree', 'k', "''", 'id')}, id) AS rr FROM po),
 pb AS (SELECT tree, k, xk AS xk_perm,
               row_number() OVER (PARTITION BY tree, k
                                  ORDER BY {_h(str(ROOT.seed), "'p'", 'tree', 'k', "''", 'id')}, id) AS rr FROM po),

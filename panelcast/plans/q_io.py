@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from ..sources.panel import panel_table as panel
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .q_accuracy import ERR_COLS, ERR_D, errors_of
 from .q_cohort import _PCOLS, PANEL_COLS, PANEL_DOUBLES
 from .q_scenario import forecast, lookup_table, scen_ctes
@@ -55,7 +55,7 @@ def q_scan_scenario_matrix(spark, d):
     identity columns come from the file path."""
     path = scratch_path(spark, "scenario-files")
     scen = scenario.scenario_table(panel(spark, d))
-    named = scen.withColumn("file", F.concat(F.lit("CA_wtr_all_"), "scenario", F.lit("_"),
+    named = scen.withColumn("file", F.concat(F.lit("run_all_"), "scenario", F.lit("_"),
                                              "model", F.lit(".csv"))).drop("scenario", "model")
     named.write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
     back = files.read_scenario_matrix(spark, f"{path}/*/*.csv", SCEN_SCHEMA)
@@ -66,7 +66,7 @@ def q_scan_scenario_matrix(spark, d):
 SELECT {ERR_COLS} FROM errors WHERE split = 'test'""", ERR_D)
 def q_sink_csv_roundtrip(spark, d):
     """K1/K3: the error table written as CSV (NULL as NA) into a new folder, read back."""
-    path = scratch_path(spark, "errors-csv") + "/2019_2hr/cmip5"
+    path = scratch_path(spark, "errors-csv") + "/run1/grid"
     files.write_table(errors_of(spark, d, "test"), path)
     return files.read_panel(spark, path, ERR_SCHEMA)
 
@@ -81,19 +81,31 @@ def q_sink_partitioned_roundtrip(spark, d):
     return files.read_scenarios(spark, path, FORECAST_SCHEMA)
 
 
+@query("sink_rollup_roundtrip", scen_ctes() + """
+SELECT scenario, model, date, CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN count(*) = count(pred) THEN sum(pred) END AS pred_sum
+FROM fc GROUP BY scenario, model, date""", ("pred_sum",))
+def q_sink_rollup_roundtrip(spark, d):
+    """K2: the forecast's rollup, the second table of each scenario and model, written and read back."""
+    path = scratch_path(spark, "rollup-parts")
+    files.write_scenarios(scenario.scenario_rollup(forecast(spark, d)), path)
+    return files.read_scenarios(spark, path, "date DATE, n BIGINT, pred_sum DOUBLE, scenario STRING, model STRING")
+
+
 @query("scenario_stream_forecast", scen_ctes() + """
 SELECT unit, date, month, wyear, year, pred, scenario, model FROM fc""", ("pred",))
 def q_scenario_stream_forecast(spark, d):
     """M5 as a file stream: the 16 scenario files are picked up by a streaming
     source and scored batch by batch; the appended forecast is read back."""
-    from ..streaming.scenario_stream import start_forecast_stream
+    from ..streaming.scenario_stream import read_forecasts, start_forecast_stream
     from .q_scenario import ols_score_fn, selected_units
     base = scratch_path(spark, "scenario-stream")
     scen = scenario.scenario_table(panel(spark, d))
-    named = scen.withColumn("file", F.concat(F.lit("CA_wtr_all_"), "scenario", F.lit("_"),
+    named = scen.withColumn("file", F.concat(F.lit("run_all_"), "scenario", F.lit("_"),
                                              "model", F.lit(".csv"))).drop("scenario", "model")
     named.write.mode("overwrite").partitionBy("file").option("header", True).csv(f"{base}/in")
-    q = start_forecast_stream(spark, f"{base}/in/*/*.csv", SCEN_SCHEMA, selected_units(spark, d),
-                              S, ols_score_fn(spark, d), f"{base}/out", f"{base}/chk")
+    units = cut_lineage(selected_units(spark, d), "units")
+    q = start_forecast_stream(spark, f"{base}/in/*/*.csv", SCEN_SCHEMA, units,
+                              S, ols_score_fn(spark, d, written=True), f"{base}/out", f"{base}/chk")
     q.awaitTermination()
-    return files.read_scenarios(spark, f"{base}/out", FORECAST_SCHEMA)
+    return read_forecasts(spark, f"{base}/out", FORECAST_SCHEMA)

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, scenario, search
+from ..session import cut_lineage
 from ..sources.panel import panel_table as panel, read_table
 from ..spec import ANALOGUE as S
+from ..spec import ANALOGUE_B as S_B
 from .oracle_sql import ols_scored_ctes
 from .q_accuracy import OLS_X
 from .registry import query
@@ -24,23 +26,25 @@ def lookup_table(spark: SparkSession, d: str) -> DataFrame:
                     F.col("s_acctbal").alias("area"), "s_name")
 
 
-def selected_units(spark: SparkSession, d: str) -> DataFrame:
+def selected_units(spark: SparkSession, d: str, spec=S) -> DataFrame:
     """J1 + A5: distinct cohort units joined with the distinct (position 1, position 36) pairs."""
     lk = lookup_table(spark, d)
     pairs = lk.select(lk.columns[0], lk.columns[35]).distinct()
-    units = cohort.search_cohort(panel(spark, d), S).select(S.unit).distinct()
-    return units.join(pairs, S.unit)
+    units = cohort.search_cohort(panel(spark, d), spec).select(spec.unit).distinct()
+    return units.join(pairs, spec.unit)
 
 
-def ols_score_fn(spark: SparkSession, d: str):
-    c = cohort.with_split(cohort.search_cohort(panel(spark, d), S), S)
-    coefs = search.fit_ols(c.filter(F.col("split") == "train"), S.target, OLS_X)
+def ols_score_fn(spark: SparkSession, d: str, spec=S, written: bool = False):
+    """Scorer with the one-variable model of ``spec``'s target; ``written``: its row is computed once, now."""
+    c = cohort.with_split(cohort.search_cohort(panel(spark, d), spec), spec)
+    coefs = search.fit_ols(c.filter(F.col("split") == "train"), spec.target, OLS_X)
+    coefs = cut_lineage(coefs, "coefficients") if written else coefs
     return lambda df: search.score_ols(df, coefs, OLS_X)
 
 
-def forecast(spark: SparkSession, d: str) -> DataFrame:
+def forecast(spark: SparkSession, d: str, spec=S) -> DataFrame:
     scen = scenario.scenario_table(panel(spark, d))
-    return scenario.scenario_forecast(scen, selected_units(spark, d), S, ols_score_fn(spark, d))
+    return scenario.scenario_forecast(scen, selected_units(spark, d, spec), spec, ols_score_fn(spark, d, spec))
 
 
 def _grid_sql() -> str:
@@ -49,8 +53,8 @@ def _grid_sql() -> str:
     return f"grid AS (SELECT * FROM (VALUES {rows}) g(scenario, model, shift, factor))"
 
 
-def scen_ctes() -> str:
-    return ols_scored_ctes() + f""",
+def scen_ctes(target: str = "target_a") -> str:
+    return ols_scored_ctes(target) + f""",
 {_grid_sql()},
 scen AS (SELECT p.unit, printf('%04d-%02d-01', p.year + g.shift, p.month) AS date, p.month,
                 p.wyear + g.shift AS wyear, p.year + g.shift AS year,
@@ -107,6 +111,38 @@ def q_scenario_rollup(spark, d):
     return scenario.scenario_rollup(forecast(spark, d))
 
 
+@query("scenario_forecast_b", scen_ctes("target_b") + """
+SELECT scenario, model, unit, date, month, wyear, year, pred FROM fc""", ("pred",))
+def q_scenario_forecast_b(spark, d):
+    """M5 for the second target: its own cohort, units and model."""
+    return forecast(spark, d, S_B)
+
+
+@query("scenario_rollup_b", scen_ctes("target_b") + """
+SELECT scenario, model, date, CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN count(*) = count(pred) THEN sum(pred) END AS pred_sum
+FROM fc GROUP BY scenario, model, date""", ("pred_sum:2",))
+def q_scenario_rollup_b(spark, d):
+    """A4 for the second target."""
+    return scenario.scenario_rollup(forecast(spark, d, S_B))
+
+
+LATE_START = S.scenario_start + 4     # the later start year of the files that hold all models
+
+
+@query("all_models_forecast", scen_ctes() + f"""
+SELECT unit, date, month, wyear, year, model, pred FROM fc WHERE scenario = 's1' AND wyear > {LATE_START}""", ("pred",))
+def q_all_models_forecast(spark, d):
+    """One scenario file that holds all its models, from its own later start year, with the
+    leading six columns: read, restricted, filtered, scored in one job."""
+    scen = scenario.scenario_table(panel(spark, d)).filter(F.col("scenario") == "s1").drop("scenario")
+    lead = ["unit", "date", "month", "wyear", "year", "model"]
+    scen = scen.select(*lead, *[c for c in scen.columns if c not in lead])
+    s = scenario.restrict_to_units(scenario.prepare(scen), selected_units(spark, d))
+    scored = ols_score_fn(spark, d)(scenario.scenario_filter(s, S, LATE_START))
+    return scored.select(*scenario.leading(scored, 6).columns, "pred")
+
+
 @query("leading_with_key_first", scen_ctes() + """
 SELECT wyear, unit, date, month, year, model, pred FROM fc WHERE scenario = 's1'""", ("pred",))
 def q_leading_with_key_first(spark, d):

@@ -95,7 +95,7 @@ _SEARCH_MEMO: dict = {}
 
 def fitted_search(spark, d):
     """Fit the search once per (session, data folder); later queries reuse the leader."""
-    key = (session_key(spark), d)
+    key = session_key(spark, d)
     if key not in _SEARCH_MEMO:
         _SEARCH_MEMO.clear()
         _SEARCH_MEMO[key] = search.model_search(train_frame(spark, d), S.target, SEARCH_FEATURES,
@@ -110,7 +110,7 @@ def q_cv_search(spark, d):
     are not reproducible by SQL)."""
     rows, _, _ = fitted_search(spark, d)
     return spark.createDataFrame(rows, "model_id string, family string, rmse double, mse double, "
-                                       "n_folds long, rank long")
+                                       "n_folds long, family_fit_sec double, rank long")
 
 
 @query("feature_ranking")

@@ -78,7 +78,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def session_key(spark: SparkSession) -> tuple:
-    """Key for per-session memos.  A restarted context has a new application id, so a
-    new session never picks up tables bound to a stopped one."""
-    return (spark.sparkContext.applicationId, id(spark))
+def _files(fs, path) -> list[tuple]:
+    status = fs.getFileStatus(path)
+    if not status.isDirectory():
+        return [(status.getPath().toString(), status.getLen(), status.getModificationTime())]
+    return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+
+
+def session_key(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("lineitem", "part", "supplier")) -> tuple:
+    """Key for per-session memos of what is derived from ``tables``.
+
+    A restarted context has a new application id, so a new session never picks up tables bound to a
+    stopped one; files that were written anew have other sizes or times, so nothing stale is used."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        out += _files(path.getFileSystem(conf), path)
+    return (spark.sparkContext.applicationId, id(spark), sf_dir, tuple(out))

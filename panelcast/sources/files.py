@@ -14,13 +14,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+def _fields(spark: SparkSession, schema: StructType | str) -> StructType:
+    return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Headered CSV by column name: the columns of ``schema``, wherever they stand, cast; others are left out.
+
+    The header is read first (one line); every file must have the same one, a line with another
+    number of fields or a value that can't be cast raises, and ``NA`` is NULL.  No inference pass."""
+    fields = _fields(spark, schema)
+    header = spark.read.option("header", True).csv(path).columns
+    lower = {h.lower(): h for h in header}
+    missing = [f.name for f in fields if f.name.lower() not in lower]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    text = StructType([StructField(h, StringType()) for h in header])
+    raw = (spark.read.schema(text).option("header", True).option("enforceSchema", False)
+           .option("nullValue", "NA").option("mode", "FAILFAST").csv(path))
+    return raw.select(*[F.col(f"`{lower[f.name.lower()]}`").cast(f.dataType).alias(f.name) for f in fields],
+                      F.col("_metadata.file_path").alias("_path"))
 
 
 def read_panel(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Headered CSV with a declared schema; ``NA`` is NULL.  No inference pass."""
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-            .option("mode", "FAILFAST").csv(path))
+    """Headered CSV by column name (see :func:`read_csv`); extra columns are left out."""
+    return read_csv(spark, path, schema).drop("_path")
 
 
 def read_lookup(spark: SparkSession, path: str, positions: Sequence[int] = (1, 36),
@@ -43,12 +64,13 @@ def read_scenario_matrix(spark: SparkSession, glob: str, schema: StructType | st
                          pattern: str = r"all_([^/]+)_([^_/]+)\.csv",
                          names: Sequence[str] = ("scenario", "model")) -> DataFrame:
     """S3: one read over all scenario files; each regex group of ``pattern``
-    applied to the file path becomes a column (the reference's double loop)."""
-    df = (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-          .csv(glob))
-    path = F.col("_metadata.file_path")
-    return df.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(n)
-                            for i, n in enumerate(names)])
+    applied to the file path becomes a column (the reference's double loop).
+    A file whose path doesn't match raises."""
+    df = read_csv(spark, glob, schema)
+    part = [F.regexp_extract("_path", pattern, i + 1) for i in range(len(names))]
+    named = [F.when(p != "", p).otherwise(F.raise_error(F.concat(F.lit("no scenario in the name of "), F.col("_path"))))
+             for p in part]
+    return df.select("*", *[p.alias(n) for p, n in zip(named, names)]).drop("_path")
 
 
 def write_table(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -70,9 +92,9 @@ def write_scenarios(df: DataFrame, path: str, keys: Sequence[str] = ("scenario",
 
 def read_scenarios(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Read back K2 output; ``scenario``/``model`` come from the folder names,
-    so a filter on them prunes folders."""
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-            .csv(path))
+    so a filter on them prunes folders.  A malformed line or another header raises."""
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("nullValue", "NA").option("mode", "FAILFAST").csv(path))
 
 
 def save_parquet(df: DataFrame, path: str) -> None:

@@ -70,7 +70,7 @@ def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     written table also survives executor loss and carries real size statistics.
     """
     from ..session import cut_lineage, session_key
-    key = (session_key(spark), sf_dir)
+    key = session_key(spark, sf_dir)
     if key not in _PANEL_MEMO:
         _PANEL_MEMO[key] = cut_lineage(panel(spark, sf_dir), "panel")
     return _PANEL_MEMO[key]

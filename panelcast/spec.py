@@ -7,7 +7,7 @@ from the TPC-H-like test tables (``panelcast.sources.panel``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -55,12 +55,9 @@ class ForestParams:
     fraction: float = 0.632
     minsplit: int = 20
     minbucket: int = 7
-    max_depth: int = 60          # node ids are 2^depth: 60 keeps them inside BIGINT
+    max_depth: int = 61          # 61: no limit (a deeper tree raises); less: stop there
     seed: int = 160617
     # trees are grown in batches so one level's shuffle stays bounded
-    tree_batch: int = 1000
-    # value blocks of the cut search (approximate quantiles per feature); 1 = one window per node.
-    # Used when the input has more than block_min_rows rows (below that a node's values fit one task).
+    tree_batch: int = 250
+    # value blocks of the cut search (approximate quantiles per feature): no window holds a node's values
     blocks: int = 256
-    block_min_rows: int = 1_000_000
-    extra: dict = field(default_factory=dict)

@@ -4,10 +4,9 @@ The reference reads one scenario file after another, scores it and writes two
 tables.  As a Structured Streaming query the folder of scenario files is a
 file source; each micro-batch (one or more new files) goes through the same
 forecast as the batch job (identity from the file path, restriction to the
-cohort's units, start-year filter, scoring), and the forecast is appended to
-folders partitioned by scenario and model.  The checkpoint makes the job
-restartable: a file is scored exactly once even if the driver or an executor
-is lost.
+cohort's units, start-year filter, scoring).  Each batch's forecast goes to a folder of its own
+(``epoch=N``), partitioned by scenario and model, and is written with overwrite: a batch
+that is replayed after a crash replaces its own files, so every row is there once.
 """
 
 from __future__ import annotations
@@ -20,31 +19,43 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import scenario
+from ..sources import files
 from ..spec import PanelSpec
 
 
 def scenario_stream(spark: SparkSession, in_glob: str, schema: StructType | str,
-                    pattern: str = r"all_([^/]+)_([^_/]+)\.csv") -> DataFrame:
+                    pattern: str = r"all_([^/]+)_([^_/]+)\.csv", files_per_batch: int = 16) -> DataFrame:
     """Streaming read of scenario CSV files; scenario/model come from each file's path."""
     s = (spark.readStream.schema(schema).option("header", True).option("nullValue", "NA")
-         .option("maxFilesPerTrigger", 16).csv(in_glob))
+         .option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch).csv(in_glob))
     path = F.col("_metadata.file_path")
     return s.select("*", F.regexp_extract(path, pattern, 1).alias("scenario"),
                     F.regexp_extract(path, pattern, 2).alias("model"))
 
 
+def write_batch(forecast: DataFrame, out_dir: str, epoch: int) -> None:
+    """One batch's forecast in its own folder; writing it again gives the same files."""
+    (forecast.write.mode("overwrite").partitionBy("scenario", "model")
+     .option("header", True).option("nullValue", "NA").csv(f"{out_dir}/epoch={epoch}"))
+
+
+def read_forecasts(spark: SparkSession, out_dir: str, schema: StructType | str) -> DataFrame:
+    """All batches' forecasts."""
+    return files.read_scenarios(spark, out_dir, schema).drop("epoch")
+
+
 def start_forecast_stream(spark: SparkSession, in_glob: str, schema: StructType | str,
                           units: DataFrame, spec: PanelSpec,
                           score: Callable[[DataFrame], DataFrame],
-                          out_dir: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Score every new scenario file with ``score`` and append the forecast,
-    partitioned by (scenario, model).  ``once``: process what is there and stop."""
-    src = scenario_stream(spark, in_glob, schema)
+                          out_dir: str, checkpoint: str, once: bool = True,
+                          files_per_batch: int = 16) -> StreamingQuery:
+    """Score every new scenario file with ``score`` and write the forecast, partitioned by
+    (scenario, model).  ``once``: process what is there and stop.  Hand in ``units`` (and what
+    ``score`` reads) as written tables, or each batch computes them anew."""
+    src = scenario_stream(spark, in_glob, schema, files_per_batch=files_per_batch)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        fc = scenario.scenario_forecast(df, units, spec, score)
-        (fc.write.mode("append").partitionBy("scenario", "model")
-         .option("header", True).option("nullValue", "NA").csv(out_dir))
+        write_batch(scenario.scenario_forecast(df, units, spec, score), out_dir, epoch)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")

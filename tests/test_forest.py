@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import forest, importance, pdp
 from panelcast.spec import ForestParams
 
-P = ForestParams(ntree=3, mtry=2, minsplit=20, minbucket=7, seed=7, block_min_rows=0, blocks=8)
+P = ForestParams(ntree=3, mtry=2, minsplit=20, minbucket=7, seed=7, blocks=8)
 FEATS = ("a", "b", "c")
 
 
@@ -147,9 +147,14 @@ def test_partial_dependence_matches_brute_force(fitted):
 def test_permutation_keeps_each_cell_multiset(spark):
     rows = [(i, i % 3, float(i * 7 % 11)) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, g int, x double")
-    for block in (100_000, 7):    # exact, and split into hash blocks
-        out = importance.permute_within(df, ["g"], "x", "id", 11, max_block=block).collect()
-        assert len(out) == 90
+    df = df.unionByName(df.limit(12).withColumn("g", F.lit(None).cast("int")).withColumn("id", F.col("id") + 1000))
+    seen = set()
+    for bits in (0, 3, 10):    # one answer, whatever the number of blocks
+        out = importance.permute_within(df, ["g"], "x", "id", 11, bits=bits).collect()
+        assert len(out) == 102
+        seen.add(tuple(sorted((r.id, r.x_perm) for r in out)))
+        assert len(seen) == 1
+        assert sorted(r.x for r in out if r.g is None) == sorted(r.x_perm for r in out if r.g is None)
         for g in range(3):
             assert sorted(r.x for r in out if r.g == g) == sorted(r.x_perm for r in out if r.g == g)
         assert any(r.x != r.x_perm for r in out)
@@ -172,11 +177,48 @@ def test_constant_feature_has_no_association(spark):
     assert pairs[("b", "a")].stat == 0.0 and not pairs[("b", "a")].conditioned
     assert pairs[("a", "c")].stat == pairs[("c", "a")].stat
     st = forest.node_stats(inp.withColumn("tree", F.lit(0)).withColumn("node", F.lit(1)), 3).first()
-    c = spark.range(1).select(forest.association(F.lit(st.n), F.lit(st.sx[1]), F.lit(st.sxx[1]),
-                                                 F.lit(st.sy), F.lit(st.syy), F.lit(st.sxy[1]))).first()[0]
+    c = spark.range(1).select(forest.association(F.lit(st.nk[1]), F.lit(st.vx[1]), F.lit(st.vy[1]),
+                                                 F.lit(st.cxy[1]))).first()[0]
     assert c == 0.0
 
 
+def test_large_offsets_do_not_cancel(spark):
+    rows = [(i, float(i), [1e9 + i, 1e9 + (i * 37 % 101), float(i % 3)]) for i in range(1000)]
+    inp = spark.createDataFrame(rows, "id long, y double, xs array<double>")
+    st = forest.node_stats(inp.withColumn("tree", F.lit(0)).withColumn("node", F.lit(1)), 3)
+    c = st.select(forest.association(F.col("nk")[0], F.col("vx")[0], F.col("vy")[0], F.col("cxy")[0])).first()[0]
+    assert c == pytest.approx(999.0, rel=1e-6)
+    pairs = {(r.feature, r.other): r.stat for r in importance.association_pairs(inp, FEATS, 0.8).collect()}
+    x, z = np.arange(1000.0), np.array([i * 37 % 101 for i in range(1000)], float)
+    assert pairs["a", "b"] == pytest.approx(999 * np.corrcoef(x, z)[0, 1] ** 2, abs=1e-4)
+
+
+def test_null_features_take_no_part(spark):
+    rng = np.random.default_rng(3)
+    x = [None if i % 3 == 0 else float(rng.integers(0, 20)) for i in range(300)]
+    y = [50.0 if v is None else 10.0 * (v > 11) + float(rng.random()) for v in x]
+    inp = spark.createDataFrame([(i, y[i], [x[i]]) for i in range(300)], "id long, y double, xs array<double>")
+    p = ForestParams(ntree=1, mtry=1, minsplit=20, minbucket=7, seed=7, blocks=8)
+    mx = inp.withColumn("tree", F.lit(0)).withColumn("node", F.lit(1).cast("bigint"))
+    st = forest.node_stats(mx, 1)
+    var = forest.select_variable(st, 1, p)
+    seen = [(a, b) for a, b in zip(x, y) if a is not None]
+    want = (len(seen) - 1) * np.corrcoef(*np.array(seen).T)[0, 1] ** 2
+    assert var.first().n == len(seen) and var.first().stat == pytest.approx(want, abs=1e-5)
+    assert forest.best_cut(mx, var, 7, forest.value_blocks(inp, 1, 8)).first().cut == 11.0
+    splits, leaves, depth = forest.grow_forest(inp, p, 1)
+    assert depth < 12 and splits.where("cut IS NULL").isEmpty()
+    assert leaves.agg(F.sum("n")).first()[0] == forest.subsample(inp, range(1), p).count()
+
+
+def test_subtree_features_beyond_sixty_four(spark):
+    splits = spark.createDataFrame([(0, 1, 64, 1.0, 0), (0, 2, 0, 1.0, 1), (0, 5, 70, 1.0, 2)],
+                                   "tree int, node bigint, k int, cut double, depth int")
+    f = forest.Forest(splits, splits, tuple(f"x{i}" for i in range(71)), P, 3)
+    got = {r.node: set(r._below) for r in importance.subtree_features(f).collect()}
+    assert got == {1: {64, 0, 70}, 2: {0, 70}, 5: {70}}
+
+
 def test_pruned_importance_equals_full_routing(fitted, spark):
     """Only rows that leave their original path are routed to the end; the result
     must equal routing every permuted out-of-bag row."""
@@ -186,7 +228,7 @@ def test_pruned_importance_equals_full_routing(fitted, spark):
     oob = forest.subsample(inp, range(p.ntree), p, oob=True).join(inp, "id")
     sets = importance.conditioning_sets(f, importance.association_pairs(inp, FEATS, 0.80))
     c = importance.cells(oob, sets).withColumn("xk", F.col("xs")[F.col("k")])
-    perm = importance.permute_within(c, ["tree", "k", "cell"], "xk", "id", p.seed, 100_000, "xk_perm")
+    perm = importance.permute_within(c, ["tree", "k", "cell"], "xk", "id", p.seed, out="xk_perm")
     leaf = {(r.tree, r.node): r.sy / r.n for r in f.leaves.collect()}
 
     def go(t, xs):

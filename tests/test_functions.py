@@ -118,3 +118,10 @@ def test_staged_t_quantile_equals_sql_form(spark):
         a = {r.df: r.q for r in with_t_quantile(df, p, "df", "q").collect()}
         b = {r.df: r.q for r in df.select("df", t_quantile(p, "df").alias("q")).collect()}
         assert a == b
+
+
+def test_rounding_leaves_large_values_alone(spark):
+    from panelcast.functions.columns import round_half_away
+    vals = [1e13, 2.5e13 + 0.5, 1e16, -1e16, 1.0000005, -2.5, 9.2e12]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").select(round_half_away("v", 6)).collect()]
+    assert got[:4] == vals[:4] and got[5] == -2.5 and got[6] == 9.2e12

@@ -44,6 +44,30 @@ def test_scenario_matrix_names_from_paths(spark, tmp_dir):
     assert got == sorted((s, m) for s in ("ssp1_rcp45", "ssp5_rcp85") for m in ("CanESM2", "HadGEM2-ES"))
 
 
+def test_columns_by_name_and_strict(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "named")
+    files.write_table(spark.createDataFrame([(2011, 7, 1.5, "x"), (2012, None, None, "y")],
+                                            "year int, unit long, v double, extra string"), path, single_file=True)
+    rows = files.read_panel(spark, path, "unit long, year int, v double").collect()
+    assert sorted((r.unit or 0, r.year, r.v or 0.0) for r in rows) == [(0, 2012, 0.0), (7, 2011, 1.5)]
+    with pytest.raises(ValueError, match="no column"):
+        files.read_panel(spark, path, "unit long, other int")
+    for name, line in (("short", "1"), ("text", "1,abc")):
+        bad = os.path.join(tmp_dir, name)
+        os.makedirs(bad)
+        with open(os.path.join(bad, "a.csv"), "w") as f:
+            f.write(f"unit,v\n2,3.0\n{line}\n")
+        with pytest.raises(Exception):
+            files.read_panel(spark, bad, "unit long, v double").collect()
+
+
+def test_unmatched_scenario_file_raises(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "odd")
+    files.write_table(spark.createDataFrame([(1, 2.0)], "unit long, x double"), os.path.join(base, "nothing.csv"))
+    with pytest.raises(Exception, match="no scenario"):
+        files.read_scenario_matrix(spark, f"{base}/*/*.csv", "unit long, x double").collect()
+
+
 def test_partitioned_sink_prunes(spark, tmp_dir):
     df = spark.createDataFrame([(1, 1.0, "s1", "m1"), (2, 2.0, "s1", "m2"), (3, 3.0, "s2", "m1")],
                                "unit long, pred double, scenario string, model string")

@@ -5,10 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from panelcast.operators import scenario
-from panelcast.sources import files
 from panelcast.sources.panel import panel
 from panelcast.spec import ANALOGUE
-from panelcast.streaming.scenario_stream import start_forecast_stream
+from panelcast.streaming.scenario_stream import read_forecasts, start_forecast_stream, write_batch
 
 SCHEMA = ("unit BIGINT, date STRING, month INT, wyear INT, year INT, tax DOUBLE, lines DOUBLE, "
           "size DOUBLE, price DOUBLE, bal DOUBLE, nation INT, project INT")
@@ -28,11 +27,14 @@ def test_stream_equals_batch(spark, tmp_dir):
     q = start_forecast_stream(spark, f"{src}/*/*.csv", SCHEMA, units, ANALOGUE, score,
                               os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "chk"))
     q.awaitTermination()
-    got = files.read_scenarios(spark, os.path.join(tmp_dir, "out"),
-                               "unit BIGINT, date DATE, month INT, wyear INT, year INT, pred DOUBLE, "
-                               "scenario STRING, model STRING")
+    got = read_forecasts(spark, os.path.join(tmp_dir, "out"),
+                         "unit BIGINT, date DATE, month INT, wyear INT, year INT, pred DOUBLE, "
+                         "scenario STRING, model STRING")
     want = scenario.scenario_forecast(scen, units, ANALOGUE, score)
     cols = ["scenario", "model", "unit", "date", "month", "wyear", "year", "pred"]
     a = sorted(tuple(r) for r in got.select(*cols).collect())
     b = sorted(tuple(r) for r in want.select(*cols).collect())
     assert a == b and len(a) > 0
+    write_batch(want, os.path.join(tmp_dir, "out"), 0)     # a replay of the batch after a crash
+    again = read_forecasts(spark, os.path.join(tmp_dir, "out"), got.schema)
+    assert sorted(tuple(r) for r in again.select(*cols).collect()) == b
