@@ -93,12 +93,14 @@ mem{L + 1} AS (SELECT m.tree, m.id, m.node * 2 + CASE WHEN {_xk('c.k')} > c.cut
           FROM mem{L} m JOIN rows r ON m.id = r.id JOIN cut{L} c ON m.tree = c.tree AND m.node = c.node)"""
 
 
-def _rows_sql(levels: int = 1) -> str:
+def _rows_sql(levels: int = 1, target: str = "target_a", forest_side: bool = True, drought: bool = False,
+              first_tree: int = 0) -> str:
     xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(FEATS))
-    head = forest_cohort_ctes() + f""",
+    head = forest_cohort_ctes(target, forest_side, drought) + f""",
 rows AS (SELECT CAST(unit AS BIGINT) * 10000000 + CAST(year AS BIGINT) * 100 + month AS id,
-                CAST(target_a AS DOUBLE) AS y, {xs} FROM fcohort),
-mem AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.id FROM rows r, range(0, {ROOT.ntree}) t(tree)
+                CAST({target} AS DOUBLE) AS y, {xs} FROM fcohort),
+mem AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.id FROM rows r,
+               range({first_tree}, {first_tree + ROOT.ntree}) t(tree)
         WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} < {THR}),
 mem0 AS (SELECT tree, id, CAST(1 AS BIGINT) AS node FROM mem)"""
     body = "".join(_level_sql(L) for L in range(levels))
@@ -143,6 +145,30 @@ def q_best_cut(spark, d):
     return forest.best_cut(mx, var, ROOT.minbucket, forest.value_blocks(inp, P, ROOT.blocks))
 
 
+#: The eight forests: target x cover side x year list; cohort i has the trees from 100 i on.
+COHORTS = [(f"{t}_{'forest' if f else 'nonforest'}_{'drought' if y else 'nondrought'}", t, f, y)
+           for t in ("target_a", "target_b") for f in (True, False) for y in (False, True)]
+
+
+@query("forest_root_cohorts", "\nUNION ALL\n".join(
+    f"SELECT * FROM ({_rows_sql(1, t, f, y, 100 * i)}\nSELECT '{label}' AS cohort, tree, k, cut, cut_stat FROM cut)"
+    for i, (label, t, f, y) in enumerate(COHORTS)), ("cut", "cut_stat"))
+def q_forest_root_cohorts(spark, d):
+    """F11 x M8a-d: the first split of every tree of all eight forests, one job for all cohorts."""
+    p, labels, parts = panel(spark, d), F.array(*[F.lit(c[0]) for c in COHORTS]), []
+    for i, (_, target, side, drought) in enumerate(COHORTS):
+        rows = forest.forest_input(cohort.forest_cohort(p, S.with_target(target), side, drought), FEATS, target)
+        parts.append(rows.withColumn("first", F.lit(100 * i)))
+    rows = forest._union(parts)
+    trees = rows.withColumn("tree", F.explode(F.sequence(F.col("first"), F.col("first") + ROOT.ntree - 1)))
+    h = forest.hash32(ROOT.seed, "s", F.col("tree"), F.col("id"))
+    mx = trees.filter(h < THR).withColumn("node", F.lit(1).cast("bigint")).select("tree", "node", "id", "y", "xs")
+    var = forest.select_variable(forest.node_stats(mx, P), P, ROOT)
+    cuts = forest.best_cut(mx, var, ROOT.minbucket, forest.value_blocks(rows, P, ROOT.blocks))
+    return cuts.select(F.get(labels, F.floor(F.col("tree") / 100).cast("int")).alias("cohort"),
+                       "tree", "k", "cut", "cut_stat")
+
+
 def _assoc_sql() -> str:
     crit = chi2_1_quantile(0.80)
     parts = []

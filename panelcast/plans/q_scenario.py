@@ -131,11 +131,11 @@ LATE_START = S.scenario_start + 4     # the later start year of the files that h
 
 
 @query("all_models_forecast", scen_ctes() + f"""
-SELECT unit, date, month, wyear, year, model, pred FROM fc WHERE scenario = 's1' AND wyear > {LATE_START}""", ("pred",))
+SELECT unit, date, month, wyear, year, model, pred FROM fc WHERE scenario = 's2' AND wyear > {LATE_START}""", ("pred",))
 def q_all_models_forecast(spark, d):
     """One scenario file that holds all its models, from its own later start year, with the
     leading six columns: read, restricted, filtered, scored in one job."""
-    scen = scenario.scenario_table(panel(spark, d)).filter(F.col("scenario") == "s1").drop("scenario")
+    scen = scenario.scenario_table(panel(spark, d)).filter(F.col("scenario") == "s2").drop("scenario")
     lead = ["unit", "date", "month", "wyear", "year", "model"]
     scen = scen.select(*lead, *[c for c in scen.columns if c not in lead])
     s = scenario.restrict_to_units(scenario.prepare(scen), selected_units(spark, d))
