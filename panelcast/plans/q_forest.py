@@ -169,7 +169,7 @@ def q_forest_root_cohorts(spark, d):
                        "tree", "k", "cut", "cut_stat")
 
 
-def _assoc_sql() -> str:
+def _pairs_cte() -> str:
     crit = chi2_1_quantile(0.80)
     parts = []
     for i in range(P):
@@ -182,11 +182,11 @@ def _assoc_sql() -> str:
                 f"(covar_pop(x{i}, x{k}) / (stddev_pop(x{i}) * stddev_pop(x{k}))) * "
                 f"(covar_pop(x{i}, x{k}) / (stddev_pop(x{i}) * stddev_pop(x{k}))) ELSE 0.0 END, 6) AS stat "
                 f"FROM rows")
-    return (_rows_sql() + ",\npairs AS (" + "\nUNION ALL\n".join(parts) + ")\n"
-            f"SELECT k, feature, z, other, stat, stat > {crit!r} AS conditioned FROM pairs")
+    return ",\npairs AS (SELECT *, stat > " + repr(crit) + " AS conditioned FROM (" + "\nUNION ALL\n".join(parts) + "))"
 
 
-@query("association_pairs", _assoc_sql(), ("stat",))
+@query("association_pairs", _rows_sql() + _pairs_cte() + """
+SELECT k, feature, z, other, stat, conditioned FROM pairs""", ("stat",))
 def q_association_pairs(spark, d):
     """Pairwise association of the features, c > chi-square(1) quantile of 0.80."""
     return importance.association_pairs(forest_rows(spark, d), FEATS, 0.80)
@@ -249,7 +249,10 @@ def q_oob_error(spark, d):
 @query("forest_store_roundtrip")
 def q_forest_store_roundtrip(spark, d):
     """K4 + S5: the forest's tables saved as parquet and loaded back."""
-    f = fitted(spark, d)
+    return _stored(spark, fitted(spark, d))
+
+
+def _stored(spark: SparkSession, f: forest.Forest) -> DataFrame:
     base = scratch_path(spark, "forest")
     files.save_parquet(f.splits, f"{base}/splits")
     files.save_parquet(f.leaves, f"{base}/leaves")
@@ -438,3 +441,89 @@ FROM trees t CROSS JOIN range(0, {P}) kk(k) LEFT JOIN pe ON pe.tree = t.tree AND
 def q_perm_importance_stump(spark, d):
     """M10 at depth 1: conditional permutation importance of 10 stumps (0 for unused features)."""
     return importance.conditional_importance(small_forest(spark, d, STUMP), forest_rows(spark, d), 0.80)
+
+
+# --- the conditional part, on two levels, where cells aren't empty ---------------------
+
+def _cells_sql() -> str:
+    """Out-of-bag rows and their conditioning cells for each feature that a two-level tree uses."""
+    return _rows_sql(2) + _pairs_cte() + f""",
+sp AS (SELECT tree, node, k, cut FROM cut0 UNION ALL SELECT tree, node, k, cut FROM cut1),
+ucut AS (SELECT DISTINCT tree, k, cut FROM sp),
+used AS (SELECT DISTINCT tree, k FROM sp),
+oob AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.* FROM rows r, range(0, {ROOT.ntree}) t(tree)
+        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} >= {THR}),
+idx AS (SELECT o.tree, o.id, u.k AS z, count(*) FILTER (WHERE {_xk('u.k', 'o')} > u.cut) AS i
+        FROM oob o JOIN ucut u ON o.tree = u.tree GROUP BY 1, 2, 3),
+cells AS (SELECT u.tree, u.k, o.id, coalesce(string_agg(CAST(x.i AS VARCHAR), ',' ORDER BY x.z), '') AS cell
+          FROM used u JOIN oob o ON o.tree = u.tree
+          LEFT JOIN (SELECT idx.*, p.k FROM idx JOIN pairs p ON p.z = idx.z WHERE p.conditioned) x
+            ON x.tree = u.tree AND x.id = o.id AND x.k = u.k
+          GROUP BY 1, 2, 3)"""
+
+
+def _perm2_sql() -> str:
+    def step(x: str) -> str:
+        return f"CASE WHEN {x} > c.cut THEN 1 ELSE 0 END"
+    moved = f"CASE WHEN c.k = r.k THEN r.xk_perm ELSE {_xk('c.k', 'o')} END"
+    return _cells_sql() + f""",
+po AS (SELECT c.tree, c.k, c.id, c.cell, o.y, {_xk('c.k', 'o')} AS xk
+       FROM cells c JOIN oob o ON c.tree = o.tree AND c.id = o.id),
+pa AS (SELECT *, row_number() OVER (PARTITION BY tree, k, cell
+         ORDER BY {_h(str(ROOT.seed), "'o'", 'tree', 'k', 'cell', 'id')}, id) AS rr FROM po),
+pb AS (SELECT tree, k, cell, xk AS xk_perm, row_number() OVER (PARTITION BY tree, k, cell
+         ORDER BY {_h(str(ROOT.seed), "'p'", 'tree', 'k', 'cell', 'id')}, id) AS rr FROM po),
+pj AS (SELECT pa.tree, pa.k, pa.id, pa.y, pb.xk_perm FROM pa JOIN pb
+       ON pa.tree = pb.tree AND pa.k = pb.k AND pa.cell = pb.cell AND pa.rr = pb.rr),
+leaf AS (SELECT m.tree, m.node, count(*) AS n, sum(r.y) AS sy FROM (
+           SELECT tree, id, node FROM mem2
+           UNION ALL SELECT m.* FROM mem1 m WHERE NOT EXISTS (SELECT 1 FROM cut1 c WHERE c.tree = m.tree AND c.node = m.node)
+           UNION ALL SELECT m.* FROM mem0 m WHERE NOT EXISTS (SELECT 1 FROM cut0 c WHERE c.tree = m.tree AND c.node = m.node)) m
+         JOIN rows r ON m.id = r.id GROUP BY 1, 2),
+a0 AS (SELECT o.tree, o.id, CASE WHEN c.k IS NULL THEN 1 ELSE 2 + {step(_xk('c.k', 'o'))} END AS node
+       FROM oob o LEFT JOIN cut0 c ON c.tree = o.tree),
+a1 AS (SELECT a.tree, a.id, CASE WHEN c.k IS NULL THEN a.node ELSE a.node * 2 + {step(_xk('c.k', 'o'))} END AS node
+       FROM a0 a JOIN oob o ON a.tree = o.tree AND a.id = o.id LEFT JOIN cut1 c ON c.tree = a.tree AND c.node = a.node),
+b0 AS (SELECT r.*, CASE WHEN c.k IS NULL THEN 1 ELSE 2 + {step(moved)} END AS node
+       FROM pj r JOIN oob o ON r.tree = o.tree AND r.id = o.id LEFT JOIN cut0 c ON c.tree = r.tree),
+b1 AS (SELECT r.tree, r.k, r.id, r.y, CASE WHEN c.k IS NULL THEN r.node ELSE r.node * 2 + {step(moved)} END AS node
+       FROM b0 r JOIN oob o ON r.tree = o.tree AND r.id = o.id LEFT JOIN cut1 c ON c.tree = r.tree AND c.node = r.node),
+imp AS (SELECT b.tree, b.k, avg((b.y - lb.sy / lb.n) * (b.y - lb.sy / lb.n) - (b.y - la.sy / la.n) * (b.y - la.sy / la.n)) AS value
+        FROM b1 b JOIN a1 a ON a.tree = b.tree AND a.id = b.id
+             JOIN leaf lb ON lb.tree = b.tree AND lb.node = b.node JOIN leaf la ON la.tree = a.tree AND la.node = a.node
+        GROUP BY 1, 2)"""
+
+
+@query("conditioning_cells_depth2", _cells_sql() + "\nSELECT tree, k, id, cell FROM cells")
+def q_conditioning_cells_depth2(spark, d):
+    """M10b on two-level trees: every out-of-bag row's cell for every feature its tree uses."""
+    f, inp = small_forest(spark, d, DEPTH2), forest_rows(spark, d)
+    oob = forest.subsample(inp, range(f.params.ntree), f.params, oob=True).join(inp, "id")
+    return importance.cells_fast(oob, f, importance.association_pairs(inp, FEATS, 0.80)).select("tree", "k", "id", "cell")
+
+
+@query("perm_importance_depth2", _perm2_sql() + f"""
+SELECT CAST(t.tree AS INTEGER) AS tree, CAST(kk.k AS INTEGER) AS k, coalesce(imp.value, 0.0) AS value
+FROM range(0, {ROOT.ntree}) t(tree) CROSS JOIN range(0, {P}) kk(k)
+LEFT JOIN imp ON imp.tree = t.tree AND imp.k = kk.k""", ("value:4",))
+def q_perm_importance_depth2(spark, d):
+    """M10 on two-level trees: permutation within conditioning cells, 10 trees."""
+    return importance.conditional_importance(small_forest(spark, d, DEPTH2), forest_rows(spark, d), 0.80)
+
+
+@query("oob_error_depth2", _perm2_sql() + """
+SELECT a.tree, CAST(count(*) AS BIGINT) AS n_oob, avg((o.y - l.sy / l.n) * (o.y - l.sy / l.n)) AS oob_mse
+FROM a1 a JOIN oob o ON a.tree = o.tree AND a.id = o.id JOIN leaf l ON l.tree = a.tree AND l.node = a.node
+GROUP BY a.tree""", ("oob_mse:4",))
+def q_oob_error_depth2(spark, d):
+    """M9 on two-level trees: out-of-bag error of each tree."""
+    return forest.oob_error(small_forest(spark, d, DEPTH2), forest_rows(spark, d))
+
+
+@query("forest_store_depth2", _perm2_sql() + """
+SELECT coalesce(s.tree, l.tree) AS tree, coalesce(s.node, l.node) AS node, s.k, s.cut,
+       CAST(l.n AS BIGINT) AS leaf_n, l.sy AS leaf_sum
+FROM sp s FULL JOIN leaf l ON s.tree = l.tree AND s.node = l.node""", ("cut", "leaf_sum:4"))
+def q_forest_store_depth2(spark, d):
+    """K4 + S5 on two-level trees: splits and leaves saved as parquet and loaded back."""
+    return _stored(spark, small_forest(spark, d, DEPTH2))

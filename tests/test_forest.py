@@ -281,3 +281,12 @@ def test_lineage_cuts_do_not_change_results(fitted):
     pa = sorted((r.feature, r.v, round(r.pd, 9)) for r in pdp.partial_dependence(f, inp, [0], lineage_every=2).collect())
     pb = sorted((r.feature, r.v, round(r.pd, 9)) for r in pdp.partial_dependence(f, inp, [0], lineage_every=100).collect())
     assert pa == pb
+
+
+def test_two_level_cells_are_not_empty(spark):
+    """The SQL twins of the conditional part compare real cells, not one empty key."""
+    from panelcast.plans import registry
+    registry.load_all()
+    df = registry.QUERIES["conditioning_cells_depth2"](spark, "/root/testdata/sf0.001")
+    most = df.groupBy("tree", "k").agg(F.countDistinct("cell").alias("c")).agg(F.max("c")).first()[0]
+    assert most > 1
