@@ -21,6 +21,7 @@ from ..session import scratch_path
 from ..spec import ANALOGUE as S
 from ..spec import ForestParams
 from .oracle_sql import forest_cohort_ctes
+from .q_stats import stats_from_long
 from .registry import query
 from ..session import session_key
 
@@ -527,3 +528,70 @@ FROM sp s FULL JOIN leaf l ON s.tree = l.tree AND s.node = l.node""", ("cut", "l
 def q_forest_store_depth2(spark, d):
     """K4 + S5 on two-level trees: splits and leaves saved as parquet and loaded back."""
     return _stored(spark, small_forest(spark, d, DEPTH2))
+
+
+def _named_imp_sql() -> str:
+    name = "CASE kk.k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FEATS)) + " END"
+    return _perm2_sql() + f""",
+grid2 AS (SELECT t.tree, {name} AS Feature, coalesce(imp.value, 0.0) AS value
+          FROM range(0, {ROOT.ntree}) t(tree) CROSS JOIN range(0, {P}) kk(k)
+          LEFT JOIN imp ON imp.tree = t.tree AND imp.k = kk.k),
+long AS (SELECT tree, Feature, nullif(value, 0) AS value FROM grid2)"""
+
+
+def _wide2(spark, d) -> DataFrame:
+    imp = importance.conditional_importance(small_forest(spark, d, DEPTH2), forest_rows(spark, d), 0.80)
+    return importance.per_tree_wide(imp, FEATS)
+
+
+@query("perm_importance_stats_depth2", stats_from_long(_named_imp_sql()),
+       tuple(f"{c}:4" for c in ("avg", "sd_avg", "se_avg", "avg_pkg", "lower_ci_pkg", "upper_ci_pkg",
+                                "lower_ci_avg", "upper_ci_avg")))
+def q_perm_importance_stats_depth2(spark, d):
+    """A8-A11 on the importances of the two-level forest."""
+    return stats.importance_stats(stats.per_tree_long(_wide2(spark, d), FEATS))
+
+
+@query("perm_importance_mean_depth2", _named_imp_sql() + """
+SELECT Feature, avg(value) AS value FROM grid2 GROUP BY Feature""", ("value:4",))
+def q_perm_importance_mean_depth2(spark, d):
+    """A11 on the two-level forest: mean importance over all trees, zeros included."""
+    return stats.importance_mean_all(_wide2(spark, d), FEATS)
+
+
+def _route2_sql(rows: str, keys: str, over: tuple[int, str] | None = None, tag: str = "") -> str:
+    """CTEs ``q0`` and ``q1``: rows x trees of the two-level forest at their leaves."""
+    def step() -> str:
+        return f"CASE WHEN {_xk('c.k', 'r', over)} > c.cut THEN 1 ELSE 0 END"
+    return f""",
+s{tag} AS ({rows}),
+q0{tag} AS (SELECT r.*, t.tree, CASE WHEN c.k IS NULL THEN 1 ELSE 2 + {step()} END AS node
+       FROM s{tag} r CROSS JOIN range(0, {ROOT.ntree}) t(tree) LEFT JOIN cut0 c ON c.tree = t.tree),
+q1{tag} AS (SELECT {keys}, r.tree, CASE WHEN c.k IS NULL THEN r.node ELSE r.node * 2 + {step()} END AS node
+       FROM q0{tag} r LEFT JOIN cut1 c ON c.tree = r.tree AND c.node = r.node)"""
+
+
+@query("forest_predict_depth2", _perm2_sql() + _route2_sql("SELECT * FROM rows", "r.id") + """
+SELECT q1.id, sum(l.sy) / sum(l.n) AS pred FROM q1 JOIN leaf l ON l.tree = q1.tree AND l.node = q1.node
+GROUP BY q1.id""", ("pred",))
+def q_forest_predict_depth2(spark, d):
+    """M8f on two-level trees."""
+    return forest.predict_forest(small_forest(spark, d, DEPTH2), forest_rows(spark, d))
+
+
+def _pd2_sql(features: list[int]) -> str:
+    parts, ctes = [], ""
+    for i in features:
+        grid = (f"SELECT r.*, g.v FROM rows r CROSS JOIN (SELECT CASE WHEN ng > 1 THEN lo + j * (hi - lo) / (ng - 1) "
+                f"ELSE lo END AS v FROM (SELECT min(x{i}) AS lo, max(x{i}) AS hi, least(count(DISTINCT x{i}), 25) AS ng "
+                f"FROM rows), range(0, 25) t(j) WHERE j < ng) g")
+        ctes += _route2_sql(grid, "r.id, r.v", (i, "r.v"), str(i))
+        parts.append(f"SELECT '{FEATS[i]}' AS feature, v, avg(p) AS pd FROM (SELECT q.v, q.id, sum(l.sy) / sum(l.n) AS p "
+                     f"FROM q1{i} q JOIN leaf l ON l.tree = q.tree AND l.node = q.node GROUP BY 1, 2) GROUP BY v")
+    return _perm2_sql() + ctes + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("partial_dependence_depth2", _pd2_sql(list(range(P))), ("v", "pd:4"))
+def q_partial_dependence_depth2(spark, d):
+    """M11 and M12 on two-level trees: partial dependence on every feature in one job."""
+    return pdp.partial_dependence(small_forest(spark, d, DEPTH2), forest_rows(spark, d))

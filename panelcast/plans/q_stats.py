@@ -56,9 +56,10 @@ def q_melt_importance(spark, d):
     return stats.per_tree_long(matrix(spark, d), FEATS).select("Feature", "value")
 
 
-def _stats_sql() -> str:
+def stats_from_long(long_sql: str) -> str:
+    """The statistics of a CTE ``long`` (Feature, value)."""
     t = t_quantile_sql(0.975, "n_avg - 1")
-    return _long_sql() + f""",
+    return long_sql + f""",
 g AS (SELECT Feature, avg(value) AS avg, stddev_samp(value) AS sd_avg,
              CAST(count(value) AS BIGINT) AS n_avg FROM long GROUP BY Feature),
 h AS (SELECT *, sd_avg / sqrt(CAST(n_avg AS DOUBLE)) AS se_avg, {t} AS t FROM g)
@@ -68,6 +69,10 @@ SELECT Feature, avg, sd_avg, n_avg, se_avg, avg AS avg_pkg,
 FROM h"""
 
 
+def _stats_sql() -> str:
+    return stats_from_long(_long_sql())
+
+
 _SD = ("avg", "sd_avg", "se_avg", "avg_pkg", "lower_ci_pkg", "upper_ci_pkg",
        "lower_ci_avg", "upper_ci_avg")
 
