@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_half_away
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_path, write_stage
 from ..spec import ForestParams
 
 MAX_LEVELS = 61   # node ids are binary paths in a BIGINT; growth raises beyond, it never just stops
@@ -220,7 +220,7 @@ class Forest:
 
 def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int,
                bounds: list[list[float]]):
-    """One level: returns (splits, leaves, next membership) for the active nodes in ``m``.
+    """One level: returns (splits, their path, leaves, next membership) for the active nodes in ``m``.
 
     Only the splits are written here; the leaves stay a lazy plan over this
     level's (already written) membership and are materialised once at the end."""
@@ -228,32 +228,38 @@ def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, d
     stats = node_stats(mx, n_features)
     var = select_variable(stats, n_features, p)
     cuts = best_cut(mx, var, p.minbucket, bounds)
-    splits = cut_lineage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "splits")
+    splits, path = write_stage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "level-splits")
     leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
     nxt = (mx.join(splits, ["tree", "node"])
            .select("tree", "id", child(F.col("node"), F.col("xs")[F.col("k")], F.col("cut")).alias("node")))
-    return splits, leaves, nxt
+    return splits, path, leaves, nxt
 
 
 def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataFrame, DataFrame, int]:
-    """M8e: grow ``p.ntree`` trees level by level, in batches of ``p.tree_batch`` trees."""
+    """M8e: grow ``p.ntree`` trees level by level, in batches of ``p.tree_batch`` trees.
+
+    The levels' tables go once the forest's splits and leaves are written."""
     # written once: every level's plan then starts from a plain scan (short to analyse,
     # real size statistics, and nothing to recompute if an executor is lost)
-    inp = cut_lineage(inp, "forest-input")
+    inp, path = write_stage(inp, "forest-input")
+    spent = [path]
     bounds = value_blocks(inp, n_features, p.blocks)
     all_splits, all_leaves, deepest = [], [], 0
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
-        m = cut_lineage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")), "members")
+        m, path = write_stage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")), "members")
+        spent.append(path)
         for depth in range(p.max_depth):
-            splits, leaves, nxt = grow_level(m, inp, n_features, p, depth, bounds)
+            splits, path, leaves, nxt = grow_level(m, inp, n_features, p, depth, bounds)
+            spent.append(path)
             all_leaves.append(leaves)
             if splits.isEmpty():
                 m = None
                 break
             all_splits.append(splits)
             deepest = max(deepest, depth + 1)
-            m = cut_lineage(nxt, "members")
+            m, path = write_stage(nxt, "members")
+            spent.append(path)
         if m is not None and p.max_depth >= MAX_LEVELS:
             raise ValueError(f"a tree is deeper than {MAX_LEVELS} levels: node ids end there")
         if m is not None:   # the depth limit that was asked for: the remaining nodes are leaves
@@ -263,6 +269,8 @@ def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataF
     spark = leaves.sparkSession
     splits = (cut_lineage(_union(all_splits), "splits") if all_splits else
               spark.createDataFrame([], "tree int, node bigint, k int, cut double, depth int"))
+    for path in spent:
+        drop_path(spark, path)
     return splits, leaves, deepest
 
 

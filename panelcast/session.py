@@ -66,10 +66,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     the re-read relation carries real size statistics, so the planner can
     still choose broadcast joins on it.
     """
+    return write_stage(df, name)[0]
+
+
+def write_stage(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """:func:`cut_lineage` with the table's path, for :func:`drop_path` once nothing reads it any more."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -290,3 +290,23 @@ def test_two_level_cells_are_not_empty(spark):
     df = registry.QUERIES["conditioning_cells_depth2"](spark, "/root/testdata/sf0.001")
     most = df.groupBy("tree", "k").agg(F.countDistinct("cell").alias("c")).agg(F.max("c")).first()[0]
     assert most > 1
+
+
+def test_growth_leaves_two_tables(spark):
+    import os
+    from panelcast.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    inp, _ = fixture(spark)
+    before = set(os.listdir(base))
+    splits, leaves, _ = forest.grow_forest(inp, ForestParams(ntree=2, mtry=2, max_depth=2, seed=7, blocks=8), 3)
+    made = sorted(x.split("-")[1] for x in set(os.listdir(base)) - before if not x.endswith(".crc"))
+    assert made == ["leaves", "splits"] and splits.count() > 0 and leaves.count() > 0
+
+
+def test_checkpoint_folder_is_needed_off_a_local_master():
+    from types import SimpleNamespace
+    from panelcast.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d: d)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
