@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import read_table, small_batches
+from .storage import arrow_type, read_table, small_batches
 from .template import compile_template
 
 # The control strings of the template and of other common formats.
@@ -83,8 +83,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     rows = (conversations.select("conv_id", "turn", "role", "text").repartition("conv_id")
             .sortWithinPartitions("conv_id", "turn", "role", "text"))
     kind = dict(conversations.dtypes)["conv_id"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return rows.mapInArrow(_render(template, arrow), f"conv_id {kind}, part long, text string, generated boolean")
+    return rows.mapInArrow(_render(template, arrow_type(conversations, "conv_id")), f"conv_id {kind}, part long, text string, generated boolean")
 
 
 def turns(parts: Iterable[str]) -> Iterator[tuple[str, str]]:
@@ -148,9 +147,8 @@ def _digest(kind: pa.DataType):
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digest of each conversation, from the output of :func:`format_conversations`."""
     kind = dict(formatted.dtypes)["conv_id"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return formatted.mapInArrow(
-        _digest(arrow), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
+        _digest(arrow_type(formatted, "conv_id")), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
         "loss_sha256 string, formatted_chars long")
 
 

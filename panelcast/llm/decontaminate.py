@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .storage import cut_lineage, read_table, small_batches
+from .storage import arrow_type, cut_lineage, read_table, small_batches
 
 WINDOW, STRIDE, RATE, ANCHOR = 20, 10, 0.15, 5
 #: Units in a broadcast block: some 30 MB.
@@ -218,7 +218,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     distance, and the words after the first and the last match (first_end, last_end)."""
     spark = docs.sparkSession
     d, i = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    kind = pa.string() if i == "string" else pa.int32() if i == "int" else pa.int64()
+    kind = arrow_type(benchmark, "item_id")
     schema = f"doc_id {d}, item_id {i}, unit long, distance long, end_word long"
     parts = [docs.select("doc_id", "text").mapInArrow(_matches(spark.sparkContext.broadcast(b), kind), schema)
              for b in index_blocks(benchmark, **options)]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .storage import cut_lineage, read_table, small_batches
+from .storage import arrow_type, cut_lineage, read_table, small_batches
 
 SEGMENT, SAMPLES, SEED = 4096, 512, 20240711
 WALK = 3 * SEGMENT
@@ -258,7 +258,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, rows=1000, mb=8)
     kind = dict(docs.dtypes)["doc_id"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = arrow_type(docs, "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text").alias("_tie")
     dealt = (docs.select("doc_id", "text", tie).repartitionByRange(parts, "doc_id", "_tie")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_path, ensure_checkpoint_dir, scratch_path
 
-__all__ = ["ascii_lower", "cut_lineage", "drop_path", "ensure_checkpoint_dir", "held_out", "read_table",
+__all__ = ["arrow_type", "ascii_lower", "cut_lineage", "drop_path", "ensure_checkpoint_dir", "held_out", "read_table",
            "row_id", "scratch_path", "ship_package", "small_batches"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,6 +37,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def arrow_type(df: DataFrame, column: str):
+    """The Arrow type of a column."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A number for each row.  Write the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
