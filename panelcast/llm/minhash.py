@@ -45,7 +45,7 @@ SEED = 20240613
 #: Standard deviations that an estimate may lie below the threshold before a candidate is dropped.
 SIGMAS = 5.5
 #: Bands whose buckets are joined by stars first.
-FIRST_BANDS = 4
+FIRST_BANDS = 8
 #: Members of a bucket whose pairs are all compared by their estimates; larger buckets take the prefix filter.
 SMALL = 16
 #: Ids that may go to the scan of the texts as a broadcast: some 50 MB.
@@ -208,7 +208,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "n", "token"])
 
 
-def rare_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _prefix_join(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components that may be links; ``members``: (id, component), each id once.
 
     An exact prefix filter.  Two sets of x and y shingles that are links share ``least`` of them; with all
@@ -232,7 +232,12 @@ def rare_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     may = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
     return (x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b"))
                    & (F.col("component_a") != F.col("component_b")) & may)
-            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
+def rare_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that may be links, each once (see :func:`_prefix_join`)."""
+    return _prefix_join(members, texts, percent).distinct()
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
