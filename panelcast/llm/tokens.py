@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-KEEP, KEEP_CHARS = 600_000, 48
+KEEP, KEEP_CHARS = 400_000, 48
 
 # The pre-tokenizer's own pattern, for lower-case texts of ASCII and Latin-1 letters.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
