@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .storage import arrow_type, cut_lineage, read_table, small_batches
+from .storage import arrow_type, cut_lineage, read_table, scratch_path, small_batches
 
 SEGMENT, SAMPLES, SEED = 4096, 512, 20240711
 WALK = 3 * SEGMENT
@@ -266,8 +266,10 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
              .select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")))
     schema = (f"n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
-    made = cut_lineage(dealt.mapInArrow(_neighbours(arrow), f"role string, part long, doc_id {kind}, text string, "
-                                        + schema), "neighbours")
+    path = scratch_path(spark, "neighbours")
+    (dealt.mapInArrow(_neighbours(arrow), f"role string, part long, doc_id {kind}, text string, " + schema)
+     .write.option("compression", "zstd").parquet(path))  # hex digits: half the size
+    made = spark.read.parquet(path)
     firsts = made.where("role = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"),
                                                  F.col("fingerprint").alias("next_print"))
     # the part after each part, by number; after the last one comes the first
