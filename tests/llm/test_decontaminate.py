@@ -106,3 +106,30 @@ def test_empty_tables(make_docs, bench):
     assert dc.find_matches(docs.limit(0), table).count() == 0
     assert dc.find_matches(docs, table.limit(0)).count() == 0
     assert dc.drop_contaminated(docs, table.limit(0)).count() == 1
+
+
+def test_a_short_passage_is_found_wherever_it_starts(make_docs, spark):
+    rng = random.Random(11)
+    item = [f"p{i}" for i in range(60)]
+    table = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"long{i}" for i in range(2500)))], "item_id long, text string")
+    rows, want = [], set()
+
+    def add(words, found):
+        if found:
+            want.add(len(rows))
+        rows.append((len(rows), "before it " + " ".join(words) + " after it"))
+    for s in range(61 - 13):
+        add(item[s:s + 13], True)
+        add([w if i != s % 13 else "changed" for i, w in enumerate(item[s:s + 13])], True)
+        add(item[s:s + 11], False)
+    for s in range(61 - 20):
+        errors = rng.sample(range(20), 3)
+        add([w if i not in errors else "changed" for i, w in enumerate(item[s:s + 20])], True)
+    for s in range(980, 1005):  # where parts of a long item meet
+        add([f"long{i}" for i in range(s, s + 13)], True)
+    for block in (400_000, 40):
+        got = dc.find_matches(make_docs(rows), table, block=block).collect()
+        assert {r.doc_id for r in got} == want and len(got) == len(want)
+    kept = dc.drop_contaminated(make_docs(rows), table).collect()
+    assert {r.doc_id for r in kept} == set(range(len(rows))) - want
+    assert {r.n_units for r in dc.find_matches(make_docs([" ".join(item)]), table).collect()} == {41 + 48}
