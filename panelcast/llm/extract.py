@@ -11,8 +11,10 @@ there.  Over the m pages that have the node,
 Menus, adverts and footers repeat, so their nodes score near 0; articles don't and score near 1.  A
 host with fewer than ``MIN_PAGES`` pages of a node takes the node's importance from the tree of all
 hosts.  The importance is multiplied by the weight of the element's role: elements that the
-page itself names as menu, header, footer, sidebar, notice, advert, form or comments weigh ``ROLE_WEIGHT``,
-since unique adverts and comments look like content.  A branch below ``THRESHOLD`` is removed from each
+page itself names as menu, header, footer, sidebar, notice, advert, form or comments weigh ``ROLE_WEIGHT``
+and more with the words that they hold, up to 1 at ``RICH`` words: a unique advert of a few words goes, a
+unique branch with much text stays, and one that repeats goes as any other does.  A name on a *wrapper*, an
+element that holds all that there is to judge, counts nothing.  A branch below ``THRESHOLD`` is removed from each
 page.  Where a page has an article or main element, its text is taken from there, and paragraphs
 and headings directly in it are not judged: copies of an article are still articles.
 
@@ -22,11 +24,12 @@ are ``FEW`` at most, and by a join on each page's own nodes beyond that.
 
 Defined results: a null or empty html has an empty text; a null url is a host of its own; repeated
 rows are pages each; if all branches of a page are low, the text of its highest branch outside the
-named roles stays; an empty table gives an empty result; other columns are not read.
+named roles stays, and of its highest branch outside menus and buttons if all text is in named roles; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 from .htmltree import CONTAINER, CONTENT, Node, digest, parse
 from .storage import cut_lineage, read_table, small_batches
 
-GAMMA, THRESHOLD, MIN_PAGES, ROLE_WEIGHT, FEW = 0.9, 0.4, 4, 0.3, 200_000
+GAMMA, THRESHOLD, MIN_PAGES, ROLE_WEIGHT, RICH, FEW = 0.9, 0.4, 4, 0.3, 400, 200_000
 
 # Elements, and words in class, id or role, that name what isn't the article.
 ROLE_TAGS = set("nav header footer aside form menu dialog select search button option optgroup".split())
+#: Elements that are never a page's text, not even if there is nothing else.
+NO_PROSE = set("nav menu dialog select search button option optgroup".split())
 ROLE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets notice notices cookie "
@@ -74,9 +79,39 @@ def page_nodes(page: str) -> Iterator[tuple[int, int, int]]:
         yield path, digest("|".join(style)), digest("\n".join(content))
 
 
+def wrappers(roles: set[int], some: list[tuple[str, Node]], blocks: list[tuple[str, Node]]) -> set[int]:
+    """Named elements (ids) that hold all of ``some`` blocks and half of the text that stands in no other named element."""
+    held = Counter(id(x) for _, n in some for x in n.above() if id(x) in roles and x.tag not in NO_PROSE)
+    every = {x for x, c in held.items() if c == len(some)}
+    if not every or some is blocks:
+        return every
+    size, all_size = Counter(), 0
+    for t, n in blocks:
+        names = {id(x) for x in n.above() if id(x) in roles}
+        if names <= every:
+            all_size += len(t)
+            size.update({x: len(t) for x in names})
+    return {x for x in every if 2 * size[x] >= all_size}
+
+
 def main_text(page: str, importance: Callable[[int], float]) -> str:
     """The blocks of a page that stand in no low branch; ``importance``: of a path, 1 if it isn't low."""
-    _, blocks = parse(page)
+    nodes, blocks = parse(page)
+    roles = {id(n) for n in nodes if named_role(n)}
+
+    def in_role(n: Node) -> bool:
+        return any(id(x) in named for x in n.above())
+
+    inside = [(t, n) for t, n in blocks if any(x.tag in CONTENT for x in n.above())]
+    named = roles - wrappers(roles, inside, blocks)
+    if any(not in_role(n) for _, n in inside):
+        blocks = inside
+    else:
+        named = roles - wrappers(roles, blocks, blocks)
+    words = Counter()
+    for t, n in blocks if named else ():
+        size = len(t.split())
+        words.update({id(x): size for x in n.above() if id(x) in named})
     scores: dict[int, float] = {}
 
     def score(n: Node) -> float:
@@ -87,21 +122,18 @@ def main_text(page: str, importance: Callable[[int], float]) -> str:
             x = x.parent
         least = scores[id(x)] if x else 1.0
         for x in reversed(way):
-            role = named_role(x)
-            if role or x.tag in CONTAINER:
-                least = min(least, importance(x.path) * (ROLE_WEIGHT if role else 1))
+            if id(x) in named:
+                rich = min(1.0, words[id(x)] / RICH)
+                least = min(least, importance(x.path) * (ROLE_WEIGHT + (1 - ROLE_WEIGHT) * rich))
+            elif id(x) in roles or x.tag in CONTAINER:
+                least = min(least, importance(x.path))
             scores[id(x)] = least
         return least
 
-    def in_role(n: Node) -> bool:
-        return any(named_role(x) for x in n.above())
-
-    inside = [(t, n) for t, n in blocks if any(x.tag in CONTENT for x in n.above())]
-    if any(not in_role(n) for _, n in inside):
-        blocks = inside
     kept = [t for t, n in blocks if score(n) >= THRESHOLD]
     if not kept:
-        rest = [(t, n) for t, n in blocks if not in_role(n)]
+        rest = ([(t, n) for t, n in blocks if not in_role(n)]
+                or [(t, n) for t, n in blocks if not any(x.tag in NO_PROSE for x in n.above())])
         best = max((score(n) for _, n in rest), default=0)
         kept = [t for t, n in rest if score(n) == best]
     return "\n".join(kept)

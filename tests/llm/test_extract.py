@@ -80,3 +80,35 @@ def test_odd_pages(spark):
     assert by[1].text == by[2].text == "" and by[1].n_chars == 0 and by[3].text == "x" and by[None].text == "y"
     assert by[4].text == "deep" and by[5].n_chars == 999999
     assert extract.extract_pages(pages.limit(0)).count() == 0
+
+
+MANY = " ".join(f"word{i}" for i in range(120))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div class='has-sidebar'><article><p>x</p></article><div class=sidebar>s</div></div>", "x"),
+    ("<div id='search-results'><nav>n</nav><main><p>x</p></main></div>", "x"),
+    ("<body class=app><div class=no-ads><article><p>x</p><div class=ad>buy</div></article></div>", "x"),
+    ("<form><header>h</header><nav>n</nav><article><p>x</p></article><footer>f</footer></form>", "x"),
+    ("<form><div class=menu>m</div><div><p>x</p></div></form>", "x"),
+    ("<div class='has-sidebar'><p>x</p><div class=sidebar>s</div></div>", "x"),
+    ("<div class='banner'>a</div><div class='promo'>b</div>", "a\nb"),
+    ("<div class=has-sidebar><article><p>x</p></article><section class=comments><article>c</article></section></div>", "x"),
+    (f"<div><p>the body</p></div><aside class=related><article>t</article></aside><p>{MANY}</p>", f"the body\n{MANY}"),
+    (f"<div><p>x</p></div><div class=legal><p>{MANY}</p></div>", f"x\n{MANY}"),
+])
+def test_a_name_alone_does_not_decide(page, want):
+    assert text(page) == want
+
+
+def test_the_style_tree_judges_named_branches(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    same = " ".join(f"s{i}" for i in range(120))
+    for i in range(12):
+        main, own = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(k)) for k in (30, 120))
+        rows.append((i, f"http://h/{i}", f"<div class=body><p>{main}</p></div><div class=related><p>{own}</p></div>"
+                                         f"<div class=legal><p>{same}</p></div><div class=ad>ad{i}</div>"))
+        want.append(f"{main}\n{own}")
+    got = extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == want
