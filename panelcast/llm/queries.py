@@ -21,6 +21,5 @@ ORACLE = {
     "op4_license_scan": sql.OP4,
     "op5_line_dedup": sql.OP5,
     "op6_chat_format": sql.OP6,
-    "op9_language_id": langid.op9_language_id,
     "op10_minhash": sql.OP10,
 }

@@ -76,3 +76,9 @@ def test_without_known_languages(make_docs):
     docs = make_docs(["ka ko", "mi"], [None, None])
     langs, p = langid.train(docs)
     assert langs == [] and {r.lang_pred for r in langid.predict(docs, langs, p).collect()} == {"und"}
+
+
+def test_every_registered_twin_is_sql():
+    from panelcast.llm.queries import ORACLE, QUERIES
+    assert "op9_language_id" in QUERIES and "op9_language_id" not in ORACLE
+    assert all(isinstance(twin, str) for twin in ORACLE.values())
