@@ -47,3 +47,35 @@ def test_only_the_rarest_words_are_looked_up(make_docs):
 
 def test_empty_table(make_docs):
     assert ls.scan_licenses(make_docs(ROWS).limit(0)).count() == 0
+
+
+def notice():
+    """One file that holds every template, and files that make some of its words common."""
+    every = "\n\n".join(f"Part {i}.\n{text}." for i, (_, text, _) in enumerate(ls.TEMPLATES))
+    common = ["licensed under apache license version", "released under mit license", "gnu general public terms"] * 20
+    return [(1, every), *((100 + i, t) for i, t in enumerate(common))]
+
+
+def test_a_file_with_all_templates(make_docs):
+    labels = {label for label, _, _ in ls.TEMPLATES}
+    files = ls.cut_lineage(ls.read_files(make_docs(notice())), "files")
+    row = files.where("_id = 1").first()._row
+    found = [r for r in ls.find_licenses(files).collect() if r._row == row]
+    assert {r.label for r in found} == labels and len(found) == len(ls.TEMPLATES)
+    assert {r.score for r in found} == {1.0}
+    alone = ls.cut_lineage(ls.read_files(make_docs(notice()[:1])), "files")  # other files change nothing
+    assert sorted(r[1:] for r in ls.find_licenses(alone).collect()) == sorted(r[1:] for r in found)
+    row = {r.doc_id: r for r in ls.scan_licenses(make_docs(notice())).collect()}[1]
+    assert set(row.labels.split(",")) == labels | set(ls.BASE.values()) - {"reserved"} and row.score == 1.0
+
+
+def test_a_file_with_all_templates_as_the_sql_twin_has_it(make_docs):
+    import duckdb
+
+    from panelcast.llm.sql import OP4
+    con, docs = duckdb.connect(), make_docs(notice())
+    documents = docs.select("doc_id", "text").toArrow()
+    con.register("documents", documents)
+    want = con.sql(OP4)
+    got = ls.scan_licenses(docs).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
