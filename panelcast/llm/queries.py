@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, extract, fingerprint, langid, license_scan, line_dedup, minhash, packing, sql, toxicity
+from . import (chat, decontaminate, extract, fingerprint, langid, license_scan, line_dedup, minhash, packing, runs, sql,
+               toxicity, trie)
 
 QUERIES = {
     "op1_html": extract.op1_html,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": langid.op9_language_id,
     "op10_minhash": minhash.op10_minhash,
+    "op11_runs": runs.op11_runs,
+    "op12_trie": trie.op12_trie,
 }
 
 ORACLE = {
@@ -22,4 +25,6 @@ ORACLE = {
     "op5_line_dedup": sql.OP5,
     "op6_chat_format": sql.OP6,
     "op10_minhash": sql.OP10,
+    "op11_runs": sql.OP11,
+    "op12_trie": sql.OP12,
 }

@@ -96,3 +96,75 @@ SELECT conv_id, count(*) AS n_turns,
          AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of a text, unsigned, as SQL."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), "
+            "lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), "
+            "[0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)")
+
+
+OP11 = rf"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         {_crc32('doc_id::VARCHAR')} AS h FROM documents),
+p AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM p),
+words AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM q)),
+often AS (SELECT doc_id, word FROM words GROUP BY 1, 2 HAVING count(*) >= 4),
+frequent AS (SELECT words.* FROM words JOIN often USING (doc_id, word)),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM frequent x JOIN frequent y
+         ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS s FROM same)
+  GROUP BY doc_id, q, s HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretch x WHERE NOT EXISTS (
+  SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.start <= x.start
+  AND y.start + y.length >= x.start + x.length)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, start, q) AS place FROM runs),
+sums AS (SELECT doc_id, count(*) AS n_runs,
+         string_agg(concat(start, ',', length, ',', q, chr(10)), '' ORDER BY start, q) AS listed FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words x
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.q AND x.i < r.start + r.length)
+  GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length,
+       b.q::BIGINT AS period, ((1000 * b.length) // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+     LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (doc_id)
+"""
+
+OP12 = rf"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(role), ':', role, text))) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('conv_id::VARCHAR')} % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 AS own, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+      UNION ALL SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+path AS (
+  SELECT conv_id, row_number() OVER w AS d, length(text) AS chars,
+         sha256(string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER w) AS key
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT d, key, min(conv_id) AS top, count(*) AS n, min(chars) AS chars FROM path GROUP BY d, key),
+up AS (SELECT u.d, u.key, m.key AS pkey, m.top AS parent FROM node u
+       JOIN path x ON x.conv_id = u.top AND x.d = u.d - 1 JOIN node m ON m.d = x.d AND m.key = x.key),
+kids AS (SELECT d - 1 AS d, pkey AS key, count(*) AS k FROM up GROUP BY 1, 2),
+sub AS (SELECT x.d, x.key, count(*) FILTER (WHERE k IS NULL) AS leaves, sum((u.n - 1) * u.chars) AS saved
+        FROM node u LEFT JOIN kids ON kids.d = u.d AND kids.key = u.key
+        JOIN path x ON x.conv_id = u.top AND x.d <= u.d GROUP BY 1, 2),
+ends AS (SELECT d, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM path JOIN (SELECT conv_id, max(d) AS d FROM path GROUP BY 1) USING (conv_id, d) GROUP BY d, key)
+SELECT node.top AS conv_id, node.d AS depth, up.parent AS parent_conv_id, n AS n_convs,
+       coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sub USING (d, key) LEFT JOIN up USING (d, key) LEFT JOIN kids USING (d, key) LEFT JOIN ends USING (d, key)
+"""
