@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat, decontaminate, extract, fingerprint, langid, license_scan, line_dedup, minhash, packing, runs, sql,
-               toxicity, trie)
+from . import (chat, decontaminate, extract, fingerprint, langid, license_scan, line_dedup, minhash, packing, quality, runs,
+               sql, toxicity, trie)
 
 QUERIES = {
     "op1_html": extract.op1_html,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
     "op11_runs": runs.op11_runs,
     "op12_trie": trie.op12_trie,
+    "op13_quality": quality.op13_quality,
 }
 
 ORACLE = {
