@@ -18,16 +18,21 @@ level is therefore a handful of aggregates:
   then cumulative sums in value order;
 * the split is applied by a join on (tree, node).
 
-Trees are grown level by level (a driver loop over depth only); each level's
-membership table is checkpointed to the shared checkpoint folder, so lineage
-stays short and a lost executor recomputes one level at most.  Node 1 of every
-tree holds all its rows, so every key includes the tree id.
+Node 1 of every tree holds all its rows, so every key includes the tree id.  A tree's rows travel
+together, in bag and out of it, with target and features.  Nodes of more than ``ForestParams.subtree_rows``
+rows grow level by level (a driver loop over depth only, each level written to the shared checkpoint
+folder); once a node has fewer, one task finishes its whole subtree with the same arithmetic
+(:mod:`.subtree`), so what remains of a tree is one job and not some twenty levels.  Either way the
+result is three tables: splits, leaves, and members (tree, id, leaf, in bag, target), from which predictions,
+out-of-bag errors and the base errors of importance are read without routing.
 
-Rows are identified by ``id``; features travel as one array column ``xs``.
-Membership of a row in a tree's subsample is a pure function of
-(seed, tree, id), so the out-of-bag rows are recomputed, never stored.
+Several forests grow in one job: rows carry a ``cohort`` number, and cohort c has the trees from
+``c * ntree`` on, so (tree, node) keys tell the cohorts apart.
 
-NULL: a row without a target is not learned from.  A NULL feature takes no part in its
+Rows are identified by ``id`` within a cohort; features travel as one array column ``xs``.  A tree's subsample
+has exactly floor(fraction * n) rows, those with the smallest (hash of (seed, tree, id), id).
+
+NULL: a row without a target is not learned from.  A NULL feature (NaN counts as one) takes no part in its
 association, its cut candidates and their counts; a row whose split value is NULL goes
 left, in growth and in routing alike.
 """
@@ -36,17 +41,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_half_away
-from ..session import cut_lineage, drop_path, write_stage
+from ..session import cut_lineage, drop_path, scratch_path, ship_package, write_stage
 from ..spec import ForestParams
+from . import subtree
+from .subtree import MAX_LEVELS, ROUND
 
-MAX_LEVELS = 61   # node ids are binary paths in a BIGINT; growth raises beyond, it never just stops
-ROUND = 6   # statistics are compared at 6 decimals so both engines pick the same argmax
+#: Rows of a subsample's histogram bucket that are ranked, about.
+RANKED = 4096
 
 
 def hash32(*parts) -> Column:
@@ -57,38 +67,84 @@ def hash32(*parts) -> Column:
                   16, 10).cast("bigint")
 
 
-def in_bag_threshold(fraction: float) -> int:
-    return int(math.floor(fraction * 2 ** 32))
+def bag_size(n: Column, fraction: float) -> Column:
+    """floor(fraction * n), in whole numbers (the fraction in millionths)."""
+    of = n * round(fraction * 1_000_000)
+    return ((of - of % 1_000_000) / 1_000_000).cast("bigint")
 
 
 def forest_input(cohort: DataFrame, features: Sequence[str], target: str,
-                 id_col: Column | None = None) -> DataFrame:
-    """(id, y, xs): row id, target and the feature array."""
+                 id_col: Column | None = None, number: int = 0) -> DataFrame:
+    """(cohort, id, y, xs): number of the cohort, row id, target and the feature array."""
     from ..sources.panel import row_id
     rid = id_col if id_col is not None else row_id()
+
+    def feature(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
     return cohort.where(F.col(target).isNotNull()).select(
-        rid.alias("id"), F.col(target).cast("double").alias("y"),
-        F.array(*[F.col(c).cast("double") for c in features]).alias("xs"))
+        F.lit(number).alias("cohort"), rid.alias("id"), F.col(target).cast("double").alias("y"),
+        F.array(*[feature(c) for c in features]).alias("xs"))
 
 
 # --- M8a: subsample -----------------------------------------------------------
 
-def _tree_rows(inp: DataFrame, trees: Sequence[int]) -> DataFrame:
+def _with_cohort(inp: DataFrame) -> DataFrame:
+    return inp if "cohort" in inp.columns else inp.withColumn("cohort", F.lit(0))
+
+
+def cohort_of(tree: Column, p: ForestParams) -> Column:
+    return F.floor(tree / p.ntree).cast("int")
+
+
+def _tree_rows(inp: DataFrame, trees: Sequence[int], ntree: int = 0) -> DataFrame:
+    """Every row once for each of its cohort's trees, numbered ``cohort * ntree + t`` for t in ``trees``."""
     t0, t1 = min(trees), max(trees)
-    return inp.select("*", F.explode(F.sequence(F.lit(t0), F.lit(t1))).alias("tree"))
+    tree = F.explode(F.sequence(F.lit(t0), F.lit(t1)))
+    out = inp.select("*", tree.alias("tree"))
+    return out.withColumn("tree", F.col("tree") + F.col("cohort") * ntree) if "cohort" in inp.columns and ntree else out
 
 
-def subsample(inp: DataFrame, trees: Sequence[int], p: ForestParams, oob: bool = False) -> DataFrame:
-    """(tree, id) of the rows in each tree's subsample (or out of bag).
+def draw(inp: DataFrame, trees: Sequence[int], p: ForestParams) -> DataFrame:
+    """(tree, h0, id0): the last row, by (hash, id), of each tree's subsample of exactly floor(fraction * n) rows.
 
-    Sampling without replacement with inclusion probability ``fraction``,
-    decided per (tree, row) by a seeded hash: no window over a tree's rows, no
-    shuffle; the complement (out of bag) is the same expression negated.
+    Selection of the k-th smallest: counts of the hash's top bits per tree, then only the rows of the bucket that
+    holds the k-th are ranked.  The number of buckets follows n, so some ``RANKED`` rows a tree are; the
+    result doesn't depend on it.  A cohort too small for a subsample (k = 0) gives no row.
     """
+    rows = _with_cohort(inp).select("cohort", "id")
+    sizes = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 1
+    bits = min(16, max(0, math.ceil(math.log2(most / RANKED))))
+    pairs = _tree_rows(rows, trees, p.ntree).select(
+        "cohort", "tree", "id", hash32(p.seed, "s", F.col("tree"), F.col("id")).alias("h"))
+    bucket = F.shiftright("h", 32 - bits).alias("bucket")
+    counts = pairs.groupBy("cohort", "tree", bucket).agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("tree").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    rank = bag_size(F.col("n"), p.fraction) - F.col("before")
+    edge = (counts.withColumn("before", before).join(sizes, "cohort").withColumn("rank", rank)
+            .where("rank > 0 AND rank <= m").select("tree", "bucket", "rank"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("h", "id"))
+    return (pairs.withColumn("bucket", bucket).join(edge, ["tree", "bucket"]).withColumn("place", place)
+            .where("place = rank").select("tree", F.col("h").alias("h0"), F.col("id").alias("id0")))
+
+
+def root_rows(inp: DataFrame, trees: Sequence[int], p: ForestParams, drawn: DataFrame | None = None) -> DataFrame:
+    """The columns of ``inp`` with tree and ``bag`` (the row is in the tree's subsample), every row once a tree."""
+    drawn = draw(inp, trees, p) if drawn is None else drawn
     h = hash32(p.seed, "s", F.col("tree"), F.col("id"))
-    thr = in_bag_threshold(p.fraction)
-    cond = h >= thr if oob else h < thr
-    return _tree_rows(inp.select("id"), trees).filter(cond).select("tree", "id")
+    inside = (h < F.col("h0")) | ((h == F.col("h0")) & (F.col("id") <= F.col("id0")))
+    # one row a tree: as many as ntree x cohorts, both parameters
+    return (_tree_rows(_with_cohort(inp), trees, p.ntree).join(F.broadcast(drawn), "tree", "left")
+            .withColumn("bag", F.coalesce(inside, F.lit(False))).drop("h0", "id0"))
+
+
+def subsample(inp: DataFrame, trees: Sequence[int], p: ForestParams, oob: bool = False) -> DataFrame:
+    """(tree, id) of the rows in each tree's subsample (or out of bag): sampling without replacement of
+    exactly floor(fraction * n) rows (see :func:`draw`)."""
+    rows = root_rows(_with_cohort(inp).select("cohort", "id"), trees, p)
+    return rows.where(~F.col("bag") if oob else F.col("bag")).select("tree", "id")
 
 
 # --- M8b: candidate features ------------------------------------------------------
@@ -110,19 +166,63 @@ def candidates(nodes: DataFrame, n_features: int, p: ForestParams) -> DataFrame:
 
 # --- node moments -----------------------------------------------------------------
 
-def node_stats(m: DataFrame, n_features: int) -> DataFrame:
-    """Per (tree, node): n, sy and, per feature over the rows where it isn't NULL, arrays nk (rows),
-    my and vy (mean and variance of y), vx and cxy -- one aggregate."""
-    y = F.col("y")
+@dataclass(frozen=True)
+class Centre:
+    """Each cohort's means of y and of its features, by the cohort's number, and whether a feature is never NULL."""
+    means: tuple[tuple[float, ...], ...]   # cohort -> (y, x0, x1, ...)
+    full: tuple[bool, ...]
+
+    def of(self, i: int, cohort: Column | None) -> Column:
+        """The mean of y (0) or of feature i - 1, for a row's cohort."""
+        if len(self.means) == 1 or cohort is None:
+            return F.lit(self.means[0][i])
+        return F.element_at(F.array(*[F.lit(m[i]) for m in self.means]), cohort + 1)
+
+
+def centre(inp: DataFrame, n_features: int) -> Centre:
+    """One aggregate, one row a cohort."""
     xk = [F.col("xs")[k] for k in range(n_features)]
-    with_x = [F.when(x.isNotNull(), y) for x in xk]
-    return m.groupBy("tree", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"),
-        F.array(*[F.count(x) for x in xk]).alias("nk"),
-        F.array(*[F.avg(v) for v in with_x]).alias("my"),
-        F.array(*[F.var_pop(v) for v in with_x]).alias("vy"),
-        F.array(*[F.var_pop(x) for x in xk]).alias("vx"),
-        F.array(*[F.covar_pop(x, y) for x in xk]).alias("cxy"))
+    rows = _with_cohort(inp).groupBy("cohort").agg(F.count(F.lit(1)), F.avg("y"), *[F.avg(x) for x in xk],
+                                                   *[F.count(x) for x in xk]).collect()
+    found = {r[0]: r for r in rows}
+    means = [tuple(v or 0.0 for v in found[c][2:3 + n_features]) if c in found else (0.0,) * (1 + n_features)
+             for c in range(max(found, default=0) + 1)]
+    return Centre(tuple(means), tuple(all(r[3 + n_features + k] == r[1] for r in rows) for k in range(n_features)))
+
+
+def node_stats(m: DataFrame, n_features: int, about: Centre | None = None, ntree: int = 0) -> DataFrame:
+    """Per (tree, node): n, sy and, per feature over the rows where it isn't NULL, arrays nk (rows),
+    my and vy (mean and variance of y), vx and cxy.
+
+    One aggregate of sums of differences from the cohort's means (``ntree`` trees each), so large offsets
+    don't cancel; a feature that doesn't vary in the node has variance 0 by its extremes.  Plain sums keep the
+    aggregate in generated code, where as many variances and covariances would not fit; a feature without NULL
+    shares the sums of y."""
+    about = centre(m, n_features) if about is None else about
+    cohort = F.floor(F.col("tree") / ntree).cast("int") if ntree else None
+    dy = F.col("y") - about.of(0, cohort)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(dy).alias("s"), F.sum(dy * dy).alias("q"),
+            F.min("y").alias("ylo"), F.max("y").alias("yhi")]
+    for k in range(n_features):
+        x = F.col("xs")[k]
+        dx = x - about.of(k + 1, cohort)
+        sums += [F.sum(dx).alias(f"x{k}"), F.sum(dx * dx).alias(f"xx{k}"), F.sum(dx * dy).alias(f"xy{k}"),
+                 F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}")]
+        if not about.full[k]:
+            y = F.when(x.isNotNull(), dy)
+            sums += [F.count(x).alias(f"n{k}"), F.sum(y).alias(f"s{k}"), F.sum(y * y).alias(f"q{k}")]
+    st = m.groupBy("tree", "node").agg(*sums)
+
+    def per(k: int) -> tuple[Column, ...]:
+        own = [F.col(c if about.full[k] else f"{c}{k}") for c in ("n", "s", "q")]
+        n = F.when(own[0] > 0, own[0])
+        mx, my = F.col(f"x{k}") / n, own[1] / n
+        varies = F.col(f"hi{k}") > F.col(f"lo{k}")
+        return (own[0], my + about.of(0, cohort), F.when(F.col("yhi") > F.col("ylo"), own[2] / n - my * my).otherwise(F.lit(0.0)),
+                F.when(varies, F.col(f"xx{k}") / n - mx * mx).otherwise(F.lit(0.0)), F.col(f"xy{k}") / n - mx * my)
+    arrays = zip(*[per(k) for k in range(n_features)])
+    return st.select("tree", "node", "n", "sy", *[F.array(*cols).alias(name) for name, cols in zip(
+        ("nk", "my", "vy", "vx", "cxy"), arrays)])
 
 
 def association(n: Column, vx: Column, vy: Column, cxy: Column) -> Column:
@@ -163,7 +263,24 @@ def value_blocks(inp: DataFrame, n_features: int, blocks: int = 256) -> list[lis
     return [sorted(set(row[f"b{k}"] or [])) for k in range(n_features)]
 
 
-def best_cut(m: DataFrame, var: DataFrame, minbucket: int, bounds: list[list[float]]) -> DataFrame:
+def with_block(df: DataFrame, k: str, bounds: Sequence[Sequence[float]]) -> DataFrame:
+    """``blk``: the number of the value range of feature ``k`` that ``x`` lies in, by binary search in Arrow batches
+    (unrolled into expressions, the search blows up in the optimizer)."""
+    ship_package(df.sparkSession)
+    edges = [np.array(b, float) for b in bounds]
+
+    @F.pandas_udf("int")
+    def block(feature: pd.Series, x: pd.Series) -> pd.Series:
+        out, which, value = np.zeros(len(x), np.int32), feature.to_numpy(), x.to_numpy()
+        for i in np.unique(which):
+            own = which == i
+            out[own] = np.searchsorted(edges[i], value[own], "left")
+        return pd.Series(out)
+    return df.withColumn("blk", block(F.col(k), F.col("x")))
+
+
+def best_cut(m: DataFrame, var: DataFrame, minbucket: int, bounds: list[list[float]],
+             spent: list[str] | None = None) -> DataFrame:
     """(tree, node, k, cut, cut_stat): the cut x <= v of the selected feature with the
     largest two-sample statistic, both sides >= minbucket (ties: smallest v).
 
@@ -171,13 +288,16 @@ def best_cut(m: DataFrame, var: DataFrame, minbucket: int, bounds: list[list[flo
     value repeated by a third of all rows is one row here.  The cumulative sums over
     a node's values are taken in two levels: totals per value block (at most one block
     per boundary), an exclusive prefix over the blocks, then a running sum inside each block,
-    so no window holds more than one block of one node.  The best cut is a map-side maximum."""
+    so no window holds more than one block of one node.  The best cut is a map-side maximum.
+    ``spent`` gathers the table written on the way."""
     x = F.col("xs")[F.col("k")]
     dv = (m.join(var.select("tree", "node", "k", "n", "my", "vy"), ["tree", "node"]).filter(x.isNotNull())
           .groupBy("tree", "node", "k", "n", "vy", x.alias("x"))
           .agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col("y") - F.col("my")).alias("s")))
-    b = F.array(*[F.array(*[F.lit(float(v)) for v in bk]).cast("array<double>") for bk in bounds])
-    dv = dv.withColumn("blk", F.size(F.filter(b[F.col("k")], lambda v: v < F.col("x"))))
+    # read twice
+    dv, path = write_stage(with_block(dv, "k", bounds), "cut-values")
+    if spent is not None:
+        spent.append(path)
     tot = dv.groupBy("tree", "node", "blk").agg(F.sum("cnt").alias("bn"), F.sum("s").alias("bs"))
     wb = Window.partitionBy("tree", "node").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.select("tree", "node", "blk", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("pn"),
@@ -213,65 +333,154 @@ class Forest:
     features: tuple[str, ...]
     params: ForestParams
     depth: int             # deepest level that was split
+    members: DataFrame | None = None   # tree, id, node (leaf), bag, y: every row of the cohort in every tree
+    largest: int = 0       # rows of the largest cohort
 
     def feature_name(self) -> Column:
         return F.element_at(F.array(*[F.lit(f) for f in self.features]), F.col("k") + 1)
 
-
-def grow_level(m: DataFrame, inp: DataFrame, n_features: int, p: ForestParams, depth: int,
-               bounds: list[list[float]]):
-    """One level: returns (splits, their path, leaves, next membership) for the active nodes in ``m``.
-
-    Only the splits are written here; the leaves stay a lazy plan over this
-    level's (already written) membership and are materialised once at the end."""
-    mx = m.join(inp, "id")
-    stats = node_stats(mx, n_features)
-    var = select_variable(stats, n_features, p)
-    cuts = best_cut(mx, var, p.minbucket, bounds)
-    splits, path = write_stage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "level-splits")
-    leaves = (stats.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "n", "sy"))
-    nxt = (mx.join(splits, ["tree", "node"])
-           .select("tree", "id", child(F.col("node"), F.col("xs")[F.col("k")], F.col("cut")).alias("node")))
-    return splits, path, leaves, nxt
-
-
-def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataFrame, DataFrame, int]:
-    """M8e: grow ``p.ntree`` trees level by level, in batches of ``p.tree_batch`` trees.
-
-    The levels' tables go once the forest's splits and leaves are written."""
-    # written once: every level's plan then starts from a plain scan (short to analyse,
-    # real size statistics, and nothing to recompute if an executor is lost)
-    inp, path = write_stage(inp, "forest-input")
-    spent = [path]
-    bounds = value_blocks(inp, n_features, p.blocks)
-    all_splits, all_leaves, deepest = [], [], 0
+    def first_trees(self, n: int) -> Forest:
+        """The forest of each cohort's first ``n`` trees (their numbers stay)."""
+        def some(df: DataFrame | None) -> DataFrame | None:
+            return None if df is None else df.where(F.col("tree") % self.params.ntree < n)
+        return replace(self, splits=some(self.splits), leaves=some(self.leaves), members=some(self.members))
+
+
+#: Rows of a finished subtree: 0 a split, 1 a leaf, 2 a member.
+GROWN = "tree int, node bigint, k int, cut double, depth int, n bigint, sy double, id {id}, bag boolean, y double, kind int"
+
+
+def _values(table: pa.Table, n_features: int) -> np.ndarray:
+    """The feature arrays as a matrix; NULL is NaN."""
+    xs = table.column("xs").combine_chunks()
+    xs = pa.concat_arrays(xs.chunks) if isinstance(xs, pa.ChunkedArray) else xs
+    flat = xs.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(-1, n_features)
+
+
+def _finish(p: ForestParams, n_features: int):
+    """One group (tree, node) to the rows of its finished subtree."""
+    def run(table: pa.Table) -> pa.Table:
+        tree, root = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
+        y, bag = table.column("y").to_numpy(), table.column("bag").to_numpy()
+        splits, leaves, at = subtree.grow(tree, root, _values(table, n_features), y, bag, p)
+        a, b, c = len(splits), len(leaves), len(y)
+
+        def column(kind, *parts):
+            """Values for splits, leaves and members; None: NULL for all of them."""
+            sizes = (a, b, c)
+            return pa.concat_arrays([pa.nulls(n, kind) if v is None else pa.array(v, kind) for v, n in zip(parts, sizes)])
+        ids = table.column("id").combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        return pa.table({
+            "tree": pa.array(np.full(a + b + c, tree), pa.int32()),
+            "node": column(pa.int64(), [s[0] for s in splits], [v[0] for v in leaves], at),
+            "k": column(pa.int32(), [s[1] for s in splits], None, None),
+            "cut": column(pa.float64(), [s[2] for s in splits], None, None),
+            "depth": column(pa.int32(), [s[0].bit_length() - 1 for s in splits], None, None),
+            "n": column(pa.int64(), None, [v[1] for v in leaves], None),
+            "sy": column(pa.float64(), None, [v[2] for v in leaves], None),
+            "id": pa.concat_arrays([pa.nulls(a + b, ids.type), ids]),
+            "bag": column(pa.bool_(), None, None, bag),
+            "y": column(pa.float64(), None, None, y),
+            "kind": pa.array(np.repeat([0, 1, 2], [a, b, c]), pa.int32())})
+    return run
+
+
+def finish_subtrees(m: DataFrame, p: ForestParams, n_features: int, path: str) -> DataFrame:
+    """Write the finished subtrees of all (tree, node) groups of ``m`` to ``path``, a folder for each kind of row."""
+    spark = m.sparkSession
+    ship_package(spark)
+    schema = GROWN.format(id=dict(m.dtypes)["id"])
+    (m.groupBy("tree", "node").applyInArrow(_finish(p, n_features), schema)
+     .write.partitionBy("kind").parquet(path))
+    return spark.read.schema(schema).parquet(path)
+
+
+def _columns(grown: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (grown.where("kind = 0").select("tree", "node", "k", "cut", "depth"),
+            grown.where("kind = 1").select("tree", "node", "n", "sy"),
+            grown.where("kind = 2").select("tree", "id", "node", "bag", "y"))
+
+
+def grow_levels(m: DataFrame, p: ForestParams, n_features: int, about: Centre, bounds: list[list[float]],
+                spent: list[str]) -> tuple[list, list, list, DataFrame]:
+    """Grow the nodes of more than ``p.subtree_rows`` rows of ``m`` level by level.
+
+    Returns lists of splits, leaves and members of what ended on the way, and the rows of the nodes left, each of
+    which one task can finish; ``spent`` gathers the tables to drop."""
+    splits, leaves, members, left = [], [], [], []
+    keep = ["tree", "node", "id", "y", "xs", "bag"]
+    for depth in range(p.max_depth + 1):
+        m, path = write_stage(m.select(*keep), "level-rows")
+        spent.append(path)
+        large, path = write_stage(m.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("rows"))
+                                  .where(F.col("rows") > p.subtree_rows).select("tree", "node"), "level-nodes")
+        spent.append(path)
+        if large.isEmpty():
+            return splits, leaves, members, _union([*left, m])
+        left.append(m.join(large, ["tree", "node"], "left_anti"))
+        m = m.join(large, ["tree", "node"], "left_semi")
+        bag = m.where("bag")
+        stats = node_stats(bag, n_features, about, p.ntree)
+        if depth == p.max_depth:
+            if p.max_depth >= MAX_LEVELS:
+                raise ValueError(f"a tree is deeper than {MAX_LEVELS} levels: node ids end there")
+            here, ended = None, m
+        else:
+            cuts = best_cut(bag, select_variable(stats, n_features, p), p.minbucket, bounds, spent)
+            here, path = write_stage(cuts.select("tree", "node", "k", "cut", F.lit(depth).alias("depth")), "level-splits")
+            spent.append(path)
+            splits.append(here)
+            stats, ended = (d.join(here, ["tree", "node"], "left_anti") for d in (stats, m))
+        leaves.append(stats.select("tree", "node", "n", "sy"))
+        members.append(ended.select("tree", "id", "node", "bag", "y"))
+        if here is None:
+            break
+        m = m.join(here, ["tree", "node"]).withColumn(
+            "node", child(F.col("node"), F.col("xs")[F.col("k")], F.col("cut")))
+    return splits, leaves, members, _union(left)
+
+
+def grow(inp: DataFrame, p: ForestParams, features: Sequence[str]) -> Forest:
+    """M8e: grow ``p.ntree`` trees of each cohort, ``p.tree_batch`` trees of each at a time."""
+    n_features = len(features)
+    inp, path = write_stage(_with_cohort(inp), "forest-input")
+    spark, spent = inp.sparkSession, [path]
+    largest = inp.groupBy("cohort").count().agg(F.max("count")).first()[0] or 0
+    levels = largest > p.subtree_rows
+    about, bounds = (centre(inp, n_features), value_blocks(inp, n_features, p.blocks)) if levels else (None, None)
+    parts: tuple[list, list, list] = ([], [], [])
     for t0 in range(0, p.ntree, p.tree_batch):
         trees = range(t0, min(p.ntree, t0 + p.tree_batch))
-        m, path = write_stage(subsample(inp, trees, p).withColumn("node", F.lit(1).cast("bigint")), "members")
+        drawn, path = write_stage(draw(inp, trees, p), "draw")
         spent.append(path)
-        for depth in range(p.max_depth):
-            splits, path, leaves, nxt = grow_level(m, inp, n_features, p, depth, bounds)
-            spent.append(path)
-            all_leaves.append(leaves)
-            if splits.isEmpty():
-                m = None
-                break
-            all_splits.append(splits)
-            deepest = max(deepest, depth + 1)
-            m, path = write_stage(nxt, "members")
+        m = root_rows(inp, trees, p, drawn).withColumn("node", F.lit(1).cast("bigint"))
+        if levels:
+            *ended, m = grow_levels(m, p, n_features, about, bounds, spent)
+            for part, more in zip(parts, ended):
+                part += more
+        path = scratch_path(spark, "members")
+        grown = finish_subtrees(m, p, n_features, path)
+        if levels:
             spent.append(path)
-        if m is not None and p.max_depth >= MAX_LEVELS:
-            raise ValueError(f"a tree is deeper than {MAX_LEVELS} levels: node ids end there")
-        if m is not None:   # the depth limit that was asked for: the remaining nodes are leaves
-            all_leaves.append(m.join(inp, "id").groupBy("tree", "node").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
-    leaves = cut_lineage(_union(all_leaves), "leaves")
-    spark = leaves.sparkSession
-    splits = (cut_lineage(_union(all_splits), "splits") if all_splits else
-              spark.createDataFrame([], "tree int, node bigint, k int, cut double, depth int"))
+        for part, more in zip(parts, _columns(grown)):
+            part.append(more)
+    splits, leaves = (cut_lineage(_union(part), name) for part, name in zip(parts, ("splits", "leaves")))
+    # finished subtrees' members stay where they were written; those that ended on a level are copied there
+    members = _union(parts[2]) if not levels else cut_lineage(_union(parts[2]), "members")
+    deepest = splits.agg(F.max("depth")).first()[0]
     for path in spent:
         drop_path(spark, path)
-    return splits, leaves, deepest
+    return Forest(splits, leaves, tuple(features), p, 0 if deepest is None else deepest + 1, members, largest)
+
+
+def grow_forest(inp: DataFrame, p: ForestParams, n_features: int) -> tuple[DataFrame, DataFrame, int]:
+    """Splits, leaves and depth alone, of features without names."""
+    f = grow(inp, p, [f"x{k}" for k in range(n_features)])
+    for path in {x.rsplit("/kind=", 1)[0].rsplit("/part-", 1)[0] for x in f.members.inputFiles()}:
+        drop_path(inp.sparkSession, path)
+    return f.splits, f.leaves, f.depth
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -283,10 +492,7 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
 
 def fit_forest(cohort: DataFrame, features: Sequence[str], target: str,
                p: ForestParams | None = None) -> Forest:
-    p = p or ForestParams()
-    inp = forest_input(cohort, features, target)
-    splits, leaves, depth = grow_forest(inp, p, len(features))
-    return Forest(splits, leaves, tuple(features), p, depth)
+    return grow(forest_input(cohort, features, target), p or ForestParams(), features)
 
 
 # --- M8f: routing and prediction -----------------------------------------------------------
@@ -323,13 +529,23 @@ def predict_forest(f: Forest, rows: DataFrame, key: str = "id") -> DataFrame:
     return leaf.groupBy(key).agg((F.sum("sy") / F.sum("n")).alias("pred"))
 
 
+def predict_members(f: Forest) -> DataFrame:
+    """(cohort, id, pred) of the rows that the forest was grown from, read from its members without routing."""
+    leaf = f.members.select("tree", "id", "node").join(f.leaves, ["tree", "node"])
+    return (leaf.groupBy(cohort_of(F.col("tree"), f.params).alias("cohort"), "id")
+            .agg((F.sum("sy") / F.sum("n")).alias("pred")))
+
+
 # --- M9: out-of-bag error --------------------------------------------------------------------
 
-def oob_error(f: Forest, inp: DataFrame) -> DataFrame:
-    """Per tree: mean squared error of the tree's leaf mean on its out-of-bag rows."""
-    oob = subsample(inp, range(f.params.ntree), f.params, oob=True).join(inp, "id")
-    state = oob.withColumn("node", F.lit(1).cast("bigint"))
-    leaf = route(state, f.splits, f.depth).join(f.leaves, ["tree", "node"])
+def oob_error(f: Forest, inp: DataFrame | None = None) -> DataFrame:
+    """Per tree: mean squared error of the tree's leaf mean on its out-of-bag rows, read from the forest's
+    members; for a forest stored without them, the rows of ``inp`` are routed."""
+    if f.members is not None:
+        leaf = f.members.where(~F.col("bag")).select("tree", "node", "y").join(f.leaves, ["tree", "node"])
+    else:
+        oob = root_rows(inp, range(f.params.ntree), f.params).where(~F.col("bag"))
+        leaf = route(oob.withColumn("node", F.lit(1).cast("bigint")), f.splits, f.depth).join(f.leaves, ["tree", "node"])
     err = F.col("y") - F.col("sy") / F.col("n")
     return leaf.groupBy("tree").agg(F.count(F.lit(1)).alias("n_oob"),
                                     F.avg(err * err).alias("oob_mse"))

@@ -10,7 +10,7 @@ rows-only: they depend on every level's choices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_1_quantile
@@ -28,8 +28,9 @@ from ..session import session_key
 FEATS = S.features
 P = len(FEATS)
 ROOT = ForestParams(ntree=10)          # root-level twins: 10 trees
-FOREST = ForestParams(ntree=100)       # grown forest used by the rows-only queries
-THR = forest.in_bag_threshold(ROOT.fraction)
+FOREST = ForestParams()                # the grown forests: 1000 trees each
+CELL_TREES = 100                       # trees whose cells are listed row by row
+MILLIONTHS = round(ROOT.fraction * 1_000_000)
 
 
 def forest_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +101,12 @@ def _rows_sql(levels: int = 1, target: str = "target_a", forest_side: bool = Tru
     head = forest_cohort_ctes(target, forest_side, drought) + f""",
 rows AS (SELECT CAST(unit AS BIGINT) * 10000000 + CAST(year AS BIGINT) * 100 + month AS id,
                 CAST({target} AS DOUBLE) AS y, {xs} FROM fcohort),
-mem AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.id FROM rows r,
-               range({first_tree}, {first_tree + ROOT.ntree}) t(tree)
-        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} < {THR}),
+drawn AS (SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY h, id)
+                 <= (SELECT count(*) FROM rows) * {MILLIONTHS} // 1000000 AS bag
+          FROM (SELECT CAST(t.tree AS INTEGER) AS tree, r.id,
+                       {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} AS h
+                FROM rows r, range({first_tree}, {first_tree + ROOT.ntree}) t(tree))),
+mem AS (SELECT tree, id FROM drawn WHERE bag),
 mem0 AS (SELECT tree, id, CAST(1 AS BIGINT) AS node FROM mem)"""
     body = "".join(_level_sql(L) for L in range(levels))
     alias = """,
@@ -112,17 +116,16 @@ cand AS (SELECT * FROM cand0), var AS (SELECT * FROM var0), cut AS (SELECT * FRO
 
 def root_level(spark: SparkSession, d: str):
     inp = forest_rows(spark, d)
-    mem = forest.subsample(inp, range(ROOT.ntree), ROOT).withColumn("node", F.lit(1).cast("bigint"))
-    mx = mem.join(inp, "id")
-    st = forest.node_stats(mx, P)
+    mx = forest.root_rows(inp, range(ROOT.ntree), ROOT).where("bag").withColumn("node", F.lit(1).cast("bigint"))
+    st = forest.node_stats(mx, P, forest.centre(inp, P))
     cand = forest.candidates(st.filter(F.col("n") >= ROOT.minsplit).select("tree", "node"), P, ROOT)
     var = forest.select_variable(st, P, ROOT)
-    return inp, mem, mx, st, cand, var
+    return inp, mx, st, cand, var
 
 
 @query("tree_subsample", _rows_sql() + "\nSELECT tree, id FROM mem")
 def q_tree_subsample(spark, d):
-    """Each tree's subsample (inclusion probability 0.632, seeded hash per (tree, row))."""
+    """Each tree's subsample of exactly floor(0.632 n) rows, those with the smallest seeded hash of (tree, row)."""
     inp = forest_rows(spark, d)
     return forest.subsample(inp, range(ROOT.ntree), ROOT)
 
@@ -130,44 +133,50 @@ def q_tree_subsample(spark, d):
 @query("node_candidates", _rows_sql() + "\nSELECT tree, node, k FROM cand")
 def q_node_candidates(spark, d):
     """mtry = 4 candidate features for the root node of each tree."""
-    return root_level(spark, d)[4]
+    return root_level(spark, d)[3]
 
 
 @query("select_variable", _rows_sql() + "\nSELECT tree, node, k, stat FROM var", ("stat",))
 def q_select_variable(spark, d):
     """Split variable of each root = the candidate with the largest association."""
-    return root_level(spark, d)[5].select("tree", "node", "k", "stat")
+    return root_level(spark, d)[4].select("tree", "node", "k", "stat")
 
 
 @query("best_cut", _rows_sql() + "\nSELECT tree, node, k, cut, cut_stat FROM cut", ("cut", "cut_stat"))
 def q_best_cut(spark, d):
     """M8d: best cut of the selected variable at each root, both sides >= minbucket."""
-    inp, mem, mx, st, cand, var = root_level(spark, d)
+    inp, mx, st, cand, var = root_level(spark, d)
     return forest.best_cut(mx, var, ROOT.minbucket, forest.value_blocks(inp, P, ROOT.blocks))
 
 
-#: The eight forests: target x cover side x year list; cohort i has the trees from 100 i on.
+#: The eight forests: target x cover side x year list; cohort i has the trees from i * ntree on.
 COHORTS = [(f"{t}_{'forest' if f else 'nonforest'}_{'drought' if y else 'nondrought'}", t, f, y)
            for t in ("target_a", "target_b") for f in (True, False) for y in (False, True)]
 
 
+def cohort_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(cohort, id, y, xs) of all eight cohorts."""
+    p, parts = panel(spark, d), []
+    for i, (_, target, side, drought) in enumerate(COHORTS):
+        rows = cohort.forest_cohort(p, S.with_target(target), side, drought)
+        parts.append(forest.forest_input(rows, FEATS, target, number=i))
+    return forest._union(parts)
+
+
+def _cohort_name(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(c[0]) for c in COHORTS]), number)
+
+
 @query("forest_root_cohorts", "\nUNION ALL\n".join(
-    f"SELECT * FROM ({_rows_sql(1, t, f, y, 100 * i)}\nSELECT '{label}' AS cohort, tree, k, cut, cut_stat FROM cut)"
+    f"SELECT * FROM ({_rows_sql(1, t, f, y, ROOT.ntree * i)}\nSELECT '{label}' AS cohort, tree, k, cut, cut_stat FROM cut)"
     for i, (label, t, f, y) in enumerate(COHORTS)), ("cut", "cut_stat"))
 def q_forest_root_cohorts(spark, d):
     """F11 x M8a-d: the first split of every tree of all eight forests, one job for all cohorts."""
-    p, labels, parts = panel(spark, d), F.array(*[F.lit(c[0]) for c in COHORTS]), []
-    for i, (_, target, side, drought) in enumerate(COHORTS):
-        rows = forest.forest_input(cohort.forest_cohort(p, S.with_target(target), side, drought), FEATS, target)
-        parts.append(rows.withColumn("first", F.lit(100 * i)))
-    rows = forest._union(parts)
-    trees = rows.withColumn("tree", F.explode(F.sequence(F.col("first"), F.col("first") + ROOT.ntree - 1)))
-    h = forest.hash32(ROOT.seed, "s", F.col("tree"), F.col("id"))
-    mx = trees.filter(h < THR).withColumn("node", F.lit(1).cast("bigint")).select("tree", "node", "id", "y", "xs")
-    var = forest.select_variable(forest.node_stats(mx, P), P, ROOT)
+    rows = cohort_rows(spark, d)
+    mx = forest.root_rows(rows, range(ROOT.ntree), ROOT).where("bag").withColumn("node", F.lit(1).cast("bigint"))
+    var = forest.select_variable(forest.node_stats(mx, P, forest.centre(rows, P), ROOT.ntree), P, ROOT)
     cuts = forest.best_cut(mx, var, ROOT.minbucket, forest.value_blocks(rows, P, ROOT.blocks))
-    return cuts.select(F.get(labels, F.floor(F.col("tree") / 100).cast("int")).alias("cohort"),
-                       "tree", "k", "cut", "cut_stat")
+    return cuts.select(_cohort_name(forest.cohort_of(F.col("tree"), ROOT)).alias("cohort"), "tree", "k", "cut", "cut_stat")
 
 
 def _pairs_cte() -> str:
@@ -190,7 +199,7 @@ def _pairs_cte() -> str:
 SELECT k, feature, z, other, stat, conditioned FROM pairs""", ("stat",))
 def q_association_pairs(spark, d):
     """Pairwise association of the features, c > chi-square(1) quantile of 0.80."""
-    return importance.association_pairs(forest_rows(spark, d), FEATS, 0.80)
+    return importance.association_pairs(forest_rows(spark, d).drop("cohort"), FEATS, 0.80)
 
 
 @query("permute_within", _rows_sql() + f""",
@@ -237,14 +246,13 @@ def q_forest_fit(spark, d):
 @query("forest_predict")
 def q_forest_predict(spark, d):
     """M8f: forest prediction for every cohort row (weights averaged over trees)."""
-    f = fitted(spark, d)
-    return forest.predict_forest(f, forest_rows(spark, d))
+    return forest.predict_members(fitted(spark, d)).select("id", "pred")
 
 
 @query("oob_error")
 def q_oob_error(spark, d):
     """M9: out-of-bag mean squared error of each tree."""
-    return forest.oob_error(fitted(spark, d), forest_rows(spark, d))
+    return forest.oob_error(fitted(spark, d))
 
 
 @query("forest_store_roundtrip")
@@ -265,12 +273,8 @@ def _stored(spark: SparkSession, f: forest.Forest) -> DataFrame:
 
 @query("conditioning_cells")
 def q_conditioning_cells(spark, d):
-    """Conditioning cell of every out-of-bag row for every feature its tree uses."""
-    f = fitted(spark, d)
-    inp = forest_rows(spark, d)
-    pairs = importance.association_pairs(inp, FEATS, 0.80)
-    oob = forest.subsample(inp, range(f.params.ntree), f.params, oob=True).join(inp, "id")
-    return importance.cells_fast(oob, f, pairs).select("tree", "k", "id", "cell")
+    """Conditioning cell of every out-of-bag row for every feature its tree uses, in the first trees."""
+    return _cells(fitted(spark, d).first_trees(CELL_TREES), forest_rows(spark, d))
 
 
 _IMP_MEMO: dict = {}
@@ -352,6 +356,7 @@ def q_partial_dependence_ols(spark, d):
 
 STUMP = ForestParams(ntree=ROOT.ntree, max_depth=1)
 DEPTH2 = ForestParams(ntree=ROOT.ntree, max_depth=2)
+DEPTH4 = ForestParams(ntree=ROOT.ntree, max_depth=4)
 _SMALL_MEMO: dict = {}
 
 
@@ -383,8 +388,7 @@ leaf AS (SELECT m.tree, m.node, CAST(count(*) AS BIGINT) AS n, sum(r.y) AS sy
 trees AS (SELECT CAST(t AS INTEGER) AS tree FROM range(0, {ROOT.ntree}) x(t)),
 route AS (SELECT r.id, t.tree, {node('r')} AS node
           FROM rows r CROSS JOIN trees t LEFT JOIN cut0 c ON c.tree = t.tree),
-oob AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.* FROM rows r, range(0, {ROOT.ntree}) t(tree)
-        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} >= {THR}),
+oob AS (SELECT d.tree, r.* FROM rows r JOIN drawn d ON d.id = r.id WHERE NOT d.bag),
 oroute AS (SELECT o.tree, o.id, o.y, {node('o')} AS node FROM oob o LEFT JOIN cut0 c ON c.tree = o.tree),
 gstat AS (SELECT min(x1) AS lo, max(x1) AS hi, least(count(DISTINCT x1), 25) AS ng FROM rows),
 grid AS (SELECT CASE WHEN ng > 1 THEN lo + g * (hi - lo) / (ng - 1) ELSE lo END AS v
@@ -425,7 +429,7 @@ SELECT o.tree, CAST(count(*) AS BIGINT) AS n_oob,
 FROM oroute o JOIN leaf l ON l.tree = o.tree AND l.node = o.node GROUP BY o.tree""", ("oob_mse",))
 def q_oob_error_stump(spark, d):
     """M9 at depth 1: out-of-bag error of each stump."""
-    return forest.oob_error(small_forest(spark, d, STUMP), forest_rows(spark, d))
+    return forest.oob_error(small_forest(spark, d, STUMP))
 
 
 @query("partial_dependence_stump", _stump_sql() + f"""
@@ -444,16 +448,71 @@ def q_perm_importance_stump(spark, d):
     return importance.conditional_importance(small_forest(spark, d, STUMP), forest_rows(spark, d), 0.80)
 
 
+# --- all eight forests ------------------------------------------------------------------
+
+_EIGHT_MEMO: dict = {}
+
+
+def eight(spark: SparkSession, d: str, prm: ForestParams = FOREST) -> forest.Forest:
+    """The forests of all cohorts, grown together once per (session, data folder)."""
+    key = (session_key(spark, d), prm)
+    if key not in _EIGHT_MEMO:
+        for old in [k for k in _EIGHT_MEMO if k[1] == prm]:
+            del _EIGHT_MEMO[old]
+        _EIGHT_MEMO[key] = forest.grow(cohort_rows(spark, d), prm, FEATS)
+    return _EIGHT_MEMO[key]
+
+
+def _with_cohort_name(df: DataFrame, prm: ForestParams = FOREST) -> DataFrame:
+    number = F.col("cohort") if "cohort" in df.columns else forest.cohort_of(F.col("tree"), prm)
+    return df.withColumn("cohort", _cohort_name(number))
+
+
+@query("forest_depth2_cohorts", "\nUNION ALL\n".join(
+    f"SELECT * FROM ({_rows_sql(2, t, f, y, ROOT.ntree * i)}\nSELECT '{label}' AS cohort, tree, node, k, cut FROM cut0 "
+    f"UNION ALL SELECT '{label}', tree, node, k, cut FROM cut1)" for i, (label, t, f, y) in enumerate(COHORTS)), ("cut",))
+def q_forest_depth2_cohorts(spark, d):
+    """F11 x M8e: two levels of all eight forests, grown in one job."""
+    return _with_cohort_name(eight(spark, d, DEPTH2).splits, DEPTH2).select("cohort", "tree", "node", "k", "cut")
+
+
+@query("forest_fit_cohorts")
+def q_forest_fit_cohorts(spark, d):
+    """F11 x M8e: the internal nodes of all eight forests of 1000 trees."""
+    f = eight(spark, d)
+    return _with_cohort_name(_named(f, f.splits)).select("cohort", "tree", "node", "feature", "cut", "depth")
+
+
+@query("oob_error_cohorts")
+def q_oob_error_cohorts(spark, d):
+    """F11 x M9: out-of-bag error of each tree of all eight forests."""
+    return _with_cohort_name(forest.oob_error(eight(spark, d))).select("cohort", "tree", "n_oob", "oob_mse")
+
+
+@query("perm_importance_cohorts")
+def q_perm_importance_cohorts(spark, d):
+    """F11 x M10: conditional permutation importance of all eight forests, each screened on its own rows."""
+    f = eight(spark, d)
+    imp = importance.conditional_importance(f, cohort_rows(spark, d), 0.80)
+    return _with_cohort_name(_named(f, imp)).select("cohort", "tree", F.col("feature").alias("Feature"), "value")
+
+
+@query("partial_dependence_cohorts")
+def q_partial_dependence_cohorts(spark, d):
+    """F11 x M12: partial dependence of all eight forests on every feature."""
+    return _with_cohort_name(pdp.partial_dependence_cohorts(eight(spark, d), cohort_rows(spark, d))).select(
+        "cohort", "feature", "v", "pd")
+
+
 # --- the conditional part, on two levels, where cells aren't empty ---------------------
 
-def _cells_sql() -> str:
-    """Out-of-bag rows and their conditioning cells for each feature that a two-level tree uses."""
-    return _rows_sql(2) + _pairs_cte() + f""",
-sp AS (SELECT tree, node, k, cut FROM cut0 UNION ALL SELECT tree, node, k, cut FROM cut1),
+def _cells_sql(levels: int = 2) -> str:
+    """Out-of-bag rows and their conditioning cells for each feature that a tree of ``levels`` levels uses."""
+    return _rows_sql(levels) + _pairs_cte() + f""",
+sp AS ({" UNION ALL ".join(f"SELECT tree, node, k, cut FROM cut{L}" for L in range(levels))}),
 ucut AS (SELECT DISTINCT tree, k, cut FROM sp),
 used AS (SELECT DISTINCT tree, k FROM sp),
-oob AS (SELECT CAST(t.tree AS INTEGER) AS tree, r.* FROM rows r, range(0, {ROOT.ntree}) t(tree)
-        WHERE {_h(str(ROOT.seed), "'s'", 't.tree', 'r.id')} >= {THR}),
+oob AS (SELECT d.tree, r.* FROM rows r JOIN drawn d ON d.id = r.id WHERE NOT d.bag),
 idx AS (SELECT o.tree, o.id, u.k AS z, count(*) FILTER (WHERE {_xk('u.k', 'o')} > u.cut) AS i
         FROM oob o JOIN ucut u ON o.tree = u.tree GROUP BY 1, 2, 3),
 cells AS (SELECT u.tree, u.k, o.id, coalesce(string_agg(CAST(x.i AS VARCHAR), ',' ORDER BY x.z), '') AS cell
@@ -463,11 +522,21 @@ cells AS (SELECT u.tree, u.k, o.id, coalesce(string_agg(CAST(x.i AS VARCHAR), ',
           GROUP BY 1, 2, 3)"""
 
 
-def _perm2_sql() -> str:
+def _perm_sql(levels: int = 2) -> str:
+    """Permutation within cells on trees of ``levels`` levels; ``a`` and ``b`` are the out-of-bag rows at their leaves,
+    as they are and permuted."""
     def step(x: str) -> str:
-        return f"CASE WHEN {x} > c.cut THEN 1 ELSE 0 END"
-    moved = f"CASE WHEN c.k = r.k THEN r.xk_perm ELSE {_xk('c.k', 'o')} END"
-    return _cells_sql() + f""",
+        return f"CASE WHEN c.k IS NULL THEN m.node ELSE m.node * 2 + CASE WHEN {x} > c.cut THEN 1 ELSE 0 END END"
+    moved = f"CASE WHEN c.k = m.k THEN m.xk_perm ELSE {_xk('c.k', 'o')} END"
+    route = "".join(f""",
+a{L + 1} AS (SELECT m.tree, m.id, {step(_xk('c.k', 'o'))} AS node
+       FROM a{L} m JOIN oob o ON m.tree = o.tree AND m.id = o.id LEFT JOIN sp c ON c.tree = m.tree AND c.node = m.node),
+b{L + 1} AS (SELECT m.tree, m.k, m.id, m.y, m.xk_perm, {step(moved)} AS node
+       FROM b{L} m JOIN oob o ON m.tree = o.tree AND m.id = o.id LEFT JOIN sp c ON c.tree = m.tree AND c.node = m.node)"""
+                    for L in range(levels))
+    ended = "".join(f"UNION ALL SELECT m.* FROM mem{L} m WHERE NOT EXISTS "
+                    f"(SELECT 1 FROM cut{L} c WHERE c.tree = m.tree AND c.node = m.node) " for L in range(levels))
+    return _cells_sql(levels) + f""",
 po AS (SELECT c.tree, c.k, c.id, c.cell, o.y, {_xk('c.k', 'o')} AS xk
        FROM cells c JOIN oob o ON c.tree = o.tree AND c.id = o.id),
 pa AS (SELECT *, row_number() OVER (PARTITION BY tree, k, cell
@@ -476,34 +545,36 @@ pb AS (SELECT tree, k, cell, xk AS xk_perm, row_number() OVER (PARTITION BY tree
          ORDER BY {_h(str(ROOT.seed), "'p'", 'tree', 'k', 'cell', 'id')}, id) AS rr FROM po),
 pj AS (SELECT pa.tree, pa.k, pa.id, pa.y, pb.xk_perm FROM pa JOIN pb
        ON pa.tree = pb.tree AND pa.k = pb.k AND pa.cell = pb.cell AND pa.rr = pb.rr),
-leaf AS (SELECT m.tree, m.node, count(*) AS n, sum(r.y) AS sy FROM (
-           SELECT tree, id, node FROM mem2
-           UNION ALL SELECT m.* FROM mem1 m WHERE NOT EXISTS (SELECT 1 FROM cut1 c WHERE c.tree = m.tree AND c.node = m.node)
-           UNION ALL SELECT m.* FROM mem0 m WHERE NOT EXISTS (SELECT 1 FROM cut0 c WHERE c.tree = m.tree AND c.node = m.node)) m
-         JOIN rows r ON m.id = r.id GROUP BY 1, 2),
-a0 AS (SELECT o.tree, o.id, CASE WHEN c.k IS NULL THEN 1 ELSE 2 + {step(_xk('c.k', 'o'))} END AS node
-       FROM oob o LEFT JOIN cut0 c ON c.tree = o.tree),
-a1 AS (SELECT a.tree, a.id, CASE WHEN c.k IS NULL THEN a.node ELSE a.node * 2 + {step(_xk('c.k', 'o'))} END AS node
-       FROM a0 a JOIN oob o ON a.tree = o.tree AND a.id = o.id LEFT JOIN cut1 c ON c.tree = a.tree AND c.node = a.node),
-b0 AS (SELECT r.*, CASE WHEN c.k IS NULL THEN 1 ELSE 2 + {step(moved)} END AS node
-       FROM pj r JOIN oob o ON r.tree = o.tree AND r.id = o.id LEFT JOIN cut0 c ON c.tree = r.tree),
-b1 AS (SELECT r.tree, r.k, r.id, r.y, CASE WHEN c.k IS NULL THEN r.node ELSE r.node * 2 + {step(moved)} END AS node
-       FROM b0 r JOIN oob o ON r.tree = o.tree AND r.id = o.id LEFT JOIN cut1 c ON c.tree = r.tree AND c.node = r.node),
+leaf AS (SELECT m.tree, m.node, count(*) AS n, sum(r.y) AS sy
+         FROM (SELECT tree, id, node FROM mem{levels} {ended}) m JOIN rows r ON m.id = r.id GROUP BY 1, 2),
+a0 AS (SELECT tree, id, CAST(1 AS BIGINT) AS node FROM oob),
+b0 AS (SELECT *, CAST(1 AS BIGINT) AS node FROM pj){route},
+a AS (SELECT * FROM a{levels}), b AS (SELECT * FROM b{levels}),
 imp AS (SELECT b.tree, b.k, avg((b.y - lb.sy / lb.n) * (b.y - lb.sy / lb.n) - (b.y - la.sy / la.n) * (b.y - la.sy / la.n)) AS value
-        FROM b1 b JOIN a1 a ON a.tree = b.tree AND a.id = b.id
+        FROM b JOIN a ON a.tree = b.tree AND a.id = b.id
              JOIN leaf lb ON lb.tree = b.tree AND lb.node = b.node JOIN leaf la ON la.tree = a.tree AND la.node = a.node
         GROUP BY 1, 2)"""
 
 
+def _cells(f: forest.Forest, inp: DataFrame) -> DataFrame:
+    pairs = importance.association_pairs(inp, FEATS, 0.80)
+    return importance.cells_fast(importance.out_of_bag(f, inp).select("tree", "id", "xs"), f, pairs,
+                                 forest.value_blocks(inp, P, f.params.blocks)).select("tree", "k", "id", "cell")
+
+
 @query("conditioning_cells_depth2", _cells_sql() + "\nSELECT tree, k, id, cell FROM cells")
 def q_conditioning_cells_depth2(spark, d):
     """M10b on two-level trees: every out-of-bag row's cell for every feature its tree uses."""
-    f, inp = small_forest(spark, d, DEPTH2), forest_rows(spark, d)
-    oob = forest.subsample(inp, range(f.params.ntree), f.params, oob=True).join(inp, "id")
-    return importance.cells_fast(oob, f, importance.association_pairs(inp, FEATS, 0.80)).select("tree", "k", "id", "cell")
+    return _cells(small_forest(spark, d, DEPTH2), forest_rows(spark, d))
+
 
+@query("conditioning_cells_depth4", _cells_sql(4) + "\nSELECT tree, k, id, cell FROM cells")
+def q_conditioning_cells_depth4(spark, d):
+    """M10b on four-level trees, where most features of a tree have several cells."""
+    return _cells(small_forest(spark, d, DEPTH4), forest_rows(spark, d))
 
-@query("perm_importance_depth2", _perm2_sql() + f"""
+
+@query("perm_importance_depth2", _perm_sql() + f"""
 SELECT CAST(t.tree AS INTEGER) AS tree, CAST(kk.k AS INTEGER) AS k, coalesce(imp.value, 0.0) AS value
 FROM range(0, {ROOT.ntree}) t(tree) CROSS JOIN range(0, {P}) kk(k)
 LEFT JOIN imp ON imp.tree = t.tree AND imp.k = kk.k""", ("value:4",))
@@ -512,16 +583,25 @@ def q_perm_importance_depth2(spark, d):
     return importance.conditional_importance(small_forest(spark, d, DEPTH2), forest_rows(spark, d), 0.80)
 
 
-@query("oob_error_depth2", _perm2_sql() + """
+@query("perm_importance_depth4", _perm_sql(4) + f"""
+SELECT CAST(t.tree AS INTEGER) AS tree, CAST(kk.k AS INTEGER) AS k, coalesce(imp.value, 0.0) AS value
+FROM range(0, {ROOT.ntree}) t(tree) CROSS JOIN range(0, {P}) kk(k)
+LEFT JOIN imp ON imp.tree = t.tree AND imp.k = kk.k""", ("value:4",))
+def q_perm_importance_depth4(spark, d):
+    """M10 on four-level trees, where most features of a tree have several cells."""
+    return importance.conditional_importance(small_forest(spark, d, DEPTH4), forest_rows(spark, d), 0.80)
+
+
+@query("oob_error_depth2", _perm_sql() + """
 SELECT a.tree, CAST(count(*) AS BIGINT) AS n_oob, avg((o.y - l.sy / l.n) * (o.y - l.sy / l.n)) AS oob_mse
-FROM a1 a JOIN oob o ON a.tree = o.tree AND a.id = o.id JOIN leaf l ON l.tree = a.tree AND l.node = a.node
+FROM a JOIN oob o ON a.tree = o.tree AND a.id = o.id JOIN leaf l ON l.tree = a.tree AND l.node = a.node
 GROUP BY a.tree""", ("oob_mse:4",))
 def q_oob_error_depth2(spark, d):
     """M9 on two-level trees: out-of-bag error of each tree."""
-    return forest.oob_error(small_forest(spark, d, DEPTH2), forest_rows(spark, d))
+    return forest.oob_error(small_forest(spark, d, DEPTH2))
 
 
-@query("forest_store_depth2", _perm2_sql() + """
+@query("forest_store_depth2", _perm_sql() + """
 SELECT coalesce(s.tree, l.tree) AS tree, coalesce(s.node, l.node) AS node, s.k, s.cut,
        CAST(l.n AS BIGINT) AS leaf_n, l.sy AS leaf_sum
 FROM sp s FULL JOIN leaf l ON s.tree = l.tree AND s.node = l.node""", ("cut", "leaf_sum:4"))
@@ -532,7 +612,7 @@ def q_forest_store_depth2(spark, d):
 
 def _named_imp_sql() -> str:
     name = "CASE kk.k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FEATS)) + " END"
-    return _perm2_sql() + f""",
+    return _perm_sql() + f""",
 grid2 AS (SELECT t.tree, {name} AS Feature, coalesce(imp.value, 0.0) AS value
           FROM range(0, {ROOT.ntree}) t(tree) CROSS JOIN range(0, {P}) kk(k)
           LEFT JOIN imp ON imp.tree = t.tree AND imp.k = kk.k),
@@ -571,7 +651,7 @@ q1{tag} AS (SELECT {keys}, r.tree, CASE WHEN c.k IS NULL THEN r.node ELSE r.node
        FROM q0{tag} r LEFT JOIN cut1 c ON c.tree = r.tree AND c.node = r.node)"""
 
 
-@query("forest_predict_depth2", _perm2_sql() + _route2_sql("SELECT * FROM rows", "r.id") + """
+@query("forest_predict_depth2", _perm_sql() + _route2_sql("SELECT * FROM rows", "r.id") + """
 SELECT q1.id, sum(l.sy) / sum(l.n) AS pred FROM q1 JOIN leaf l ON l.tree = q1.tree AND l.node = q1.node
 GROUP BY q1.id""", ("pred",))
 def q_forest_predict_depth2(spark, d):
@@ -588,7 +668,7 @@ def _pd2_sql(features: list[int]) -> str:
         ctes += _route2_sql(grid, "r.id, r.v", (i, "r.v"), str(i))
         parts.append(f"SELECT '{FEATS[i]}' AS feature, v, avg(p) AS pd FROM (SELECT q.v, q.id, sum(l.sy) / sum(l.n) AS p "
                      f"FROM q1{i} q JOIN leaf l ON l.tree = q.tree AND l.node = q.node GROUP BY 1, 2) GROUP BY v")
-    return _perm2_sql() + ctes + "\n" + "\nUNION ALL\n".join(parts)
+    return _perm_sql() + ctes + "\n" + "\nUNION ALL\n".join(parts)
 
 
 @query("partial_dependence_depth2", _pd2_sql(list(range(P))), ("v", "pd:4"))

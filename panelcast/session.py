@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +80,23 @@ def write_stage(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp()}/panelcast-{sc.applicationId}.zip"  # Spark serves it from there
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by :func:`cut_lineage` once nothing reads it any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

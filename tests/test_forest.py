@@ -4,6 +4,7 @@ brute-force Python on a small fixture."""
 import hashlib
 import math
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -36,8 +37,8 @@ def r6(x):
 
 
 def brute_tree(rows, tree, p):
-    thr = forest.in_bag_threshold(p.fraction)
-    bag = [r for r in rows if h32(p.seed, "s", tree, r[0]) < thr]
+    ranked = sorted(rows, key=lambda r: (h32(p.seed, "s", tree, r[0]), r[0]))
+    bag = ranked[:len(rows) * round(p.fraction * 1_000_000) // 1_000_000]
     splits, leaves = {}, {}
 
     def grow(node, rs, depth):
@@ -264,11 +265,11 @@ def test_fast_cells_equal_reference_cells(fitted):
     assert got == ref and any(v for v in got.values())
 
 
-def test_count_below_binary_search(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 5.0, 9.0], x) for x in (0.5, 1.0, 1.5, 5.0, 9.5)] +
-                               [([], 3.0)], "cuts array<double>, x double")
-    got = [r.idx for r in importance.with_count_below(df, "cuts", "x", "idx", 3).collect()]
-    assert got == [0, 0, 1, 2, 4, 0]
+def test_value_ranges(spark):
+    df = spark.createDataFrame([(k, x) for k in (0, 1) for x in (0.5, 1.0, 1.5, 5.0, 9.5)], "k int, x double")
+    got = {(r.k, r.x): r.blk for r in forest.with_block(df, "k", [[1.0, 2.0, 5.0, 9.0], []]).collect()}
+    assert [got[0, x] for x in (0.5, 1.0, 1.5, 5.0, 9.5)] == [0, 0, 1, 2, 4]
+    assert {got[1, x] for x in (0.5, 9.5)} == {0}
 
 
 def test_lineage_cuts_do_not_change_results(fitted):
@@ -283,13 +284,88 @@ def test_lineage_cuts_do_not_change_results(fitted):
     assert pa == pb
 
 
-def test_two_level_cells_are_not_empty(spark):
-    """The SQL twins of the conditional part compare real cells, not one empty key."""
+def test_four_level_cells_are_several(spark):
+    """The SQL twins of the conditional part compare real cells: most features of a tree have more than one."""
     from panelcast.plans import registry
     registry.load_all()
-    df = registry.QUERIES["conditioning_cells_depth2"](spark, "/root/testdata/sf0.001")
-    most = df.groupBy("tree", "k").agg(F.countDistinct("cell").alias("c")).agg(F.max("c")).first()[0]
-    assert most > 1
+    df = registry.QUERIES["conditioning_cells_depth4"](spark, "/root/testdata/sf0.01")
+    n = [r.c for r in df.groupBy("tree", "k").agg(F.countDistinct("cell").alias("c")).collect()]
+    assert len(n) > 40 and sum(c > 1 for c in n) > 0.7 * len(n) and max(n) > 10
+
+
+def by_levels(p):
+    return replace(p, subtree_rows=45)
+
+
+def table(df, *cols):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
+
+
+def test_subtree_completion_equals_growth_by_levels(spark):
+    """Whole trees in one task, and large nodes level by level with small ones finished: one answer."""
+    inp, _ = fixture(spark, 400)
+    inp = inp.withColumn("xs", F.when(F.col("id") % 9 == 0, F.array(F.lit(None).cast("double"), F.col("xs")[1], F.col("xs")[2]))
+                         .otherwise(F.col("xs")))
+    for p in (P, replace(P, max_depth=2)):
+        a, b = forest.grow(inp, p, FEATS), forest.grow(inp, by_levels(p), FEATS)
+        assert a.depth == b.depth and a.splits.count() > 0
+        assert table(a.splits, "tree", "node", "k", "cut", "depth") == table(b.splits, "tree", "node", "k", "cut", "depth")
+        assert table(a.leaves, "tree", "node", "n", "sy") == table(b.leaves, "tree", "node", "n", "sy")
+        assert table(a.members, "tree", "id", "node", "bag", "y") == table(b.members, "tree", "id", "node", "bag", "y")
+        assert a.members.count() == P.ntree * 400
+
+
+def test_members_give_predictions_and_errors_without_routing(fitted, spark):
+    f, inp, rows, trees = fitted
+    g = forest.grow(inp, P, FEATS)
+    assert table(forest.predict_members(g), "id", "pred") == table(forest.predict_forest(f, inp), "id", "pred")
+    assert table(forest.oob_error(g), "tree", "n_oob", "oob_mse") == table(forest.oob_error(f, inp), "tree", "n_oob", "oob_mse")
+    assert table(importance.out_of_bag(g, inp), "tree", "id", "y", "node") == table(
+        importance.out_of_bag(f, inp), "tree", "id", "y", "node")
+
+
+def test_importance_and_dependence_by_task_equal_the_joins(fitted):
+    f, inp, rows, trees = fitted
+    g = forest.grow(inp, P, FEATS)
+    assert f.members is None and g.members is not None
+    for threshold in (0.0, 0.8):
+        assert table(importance.conditional_importance(g, inp, threshold), "tree", "k", "value") == table(
+            importance.conditional_importance(f, inp, threshold), "tree", "k", "value")
+    for only in (None, [1]):
+        assert table(pdp.partial_dependence(g, inp, only), "feature", "v", "pd") == table(
+            pdp.partial_dependence(f, inp, only), "feature", "v", "pd")
+
+
+def test_cohorts_grow_together_as_alone(spark):
+    a, _ = fixture(spark, 160)
+    b = fixture(spark, 230)[0].withColumn("y", F.col("xs")[2] + F.col("y") / 7)
+    both = a.withColumn("cohort", F.lit(0)).unionByName(b.withColumn("cohort", F.lit(1)))
+    f = forest.grow(both, P, FEATS)
+    alone = forest.grow(a, P, FEATS)
+    assert table(f.splits.where(f"tree < {P.ntree}"), "tree", "node", "k", "cut") == table(alone.splits, "tree", "node", "k", "cut")
+    levels = forest.grow(both, by_levels(P), FEATS)
+    assert table(f.splits, "tree", "node", "k", "cut") == table(levels.splits, "tree", "node", "k", "cut")
+    assert {r.tree for r in f.leaves.collect()} == set(range(2 * P.ntree))
+    sizes = {r.tree: r.n for r in f.members.where("bag").groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {t: (160 if t < P.ntree else 230) * 632 // 1000 for t in range(2 * P.ntree)}
+    imp = importance.conditional_importance(f, both, 0.0).where(f"tree < {P.ntree}")
+    assert table(imp, "tree", "k", "value") == table(importance.conditional_importance(alone, a, 0.0), "tree", "k", "value")
+    pd = pdp.partial_dependence_cohorts(f, both).where("cohort = 0")
+    assert table(pd, "feature", "v", "pd") == table(pdp.partial_dependence(alone, a), "feature", "v", "pd")
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 130, 1000])
+def test_subsample_has_exactly_its_size(spark, n, monkeypatch):
+    monkeypatch.setattr(forest, "RANKED", 16)   # several histogram buckets
+    inp = spark.range(n).select("id")
+    got = defaultdict(set)
+    for r in forest.subsample(inp, range(P.ntree), P).collect():
+        got[r.tree].add(r.id)
+    for t in range(P.ntree):
+        want = sorted(range(n), key=lambda i: (h32(P.seed, "s", t, i), i))[:n * 632 // 1000]
+        assert got[t] == set(want)
+    out = forest.subsample(inp, range(P.ntree), P, oob=True).groupBy("tree").count().collect()
+    assert {r.tree: r["count"] for r in out} == {t: n - n * 632 // 1000 for t in range(P.ntree)}
 
 
 def test_growth_leaves_two_tables(spark):
