@@ -9,9 +9,11 @@
    and the largest one.  A pair goes on if the b-bit estimate, corrected for chance collisions and
    taken with a margin of more than five standard deviations, can reach the threshold; it is a link when the
    full sets say so.  Connected components follow.
-4. *The rest*: a bucket of any band may still have several components.  In one of ``SMALL``
-   members at most, members outside the component of its smallest member meet those of other
-   components, by a join whose condition is the estimate.  The members of larger ones take an exact
+4. *More stars*: while buckets of more than ``SMALL`` members hold several components and a round finds links,
+   another member of each such bucket, drawn by a hash of the round, is its next hub: one pair a member.
+5. *The rest*: a bucket of any band may still have several components.  If at most ``SMALL`` members are outside
+   the component of its main member, they meet those of other components, by a join whose condition is the
+   estimate.  The members of other buckets take an exact
    prefix filter on their rarest shingles (:func:`rare_pairs`).  Both give every pair that
    may be a link, and no others are emitted; full sets decide again.  Links inside a component
    could change nothing, so the result is that of all pairs in all buckets.
@@ -46,8 +48,13 @@ SEED = 20240613
 SIGMAS = 5.5
 #: Bands whose buckets are joined by stars first.
 FIRST_BANDS = 8
-#: Members of a bucket whose pairs are all compared by their estimates; larger buckets take the prefix filter.
+#: Members outside a bucket's main component that meet all its members by their estimates; with more of them the
+#: bucket takes the prefix filter.
 SMALL = 16
+#: Hash slots of the shingle counts: a table of 2 MB.
+SLOT_BITS = 18
+#: Rounds of further stars; what they leave is found exactly all the same.
+ROUNDS = 8
 #: Ids that may go to the scan of the texts as a broadcast: some 50 MB.
 FEW_IDS = 1_000_000
 
@@ -180,9 +187,13 @@ def _confirm(percent: int):
 
 
 def _texts_of(ids: DataFrame, n: int, texts: DataFrame) -> DataFrame:
-    """The texts of ``n`` ids at most: the ids go to the scan as a broadcast while there are ``FEW_IDS`` at
-    most, and by a shuffled semi-join beyond that, so all texts are never shuffled for a few."""
-    return cut_lineage(texts.join(F.broadcast(ids) if n <= FEW_IDS else ids, "id", "left_semi"), "some-texts")
+    """(id, th, text): the texts of ``n`` ids at most, each once an id; th is the text's hash.
+
+    The ids go to the scan as a broadcast while there are ``FEW_IDS`` at most and they are numbers, and by a
+    shuffled semi-join beyond that, so all texts are never shuffled for a few."""
+    few = n <= FEW_IDS and dict(ids.dtypes)["id"] in ("int", "bigint")
+    some = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").withColumn("th", F.xxhash64("text"))
+    return cut_lineage(some.dropDuplicates(["id", "th"]), "some-texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -192,40 +203,63 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     some = _texts_of(ids, 2 * pairs.count(), texts)
     full = (pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
             .join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
-    return full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
+    return full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}").distinct()
+
+
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, component, text) to one row a shingle: (id, component, n, token)."""
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, th, component, text) to (slot, n): how many texts hold shingles of each slot, added up over a task."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        data, bounds = textscan.text_buffer(batch.column(2))
+        data, bounds = textscan.text_buffer(batch.column(3))
         for i, j in textscan.blocks(bounds, 1 << 18):
-            sets = _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
-            size = np.array([len(s) for s in sets])
-            at = pa.array(np.repeat(np.arange(i, j), size))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, size), pa.int64()),
-                 pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "n", "token"])
+            for tokens in _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]):
+                np.add.at(total, _slots(tokens), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+
+def _prefixes(percent: int, count: np.ndarray):
+    """(id, th, component, text) to one row a shingle of the text's prefix: (id, th, component, n, token, place)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = textscan.text_buffer(batch.column(3))
+            for i, j in textscan.blocks(bounds, 1 << 18):
+                sets = []
+                for tokens in _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]):
+                    n = len(tokens)
+                    sets.append((n, tokens[np.lexsort((tokens, count[_slots(tokens)]))][:(100 - percent) * n // 100 + 1]))
+                size = np.array([len(t) for _, t in sets])
+                at = pa.array(np.repeat(np.arange(i, j), size))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in range(3)), pa.array(np.repeat([n for n, _ in sets], size), pa.int64()),
+                     pa.array(np.concatenate([t for _, t in sets]).view(np.int64)),
+                     pa.array(np.concatenate([np.arange(1, k + 1) for k in size]), pa.int64())],
+                    names=["id", "th", "component", "n", "token", "place"])
+    return run
 
 
 def _prefix_join(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components that may be links; ``members``: (id, component), each id once.
 
     An exact prefix filter.  Two sets of x and y shingles that are links share ``least`` of them; with all
-    shingles in one order, rarest first, the first one that they share has so many after it on either side
-    that they still can.  A group's members mostly differ by shingles of their own, which come first and pair
-    with nothing, so a crowded bucket doesn't give the square of its size.
+    shingles in one order, the first one that they share has so many after it on either side
+    that they still can.  The order is rarest first, by how many texts hold a shingle of the same hash slot (a table of
+    2**SLOT_BITS counts; any order is exact).  A group's members mostly differ by shingles of their own, which come first
+    and pair with nothing, so a crowded bucket doesn't give the square of its size.
     """
     kind = dict(members.dtypes)["id"]
     some = _texts_of(members.select("id"), members.count(), texts)
-    tokens = cut_lineage(members.join(some, "id").select("id", "component", "text").mapInArrow(
-        _tokens, f"id {kind}, component {kind}, n long, token long"), "tokens")
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "token")  # as many rows as the text has shingles
-    first = (tokens.join(df, "token").withColumn("place", F.row_number().over(order))
-             .where(F.col("df") > 1)
-             .where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
-             .select("id", "component", "n", "token", "place"))
+    crowd = cut_lineage(members.join(some, "id").select("id", "th", "component", "text"), "crowd-texts")
+    found = (crowd.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+             .toArrow())  # 2**SLOT_BITS rows at most
+    count = np.zeros(1 << SLOT_BITS, np.int64)
+    count[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    first = cut_lineage(crowd.mapInArrow(
+        _prefixes(percent, count), f"id {kind}, th long, component {kind}, n long, token long, place long"), "prefixes")
     x, y = (first.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place")))
             for s in ("a", "b"))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
@@ -283,11 +317,30 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the rest: buckets that still have several components
     inner = (crowded.where(f"band >= {FIRST_BANDS} OR (id > lo AND id < hi)").groupBy("bucket")
              .agg(F.count(F.lit(1)).alias("size")))
-    member = cut_lineage(members(found).join(inner, "bucket").select("id", "bucket", "component", "main", "size"),
-                         "members")
-    split = member.where("component <> main").select("bucket").distinct()
-    pool = member.join(split, "bucket", "left_semi")
-    small = pool.where(F.col("size") <= SMALL).join(sigs, "id")
+
+    def divided(found: DataFrame) -> DataFrame:
+        """Members of the buckets that have several components, each with the bucket's number of outsiders."""
+        member = members(found).join(inner, "bucket").select("id", "bucket", "component", "main", "size")
+        out = (member.where("component <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("outside")))
+        return cut_lineage(member.join(out, "bucket"), "divided")
+
+    pool = divided(found)
+    for turn in range(ROUNDS):
+        drawn = F.xxhash64(F.lit(turn), "id")
+        hub = (pool.where(F.col("outside") > SMALL).groupBy("bucket")
+               .agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("theirs")), drawn).alias("h"))
+               .select("bucket", "h.*"))
+        if hub.isEmpty():
+            break
+        pairs = (pool.join(hub, "bucket").where("component <> theirs")
+                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        new = linked(tested(pairs))
+        if new.isEmpty():
+            break
+        links = links.unionAll(new)
+        found = cut_components(links)
+        pool = divided(found)
+    small = pool.where(F.col("outside") <= SMALL).join(sigs, "id")
     x = small.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"),
                                                 F.col("sig").alias("sig_a"))
     y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("main").alias("mb"),
@@ -296,7 +349,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = (x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & once
                    & may_link(F.col("sig_a"), F.col("sig_b"), n_hashes, bits, threshold))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    large = cut_lineage(pool.where(F.col("size") > SMALL).select("id", "component").distinct(), "crowd")
+    large = cut_lineage(pool.where(F.col("outside") > SMALL).select("id", "component").distinct(), "crowd")
     if not large.isEmpty():
         more = more.unionAll(tested(rare_pairs(large, texts, percent))).distinct()
     more = linked(more)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_path, ensure_checkpoint_dir, scratch_path
+from ..session import cut_lineage, drop_path, ensure_checkpoint_dir, scratch_path, ship_package, write_stage
 
 __all__ = ["arrow_type", "ascii_lower", "cut_lineage", "drop_path", "ensure_checkpoint_dir", "held_out", "read_table",
-           "row_id", "scratch_path", "ship_package", "small_batches"]
+           "row_id", "scratch_path", "ship_package", "small_batches", "write_stage"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,20 +46,6 @@ def row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application; they need not have it installed."""
-    sc = spark.sparkContext
-    name = f"panelcast-{sc.applicationId}.zip"
-    if name in sc._python_includes:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = f"{tempfile.mkdtemp()}/{name}"  # Spark serves it from there as long as the application runs
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     """Before Arrow functions: the package is on the executors, and a batch ends at ``rows`` rows or
     ``mb`` MB, so that long texts don't pile up in a task."""

@@ -92,6 +92,39 @@ def test_crowded_buckets_match_brute_force(make_docs, monkeypatch):
     assert {r.id: r.component for r in minhash.near_components(make_docs(rows), percent=85).collect()} == want
 
 
+def test_repeated_rows_change_nothing(make_docs, monkeypatch):
+    """Each row five times, in buckets that are crowded and in those that aren't."""
+    rows = corpus()[:90] * 5
+    want = brute(rows, 85)
+    assert {r.id: r.component for r in minhash.near_components(make_docs(rows), percent=85).collect()
+            if r.id is not None} == want
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "FIRST_BANDS", 1)
+    for rounds in (0, 8):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        rng = random.Random(9)
+        base, rows = [f"w{rng.randrange(500)}" for _ in range(150)], []
+        for i in range(60):
+            v = list(base)
+            for _ in range(rng.randint(1, 4)):
+                v[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(v)))
+        want = brute(rows, 85)
+        got = minhash.near_components(make_docs(rows * 6), percent=85).collect()
+        assert len(got) == 360 and {r.id: r.component for r in got} == want
+
+
+def test_one_id_with_two_texts(make_docs, monkeypatch):
+    """Its links are those of either text."""
+    monkeypatch.setattr(minhash, "SMALL", 0)
+    monkeypatch.setattr(minhash, "FIRST_BANDS", 0)
+    rng = random.Random(2)
+    a, b = ([f"{c}{rng.randrange(300)}" for _ in range(120)] for c in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(a[:118])), (7, " ".join(b[2:])), (8, "on its own in here now")]
+    got = {(r.id, r.component) for r in minhash.near_components(make_docs(rows), percent=85).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (8, 8)}
+
+
 def test_one_of_each_group_stays(make_docs):
     rows = corpus() + [(7, "alone and repeated by rows of one id"), (7, "alone and repeated by rows of one id")]
     docs = make_docs(rows)
