@@ -51,6 +51,9 @@ ROLE_WORDS = set(
     "cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login form search comment "
     "comments disqus reply replies respond share sharing social related recommended pagination pager toolbar "
     "copyright legal".split())
+#: Of these, the names that a long text of its own may speak against.  Menus, headers, footers, sidebars, notices, adverts,
+#: forms and reader comments are removed whatever their length.
+SOFT_WORDS = set("widget widgets share sharing social related recommended copyright legal search subscribe subscription".split())
 
 
 def named_role(node: Node) -> bool:
@@ -61,6 +64,11 @@ def named_role(node: Node) -> bool:
     return node.tag not in CONTENT and node.tag not in ("html", "body") and any(w in ROLE_WORDS for w in node.names)
 
 
+def soft_role(node: Node) -> bool:
+    """A named element that only ``SOFT_WORDS`` name."""
+    return node.tag not in ROLE_TAGS and not any(w in ROLE_WORDS and w not in SOFT_WORDS for w in node.names)
+
+
 def page_nodes(page: str) -> Iterator[tuple[int, int, int]]:
     """(path, style, content) of each path of judged elements in a page."""
     nodes, blocks = parse(page)
@@ -123,7 +131,7 @@ def main_text(page: str, importance: Callable[[int], float]) -> str:
         least = scores[id(x)] if x else 1.0
         for x in reversed(way):
             if id(x) in named:
-                rich = min(1.0, words[id(x)] / RICH)
+                rich = min(1.0, words[id(x)] / RICH) if soft_role(x) else 0.0
                 least = min(least, importance(x.path) * (ROLE_WEIGHT + (1 - ROLE_WEIGHT) * rich))
             elif id(x) in roles or x.tag in CONTAINER:
                 least = min(least, importance(x.path))

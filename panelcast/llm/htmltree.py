@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 # Element kinds of the HTML standard.
@@ -28,9 +29,14 @@ CONTAINER = set("aside center details dialog div dl fieldset figure footer form
 CONTENT = {"article", "main"}
 _P_SCOPE = CONTAINER | CONTENT | {"p", "button"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S)
+#: Where markup may start; a tag with quoted values; a tag whose quotes never close.  No pattern can run past the next
+#: ``<`` outside quotes or try a character twice, so a page is read in linear time however broken it is.
+_OPEN = re.compile(r"<[!?/a-zA-Z]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>")
+_CUT = re.compile(r"<[/!?a-zA-Z]")
+#: Elements deeper than this become siblings of the one above, as in browsers.
+DEEPEST = 512
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -42,10 +48,11 @@ def digest(text: str) -> int:
 class Node:
     """An element: its tag, its step (tag, classes and id without digits), and a hash of the steps to it."""
 
-    __slots__ = ("tag", "step", "path", "parent", "children", "blocks", "names")
+    __slots__ = ("tag", "step", "path", "parent", "children", "blocks", "names", "depth")
 
     def __init__(self, tag: str, names: tuple[str, ...], step: str, parent: Node | None) -> None:
         self.tag, self.names, self.step, self.parent = tag, names, step, parent
+        self.depth: int = parent.depth + 1 if parent else 0
         self.path: int = digest(f"{parent.path if parent else 0}/{step}")
         self.children: list[str] = []
         self.blocks: list[int] = []
@@ -65,11 +72,42 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of comments, declarations (no tag) and tags in page order.
+
+    From the first tag on whose quotes never close, quotes don't count.
+    """
+    at, size, quotes = 0, len(page), True
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if page[start + 1] in "!?" or page[start + 1] == "/" and not page[start + 2:start + 3].isalpha():
+            end = page.find(">", start)
+            at = size if end < 0 else end + 1
+            yield start, at, "", "", ""
+            continue
+        tag = _TAG.match(page, start) if quotes else None
+        if tag and not tag[4]:
+            quotes = tag.end() == size or page[tag.end()] not in "\"'"
+        if not (tag and tag[4]):
+            tag = _PLAIN.match(page, start)
+        if tag:
+            at = tag.end()
+            yield start, at, tag[1], tag[2].lower(), tag[3]
+        else:
+            at = start + 1
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
     """Elements in page order, and the text blocks with the innermost element that they stand in."""
     root = Node("#", (), "#", None)
     here, nodes, blocks, words = root, [], [], []
     block_at: Node = root
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         if words:
@@ -78,47 +116,47 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
             if text:
                 blocks.append((text, block_at))
 
+    def leave(node: Node) -> Node:
+        """Close all open elements up to ``node``; its parent is open then."""
+        x = here
+        while x is not node:
+            open_tags[x.tag] -= 1
+            x = x.parent
+        open_tags[node.tag] -= 1
+        return node.parent or root
+
     at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            if here.tag not in RAW:
-                cut = page[at:]  # a tag that the page's end cuts off is no text
-                open_tag = re.search(r"<[/!?a-zA-Z][^>]*\Z", cut)
-                words.append(cut[:open_tag.start()] if open_tag else cut)
-                block_at = block_at if len(words) > 1 else here
-            break
-        if m.start() > at:
+    for start, end, slash, tag, attrs in _tokens(page):
+        if start < at:  # inside an element that is no text
+            continue
+        if start > at:
             if not words:
                 block_at = here
-            words.append(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+            words.append(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag
+        if slash:  # an end tag
             if tag in BLOCK:
                 flush()
             elif tag == "br":
                 words.append(" ")
-            node = next((n for n in here.above() if n.tag == tag), None)
-            if node and node.parent:
-                here = node.parent
+            if open_tags[tag]:
+                here = leave(next(n for n in here.above() if n.tag == tag))
             continue
-        attrs = m[3] or m[6] or ""
         if tag in BLOCK:
             flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             p = next((n for n in here.above() if n.tag in _P_SCOPE), None)
             if p and p.tag == "p":
-                here = p.parent or root
+                here = leave(p)
         elif tag in ENDS:
             ends, stop = ENDS[tag]
             for n in here.above():
                 if n.tag in stop:
                     break
                 if n.tag in ends:
-                    here = n.parent or root
+                    here = leave(n)
         if tag in VOID:
             words.append(" ")
             continue
@@ -127,10 +165,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         if not here.children or here.children[-1] != step:
             here.children.append(step)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else size
+            closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = closing.end() if closing else size
             continue
+        if here.depth >= DEEPEST:
+            here = leave(here)
         here = Node(tag, names, step, here)
+        open_tags[tag] += 1
         nodes.append(here)
+    if at < size and here.tag not in RAW:
+        cut = page[at:]  # a tag that the page's end cuts off is no text
+        open_tag = _CUT.search(cut, cut.rfind(">") + 1)
+        words.append(cut[:open_tag.start()] if open_tag else cut)
+        block_at = block_at if len(words) > 1 else here
     flush()
     return nodes, blocks

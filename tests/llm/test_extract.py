@@ -101,6 +101,47 @@ def test_a_name_alone_does_not_decide(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("n", [30, 60, 500])
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("role", ["section class=comments", "div id=comment-list", "div class=footer", "footer", "aside", "nav",
+                                  "div class=sidebar", "form", "div class=notice", "div class=cookie-notice", "div class=ad",
+                                  "header", "div class=menu"])
+def test_length_never_saves_what_isnt_the_article(n, inside, role):
+    if inside and role == "header":
+        return  # an article's own headline
+    words = " ".join(f"own{i}" for i in range(n))
+    branch = f"<{role}><p>{words}</p></{role.split()[0]}>"
+    body = f"<h1>Title</h1><p>{MANY}</p>"
+    page = f"<article>{body}{branch}</article>" if inside else f"<div><div class=story>{body}</div>{branch}</div>"
+    assert text(page) == f"Title\n{MANY}"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+    units = ["<a", "<a b=' ", "<a b=\"", "<a \"'", "</ ", "<!", "<!--", "<", "<div>x", "<b>", "<p><b>", "<a b='>", "&#", "<b></i>",
+             "<td><b></td>", "</p>"]
+    for unit in units:
+        page = unit * (1_000_000 // len(unit)) + ">'"
+        t = time.perf_counter()
+        htmltree.parse(page)
+        assert time.perf_counter() - t < 20, unit
+    for unit in ("<a", "<a b=' "):
+        t = time.perf_counter()
+        htmltree.parse(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - t < 1.5, unit
+
+
+def test_odd_tags():
+    def blocks(page):
+        return [t for t, _ in htmltree.parse(page)[1]]
+    assert blocks("a < b <c d='>x'>y</c> 1<2") == ["a < b y 1<2"]
+    assert blocks("x<p title=\"never closed>y</p><p>z</p>") == ["x", "y", "z"]
+    assert blocks("<p>a<script>if (a<b) '</p>'</script>b") == ["ab"]
+    assert blocks("<p>a</ p><b") == ["a"]
+    deep = htmltree.parse("<div>" * 2000 + "x" + "</div>" * 2000 + "<p>y")
+    assert [t for t, _ in deep[1]] == ["x", "y"] and max(n.depth for n in deep[0]) == htmltree.DEEPEST
+
+
 def test_the_style_tree_judges_named_branches(spark):
     rng = random.Random(8)
     rows, want = [], []
