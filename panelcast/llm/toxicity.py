@@ -2,9 +2,10 @@
 
 A text's terms are its words (A-Z lower-cased) and their first four and first five bytes,
 hashed into ``2**HASH_BITS`` buckets; a bucket is present or not, so a text's length and
-repetitions don't matter.  Buckets whose presence speaks for
-a toxic text in the training sample (log-odds of ``MIN_ODDS`` and a ``z`` of ``MIN_Z`` or more) enter the model; the
-others mostly tell a text's length and language, which should not excuse an insult:
+repetitions don't matter.  Two kinds of buckets enter the model: those whose presence alone speaks for a toxic
+text in the training sample (log-odds of ``MIN_ODDS`` and a ``z`` of ``MIN_Z`` or more), and those of pairs that do
+so together, however ordinary each is (:func:`pair_terms`).  The others mostly tell a text's length and language,
+which should not excuse an insult:
 
     logit = w0 + sum_i w_i + sum_{i<j} <v_i, v_j>     over the present buckets i, j,
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from . import textscan
 from .storage import held_out, read_table, small_batches
 
-HASH_BITS, FACTORS, MIN_Z, MIN_ODDS, MAX_TERMS = 22, 8, 3.5, 2.0, 4096
+HASH_BITS, FACTORS, MIN_Z, MIN_ODDS = 22, 8, 3.5, 2.0
+#: Evidence (nats, beyond the logarithm of the number of pairs looked at) that a pair must give.
+PAIR_EVIDENCE = 10.0
 THRESHOLD = 0.3
 
 
@@ -81,7 +84,7 @@ class Model:
 
 
 def select_terms(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets whose presence speaks for label 1, strongest first."""
+    """Buckets whose presence speaks for label 1, alone (strongest first) or in pairs."""
     size = 1 << HASH_BITS
     a, b = (np.bincount(np.concatenate([x for x, t in zip(buckets, y) if t == k] or [np.zeros(0, np.int32)]),
                         minlength=size).astype(float) for k in (1, 0))
@@ -91,7 +94,67 @@ def select_terms(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     odds = np.log(a / c) - np.log(b / d)
     z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     strong = np.flatnonzero((z >= MIN_Z) & (odds >= MIN_ODDS))
-    return seen[strong[np.argsort(-z[strong], kind="stable")][:MAX_TERMS]]
+    alone = seen[strong[np.argsort(-z[strong], kind="stable")]]
+    return np.concatenate((alone, pair_terms(buckets, y, alone)))
+
+
+def _presence(rows: list[np.ndarray], columns: np.ndarray, n: int) -> np.ndarray:
+    """Rows by the ``n`` buckets that ``columns`` numbers (-1: none), 1 where present."""
+    out = np.zeros((len(rows), n), np.float32)
+    for i, x in enumerate(rows):
+        at = columns[x]
+        out[i, at[at >= 0]] = 1
+    return out
+
+
+def pair_terms(buckets: list[np.ndarray], y: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Buckets of pairs whose co-occurrence speaks for label 1 in the rows that hold none of ``alone``.
+
+    A pair in n such rows, a of them toxic, is compared with the more toxic of its two members, whose rate is q:
+    n * KL(a / n, q) must reach ``PAIR_EVIDENCE`` plus the logarithm of the number of pairs.  Every pair that could reach
+    it is looked at: the toxic rows are counted first, and then the clean rows for the members of those left.
+    """
+    strong = np.zeros(1 << HASH_BITS, bool)
+    strong[alone] = True
+    rest = [i for i, x in enumerate(buckets) if not strong[x].any()]
+    toxic, clean = ([buckets[i] for i in rest if y[i] == t] for t in (1, 0))
+    none = np.zeros(0, np.int64)
+    if not toxic or not clean:
+        return none
+    size = 1 << HASH_BITS
+    in_toxic, in_clean = (np.bincount(np.concatenate(rows), minlength=size) for rows in (toxic, clean))
+    base = max(len(toxic) / len(rest), 1e-6)
+    terms = np.flatnonzero(in_toxic * -np.log(base) >= PAIR_EVIDENCE)
+    need = PAIR_EVIDENCE + np.log(max(1, len(terms) * (len(terms) - 1) / 2))
+    terms = terms[in_toxic[terms] * -np.log(base) >= need]  # n = a at best
+    if len(terms) < 2:
+        return none
+    rate = in_toxic[terms] / (in_toxic[terms] + in_clean[terms])
+    columns = np.full(size, -1, np.int32)
+    columns[terms] = np.arange(len(terms))
+    x = _presence(toxic, columns, len(terms))
+    found = np.zeros(len(terms), bool)
+    step = 512  # terms at a time, so that memory grows with the number of terms and not with its square
+    for lo in range(0, len(terms), step):
+        both = x[:, lo:lo + step].T @ x
+        q = np.maximum(rate[lo:lo + step, None], rate[None, :])
+        hope = both * -np.log(np.maximum(q, 1e-9)) >= need
+        hope &= np.arange(len(terms))[None, :] > np.arange(lo, lo + len(both))[:, None]
+        rows, cols = np.flatnonzero(hope.any(axis=1)), np.flatnonzero(hope.any(axis=0))
+        if not len(rows):
+            continue
+        count = np.zeros((len(rows), len(cols)))
+        for at in range(0, len(clean), 2048):
+            part = _presence(clean[at:at + 2048], columns, len(terms))
+            count += part[:, lo + rows].T @ part[:, cols]
+        a = both[np.ix_(rows, cols)]
+        n, q = a + count, q[np.ix_(rows, cols)]
+        share = np.clip(a / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+        evidence = n * (share * np.log(share / q) + (1 - share) * np.log((1 - share) / np.maximum(1 - q, 1e-12)))
+        good = (evidence >= need) & (share > q) & hope[np.ix_(rows, cols)]
+        found[lo + rows[good.any(axis=1)]] = True
+        found[cols[good.any(axis=0)]] = True
+    return terms[found]
 
 
 def fit(buckets: list[np.ndarray], y: np.ndarray, epochs: int = 300, rate: float = 0.05, l2: float = 1e-6,

@@ -82,16 +82,49 @@ def test_an_interaction_is_learned():
     data, bounds = textscan.text_buffer(pa.array(texts))
     doc, bucket = toxicity.terms(data, bounds)
     rows = [np.unique(bucket[doc == d]) for d in range(len(texts))]
-    old = toxicity.MIN_ODDS, toxicity.MIN_Z
-    toxicity.MIN_ODDS, toxicity.MIN_Z = 0.5, 1.0
-    try:
-        model = toxicity.fit(rows, y, epochs=600)
-    finally:
-        toxicity.MIN_ODDS, toxicity.MIN_Z = old
+    model = toxicity.fit(rows, y, epochs=600)
     s = model.score(data, bounds)[:4]
     assert s[0] > 0.5 > max(s[1:])
 
 
+def test_a_pair_of_ordinary_words_is_caught_beside_strong_ones():
+    """Constants as shipped: each word of the pair is in a third of the clean texts, both only in toxic ones."""
+    rng = random.Random(3)
+    filler = [f"word{i}" for i in range(600)]
+    texts, y, kind = [], [], []
+    for i in range(6000):
+        words, what = [rng.choice(filler) for _ in range(rng.randint(10, 120))], "clean"
+        if i % 20 == 0:
+            what, words = "pair", words + ["alpha", "bravo"]
+        elif i % 20 == 1:
+            what, words = "strong", words + ["vilest"]
+        elif rng.random() < 0.7:
+            words.append(rng.choice(["alpha", "bravo"]))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        kind.append(what)
+        y.append(int(what != "clean") if rng.random() > 0.01 else 1)
+    y, kind = np.array(y), np.array(kind)
+    data, bounds = textscan.text_buffer(pa.array(texts))
+    doc, bucket = toxicity.terms(data, bounds)
+    at = np.searchsorted(doc[np.argsort(doc, kind="stable")], np.arange(len(texts) + 1))
+    bucket = bucket[np.argsort(doc, kind="stable")]
+    rows = [np.unique(bucket[a:b]) for a, b in zip(at[:-1], at[1:])]
+    model = toxicity.fit(rows[:4000], y[:4000])
+    assert len(model.w) < 40
+    score = model.score(data, bounds)[4000:]
+    caught = {k: (score[kind[4000:] == k] >= toxicity.THRESHOLD).mean() for k in ("pair", "strong", "clean")}
+    assert caught["pair"] >= 0.95 and caught["strong"] >= 0.95 and caught["clean"] <= 0.01, caught
+
+
+def test_no_pair_is_found_by_chance():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 400, rng.integers(5, 150))) for _ in range(3000)]
+    y = (rng.random(3000) < 0.1).astype(int)
+    assert len(toxicity.pair_terms(rows, y, np.zeros(0, int))) == 0
+    assert len(toxicity.pair_terms(rows[:1], y[:1], np.zeros(0, int))) == 0
+
+
 def test_no_labels_and_empty_table(spark, make_docs, trained):
     docs = make_docs(["a", "vilest"])
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
