@@ -1,13 +1,13 @@
 """License scan: a positional rare-token index over licence texts.
 
-The index holds, for each word of the templates below, the postings (template, position).
-For each template, its words that a file holds are ranked by inverse document frequency over the whole
-table; the ``rare_words`` highest-ranked of each template are looked up (by default more than any template
-has, so nothing depends on other documents), and every pair of a file position and a posting of the template
-votes for the place ``file position - template position``.  A place with enough votes is a
-candidate; it is verified when every word of the template's mandatory key phrases stands at
-its relative position.  The score of a place is the share of the template's words found in
-position.
+The index holds, for each word of the templates below, the postings (template, position).  A place
+can only be a template's if all words of its mandatory key phrases stand there, so it is enough to look
+up, of each template, the ``rare_words`` mandatory words of the highest inverse document frequency over the whole
+table: every pair of a file position and one of their postings votes for the place ``file position - template
+position``, and a place that has the votes of all of them is a candidate.  It is verified when every mandatory word
+stands at its relative position, and ``MIN_VOTES`` words that aren't common.  Which words are the rarest
+depends on the other documents, the result does not.  The score of a place is the share of the template's words
+found in position.
 
 Everything is DataFrame expressions: one pass over the texts keeps only licence words of files
 that hold a trigger word, and the joins run on those.  The index is a constant of this module
@@ -89,8 +89,6 @@ INDEX = index_rows()
 VOCABULARY = sorted({r[3] for r in INDEX} | {w for p in BASE for w in p.split()})
 RARE = sorted({r[3] for r in INDEX if r[5]})
 MIN_VOTES = 2
-#: Distinct words of a template that are looked up, at most.
-MOST_WORDS = max(len({r[3] for r in INDEX if r[5] and r[0] == t}) for t in range(len(TEMPLATES)))
 
 
 def _index(spark: SparkSession) -> DataFrame:
@@ -132,41 +130,39 @@ def read_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(F.col("_has"), _base_places(w)).alias("_places"), F.when(F.col("_has"), hits).alias("_hits")))
 
 
-def find_licenses(files: DataFrame, rare_words: int = 32) -> DataFrame:
+def lookups(files: DataFrame, rare_words: int) -> DataFrame:
+    """(tid, word, tpos, need): each template's ``rare_words`` mandatory words that the fewest files hold."""
+    index = _index(files.sparkSession)
+    held = (files.where(F.col("_hits").isNotNull()).select(F.explode(F.array_distinct("_hits.word")).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    # the index is a constant of some 200 rows
+    rank = F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("idf"), "word", "tpos"))
+    return (index.where("key").join(held, "word", "left").withColumn("idf", idf).withColumn("rank", rank)
+            .where(F.col("rank") <= rare_words).select("tid", "word", "tpos")
+            .withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("tid"))))
+
+
+def find_licenses(files: DataFrame, rare_words: int = 2) -> DataFrame:
     """Verified placements of templates: _row, label, start, score."""
-    spark = files.sparkSession
-    index = _index(spark)
+    index = _index(files.sparkSession)
     hits = files.where(F.col("_hits").isNotNull()).select("_row", F.inline("_hits"))
-    postings = index.where("rare").select("word", "tid", "tpos")
-    if rare_words < MOST_WORDS:
-        own = (files.where(F.col("_hits").isNotNull())
-               .select("_row", F.explode(F.array_distinct(F.col("_hits.word"))).alias("word"))
-               .where(F.col("word").isin(*RARE)))
-        n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-        idf = (own.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-               .select("word", F.log((n + 1) / (F.col("df") + 1)).alias("idf")))
-        # a template's words in a file: no more than the template has, so the window is bounded
-        rank = F.row_number().over(Window.partitionBy("_row", "tid").orderBy(F.desc("idf"), "word"))
-        looked_up = (own.join(idf, "word").join(postings.select("word", "tid").distinct(), "word")
-                     .withColumn("_rank", rank).where(F.col("_rank") <= rare_words).select("_row", "word", "tid"))
-        votes = looked_up.join(hits, ["_row", "word"]).join(postings, ["word", "tid"])
-    else:
-        votes = hits.join(postings, "word")
+    places = (hits.join(F.broadcast(lookups(files, rare_words)), "word")
+              .groupBy("_row", "tid", "need", (F.col("pos") - F.col("tpos")).alias("start"))
+              .agg(F.count(F.lit(1)).alias("votes")).where("votes = need").select("_row", "tid", "start"))
     need = (index.groupBy("tid").agg(F.least(F.lit(MIN_VOTES), F.count_if("rare")).alias("need"),
                                      F.count_if("key").alias("n_key"), F.count(F.lit(1)).alias("n_all")))
-    places = (votes.groupBy("_row", "tid", (F.col("pos") - F.col("tpos")).alias("start"))
-              .agg(F.count(F.lit(1)).alias("votes"))
-              .join(need, "tid").where(F.col("votes") >= F.col("need")))
-    return (places.join(index.select("tid", "label", "tpos", "word", "key"), "tid")
+    return (places.join(index.select("tid", "label", "tpos", "word", "key", "rare"), "tid")
             .withColumn("pos", F.col("start") + F.col("tpos")).join(hits, ["_row", "pos", "word"])
-            .groupBy("_row", "tid", "label", "start", "n_key", "n_all")
-            .agg(F.count_if("key").alias("k"), F.count(F.lit(1)).alias("m"))
-            .where(F.col("k") == F.col("n_key"))
+            .groupBy("_row", "tid", "label", "start")
+            .agg(F.count_if("key").alias("k"), F.count_if("rare").alias("votes"), F.count(F.lit(1)).alias("m"))
+            .join(need, "tid").where((F.col("k") == F.col("n_key")) & (F.col("votes") >= F.col("need")))
             .select("_row", "label", "start", (F.col("m") / F.col("n_all")).alias("score")))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                  rare_words: int = 32) -> DataFrame:
+                  rare_words: int = 2) -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the best verified placement's; 0.5 if only base phrases stand there, else 0.
