@@ -57,40 +57,41 @@ def cv_baselines(train: DataFrame, y: str, fold: str,
     """M3: out-of-fold error of closed-form candidates, all in one job.
 
     A candidate is (name, x): x None is the mean of the other folds, otherwise a
-    one-variable least squares fitted on the other folds.  One aggregate gives
-    per-fold sums for every candidate's x; fold k's coefficients are the totals
-    minus fold k (totals enter as scalar subqueries); each training row is then
+    one-variable least squares fitted on the other folds, over the rows where x and y are not
+    NULL; only these are scored and counted.  One aggregate gives per-fold sums of differences from the means
+    for every candidate's x, so large offsets don't cancel; fold k's coefficients are the totals
+    minus fold k (means and totals enter as scalar subqueries); each training row is then
     scored once per candidate by a narrow explode and the errors are averaged
     per (model, fold).  Returns (model, fold, n, mse, mae).
     """
-    xs = [(name, F.col(x).cast("double") if x else F.col(y).cast("double"), x is None)
-          for name, x in candidates]
-    yc = F.col(y)
-    sums = train.groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(yc).alias("sy"),
-        *[e for i, (_, xc, _) in enumerate(xs) for e in (
-            F.sum(xc).alias(f"sx{i}"), F.sum(xc * xc).alias(f"sxx{i}"), F.sum(xc * yc).alias(f"sxy{i}"))])
+    yc = F.col(y).cast("double")
+    xs = [(name, F.col(x).cast("double") if x else F.lit(0.0)) for name, x in candidates]
+    both = [yc.isNotNull() & xc.isNotNull() for _, xc in xs]
+    means = train.agg(*[e for i, (_, xc) in enumerate(xs) for e in (
+        F.avg(F.when(both[i], xc)).alias(f"mx{i}"), F.avg(F.when(both[i], yc)).alias(f"my{i}"))])
+    mx, my = ([means.select(f"{c}{i}").scalar() for i in range(len(xs))] for c in ("mx", "my"))
+    sums = []
+    for i, (_, xc) in enumerate(xs):
+        dx, dy = F.when(both[i], xc - mx[i]), F.when(both[i], yc - my[i])
+        sums += [F.count(dx).alias(f"n{i}"), F.sum(dy).alias(f"sy{i}"), F.sum(dx).alias(f"sx{i}"),
+                 F.sum(dx * dx).alias(f"sxx{i}"), F.sum(dx * dy).alias(f"sxy{i}")]
+    sums = train.groupBy(fold).agg(*sums)
     names = [c for c in sums.columns if c != fold]
     totals = sums.agg(*[F.sum(c).alias(c) for c in names])
-    other = {c: totals.select(c).scalar() - F.col(c) for c in names}
-    n, sy = other["n"], other["sy"]
+    other = {c: totals.select(c).scalar() - F.coalesce(F.col(c), F.lit(0)) for c in names}
     coef_cols = []
-    for i, (name, _, is_mean) in enumerate(xs):
-        if is_mean:
-            b, a = F.lit(0.0), sy / n
-        else:
-            sx, sxx, sxy = other[f"sx{i}"], other[f"sxx{i}"], other[f"sxy{i}"]
-            b = (sxy - sx * sy / n) / (sxx - sx * sx / n)
-            a = (sy - b * sx) / n
-        coef_cols += [a.alias(f"a{i}"), b.alias(f"b{i}")]
+    for i, (_, x) in enumerate(candidates):
+        n, sy, sx, sxx, sxy = (other[f"{c}{i}"] for c in ("n", "sy", "sx", "sxx", "sxy"))
+        b = F.try_divide(sxy - sx * F.try_divide(sy, n), sxx - sx * F.try_divide(sx, n)) if x else F.lit(0.0)
+        coef_cols += [F.try_divide(sy - b * sx, n).alias(f"a{i}"), b.alias(f"b{i}")]
     coefs = sums.select(fold, *coef_cols)
     scored = train.join(coefs, fold)   # one row per fold: the planner broadcasts it by its size
     per = F.array(*[F.struct(F.lit(name).alias("model"),
-                             (yc - (F.col(f"a{i}") + F.col(f"b{i}") * xc)).alias("r"))
-                    for i, (name, xc, _) in enumerate(xs)])
+                             (yc - my[i] - (F.col(f"a{i}") + F.col(f"b{i}") * (xc - mx[i]))).alias("r"))
+                    for i, (name, xc) in enumerate(xs)])
     e = scored.select(fold, F.explode(per).alias("e")).select(fold, "e.model", "e.r")
     return e.groupBy("model", fold).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("r") * F.col("r")).alias("mse"),
+        F.count("r").alias("n"), F.avg(F.col("r") * F.col("r")).alias("mse"),
         F.avg(F.abs("r")).alias("mae"))
 
 
