@@ -50,6 +50,8 @@ FIRST_BANDS = 8
 SMALL = 16
 #: Hash slots of the shingle counts: a table of 2 MB.
 SLOT_BITS = 18
+#: Bits of a set's parity bitmap in the prefix filter.
+PARITY_BITS = 1024
 #: Ids that may go to the scan of the texts as a broadcast: some 50 MB.
 FEW_IDS = 1_000_000
 
@@ -217,23 +219,39 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits as int64 words: each tells whether an odd number of the set's shingles fall on it.
+
+    A shingle that only one of two sets holds turns one bit, so the sets differ in as many shingles as bits at least.
+    """
+    odd = np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(percent: int, count: np.ndarray):
-    """(id, th, component, text) to one row a shingle of the text's prefix: (id, th, component, n, token, place)."""
+    """(id, th, component, text) to one row a shingle of the text's prefix: (id, th, component, n, odd, token, place).
+
+    Shingles alone in their slot are in no other text and give no row; they keep their places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = textscan.text_buffer(batch.column(3))
             for i, j in textscan.blocks(bounds, 1 << 18):
-                sets = []
-                for tokens in _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]):
-                    n = len(tokens)
-                    sets.append((n, tokens[np.lexsort((tokens, count[_slots(tokens)]))][:(100 - percent) * n // 100 + 1]))
-                size = np.array([len(t) for _, t in sets])
-                at = pa.array(np.repeat(np.arange(i, j), size))
+                sets = _sets(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+                tokens, places = [], []
+                for full in sets:
+                    held = count[_slots(full)]
+                    first = np.lexsort((full, held))[:(100 - percent) * len(full) // 100 + 1]
+                    at = np.flatnonzero(held[first] > 1)
+                    tokens.append(full[first[at]])
+                    places.append(at + 1)
+                size = np.array([len(t) for t in tokens])
+                of = np.repeat(np.arange(j - i), size)
+                odd = pa.array([parity(full) for full in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(at) for c in range(3)), pa.array(np.repeat([n for n, _ in sets], size), pa.int64()),
-                     pa.array(np.concatenate([t for _, t in sets]).view(np.int64)),
-                     pa.array(np.concatenate([np.arange(1, k + 1) for k in size]), pa.int64())],
-                    names=["id", "th", "component", "n", "token", "place"])
+                    [*(batch.column(c).take(pa.array(of + i)) for c in range(3)),
+                     pa.array(np.array([len(full) for full in sets])[of], pa.int64()), odd.take(pa.array(of)),
+                     pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places), pa.int64())],
+                    names=["id", "th", "component", "n", "odd", "token", "place"])
     return run
 
 
@@ -244,7 +262,8 @@ def _prefix_join(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
     shingles in one order, the first one that they share has so many after it on either side
     that they still can.  The order is rarest first, by how many texts hold a shingle of the same hash slot (a table of
     2**SLOT_BITS counts; any order is exact).  A group's members mostly differ by shingles of their own, which come first
-    and pair with nothing, so a crowded bucket doesn't give the square of its size.
+    and pair with nothing, so a crowded bucket doesn't give the square of its size.  Links differ in
+    x + y - 2 * ``least`` shingles at most; pairs whose parity bitmaps differ in more bits are no links and are not emitted.
     """
     kind = dict(members.dtypes)["id"]
     some = _texts_of(members.select("id"), members.count(), texts)
@@ -254,11 +273,14 @@ def _prefix_join(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
     count = np.zeros(1 << SLOT_BITS, np.int64)
     count[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     first = cut_lineage(crowd.mapInArrow(
-        _prefixes(percent, count), f"id {kind}, th long, component {kind}, n long, token long, place long"), "prefixes")
-    x, y = (first.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place")))
+        _prefixes(percent, count), f"id {kind}, th long, component {kind}, n long, odd array<long>, token long, place long"),
+        "prefixes")
+    x, y = (first.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "odd", "place")))
             for s in ("a", "b"))
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-    may = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
+    both = F.col("n_a") + F.col("n_b")
+    differ = unequal_bits(F.col("odd_a"), F.col("odd_b"), PARITY_BITS // 64, 1)
+    may = ((100 + percent) * left >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
     return (x.join(y, (x["token"] == y["token"]) & (F.col("id_a") < F.col("id_b"))
                    & (F.col("component_a") != F.col("component_b")) & may)
             .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))

@@ -160,3 +160,28 @@ def test_components_of_a_path_and_a_star(spark):
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_parity_never_exceeds_the_difference(s, t):
+    x, y = (minhash.parity(np.array(sorted(v), np.uint64)) for v in (s, t))
+    assert sum(bin(int(v)).count("1") for v in (x ^ y).view(np.uint64)) <= len(s ^ t)
+
+
+def test_prefix_join_keeps_every_link_of_a_group_about_the_threshold(spark):
+    """One base text with up to four edits a copy: pairs lie on both sides of 0.8; all links come out, few others."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        v = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 4)):
+            v[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(v)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = {(a, b) for a in sets for b in range(a + 1, 120)
+             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {tuple(r) for r in minhash.rare_pairs(docs.selectExpr("id", "id AS component"), docs, 80).collect()}
+    assert links and links <= got and len(got) < 1.2 * len(links) < 120 * 119 / 2
