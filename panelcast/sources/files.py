@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -67,10 +67,14 @@ def read_scenario_matrix(spark: SparkSession, glob: str, schema: StructType | st
     applied to the file path becomes a column (the reference's double loop).
     A file whose path doesn't match raises."""
     df = read_csv(spark, glob, schema)
-    part = [F.regexp_extract("_path", pattern, i + 1) for i in range(len(names))]
-    named = [F.when(p != "", p).otherwise(F.raise_error(F.concat(F.lit("no scenario in the name of "), F.col("_path"))))
-             for p in part]
-    return df.select("*", *[p.alias(n) for p, n in zip(named, names)]).drop("_path")
+    return df.select("*", *names_in_path(F.col("_path"), pattern, names)).drop("_path")
+
+
+def names_in_path(path: Column, pattern: str, names: Sequence[str]) -> list[Column]:
+    """Each regex group of ``pattern`` in a file's path as a column; a path that doesn't match raises."""
+    part = [F.regexp_extract(path, pattern, i + 1) for i in range(len(names))]
+    return [F.when(p != "", p).otherwise(F.raise_error(F.concat(F.lit("no scenario in the name of "), path))).alias(n)
+            for p, n in zip(part, names, strict=True)]
 
 
 def write_table(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -25,12 +25,12 @@ from ..spec import PanelSpec
 
 def scenario_stream(spark: SparkSession, in_glob: str, schema: StructType | str,
                     pattern: str = r"all_([^/]+)_([^_/]+)\.csv", files_per_batch: int = 16) -> DataFrame:
-    """Streaming read of scenario CSV files; scenario/model come from each file's path."""
+    """Streaming read of scenario CSV files; scenario/model come from each file's path.
+
+    As in the batch reader, a path that doesn't match, another header or a malformed line stops the query."""
     s = (spark.readStream.schema(schema).option("header", True).option("nullValue", "NA")
-         .option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch).csv(in_glob))
-    path = F.col("_metadata.file_path")
-    return s.select("*", F.regexp_extract(path, pattern, 1).alias("scenario"),
-                    F.regexp_extract(path, pattern, 2).alias("model"))
+         .option("enforceSchema", False).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch).csv(in_glob))
+    return s.select("*", *files.names_in_path(F.col("_metadata.file_path"), pattern, ("scenario", "model")))
 
 
 def write_batch(forecast: DataFrame, out_dir: str, epoch: int) -> None:
@@ -44,18 +44,40 @@ def read_forecasts(spark: SparkSession, out_dir: str, schema: StructType | str)
     return files.read_scenarios(spark, out_dir, schema).drop("epoch")
 
 
+ROLLUP_SCHEMA = "date DATE, n LONG, n_pred LONG, pred_sum DOUBLE, scenario STRING, model STRING"
+
+
+def write_rollup(forecast: DataFrame, out_dir: str, epoch: int) -> None:
+    """One batch's partial rollup (rows, rows with a prediction, their sum) in its own folder; a replay replaces it."""
+    part = forecast.groupBy("scenario", "model", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count("pred").alias("n_pred"), F.sum("pred").alias("pred_sum"))
+    part.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+
+
+def read_rollup(spark: SparkSession, out_dir: str) -> DataFrame:
+    """A4 over all batches: one row a (scenario, model, date), also where its files came in several
+    batches; the sum is NULL where a prediction is."""
+    parts = spark.read.schema(f"{ROLLUP_SCHEMA}, epoch LONG").parquet(out_dir)
+    return parts.groupBy("scenario", "model", "date").agg(
+        F.sum("n").alias("n"), F.when(F.sum("n") == F.sum("n_pred"), F.sum("pred_sum")).alias("pred_sum"))
+
+
 def start_forecast_stream(spark: SparkSession, in_glob: str, schema: StructType | str,
                           units: DataFrame, spec: PanelSpec,
                           score: Callable[[DataFrame], DataFrame],
                           out_dir: str, checkpoint: str, once: bool = True,
-                          files_per_batch: int = 16) -> StreamingQuery:
+                          files_per_batch: int = 16, rollup_dir: str | None = None) -> StreamingQuery:
     """Score every new scenario file with ``score`` and write the forecast, partitioned by
-    (scenario, model).  ``once``: process what is there and stop.  Hand in ``units`` (and what
+    (scenario, model); with ``rollup_dir`` also its partial rollups, which :func:`read_rollup` adds up.
+    ``once``: process what is there and stop.  Hand in ``units`` (and what
     ``score`` reads) as written tables, or each batch computes them anew."""
     src = scenario_stream(spark, in_glob, schema, files_per_batch=files_per_batch)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        write_batch(scenario.scenario_forecast(df, units, spec, score), out_dir, epoch)
+        forecast = scenario.scenario_forecast(df, units, spec, score)
+        write_batch(forecast, out_dir, epoch)
+        if rollup_dir is not None:
+            write_rollup(forecast, rollup_dir, epoch)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
