@@ -10,12 +10,15 @@ Two kinds of candidates:
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions.columns import month_start, quarter_of
+from ..session import cut_lineage
+from .importance import permute_within
 
 
 # --- closed-form scorers ------------------------------------------------------
@@ -59,17 +62,16 @@ def cv_baselines(train: DataFrame, y: str, fold: str,
     A candidate is (name, x): x None is the mean of the other folds, otherwise a
     one-variable least squares fitted on the other folds, over the rows where x and y are not
     NULL; only these are scored and counted.  One aggregate gives per-fold sums of differences from the means
-    for every candidate's x, so large offsets don't cancel; fold k's coefficients are the totals
-    minus fold k (means and totals enter as scalar subqueries); each training row is then
+    (one row, taken first) for every candidate's x, so large offsets don't cancel; fold k's coefficients are the totals
+    minus fold k, over a table of one row a fold; each training row is then
     scored once per candidate by a narrow explode and the errors are averaged
     per (model, fold).  Returns (model, fold, n, mse, mae).
     """
     yc = F.col(y).cast("double")
     xs = [(name, F.col(x).cast("double") if x else F.lit(0.0)) for name, x in candidates]
     both = [yc.isNotNull() & xc.isNotNull() for _, xc in xs]
-    means = train.agg(*[e for i, (_, xc) in enumerate(xs) for e in (
-        F.avg(F.when(both[i], xc)).alias(f"mx{i}"), F.avg(F.when(both[i], yc)).alias(f"my{i}"))])
-    mx, my = ([means.select(f"{c}{i}").scalar() for i in range(len(xs))] for c in ("mx", "my"))
+    means = train.agg(*[F.avg(F.when(b, v)) for b, (_, xc) in zip(both, xs) for v in (xc, yc)]).first()
+    mx, my = ([F.lit(m).cast("double") for m in means[k::2]] for k in (0, 1))
     sums = []
     for i, (_, xc) in enumerate(xs):
         dx, dy = F.when(both[i], xc - mx[i]), F.when(both[i], yc - my[i])
@@ -77,14 +79,15 @@ def cv_baselines(train: DataFrame, y: str, fold: str,
                  F.sum(dx * dx).alias(f"sxx{i}"), F.sum(dx * dy).alias(f"sxy{i}")]
     sums = train.groupBy(fold).agg(*sums)
     names = [c for c in sums.columns if c != fold]
-    totals = sums.agg(*[F.sum(c).alias(c) for c in names])
-    other = {c: totals.select(c).scalar() - F.coalesce(F.col(c), F.lit(0)) for c in names}
+    everything = Window.partitionBy()   # one row a fold
+    others = sums.select(fold, *[(F.sum(c).over(everything) - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names])
+    other = {c: F.col(c) for c in names}
     coef_cols = []
     for i, (_, x) in enumerate(candidates):
         n, sy, sx, sxx, sxy = (other[f"{c}{i}"] for c in ("n", "sy", "sx", "sxx", "sxy"))
         b = F.try_divide(sxy - sx * F.try_divide(sy, n), sxx - sx * F.try_divide(sx, n)) if x else F.lit(0.0)
         coef_cols += [F.try_divide(sy - b * sx, n).alias(f"a{i}"), b.alias(f"b{i}")]
-    coefs = sums.select(fold, *coef_cols)
+    coefs = others.select(fold, *coef_cols)
     scored = train.join(coefs, fold)   # one row per fold: the planner broadcasts it by its size
     per = F.array(*[F.struct(F.lit(name).alias("model"),
                              (yc - my[i] - (F.col(f"a{i}") + F.col(f"b{i}") * (xc - mx[i]))).alias("r"))
@@ -206,3 +209,56 @@ def model_importance(model, features: Sequence[str], train: DataFrame | None = N
         row = train.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in features]).first()
         sds = [float(row[c] or 0.0) for c in features]
     return [(f, abs(float(c)) * s) for f, c, s in zip(features, coefs, sds)]
+
+
+def permutation_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame], y: str, features: Sequence[str],
+                           key: str, within: Sequence[str], seed: int) -> DataFrame:
+    """M6 for any leader: (feature, n, importance), the rise of the mean squared error when a feature is permuted.
+
+    ``score(df) -> df`` adds ``pred`` and keeps the other columns.  ``key`` tells rows apart.  Each row has one
+    donor in its group (``within``, the folds), drawn by seeded hashes; for each feature in turn the row takes the donor's value.  All
+    features stand in one table of (features + 1) x rows, so the scorer runs once.  Rows without target or prediction, with
+    the value or the donor's, don't count in that feature's errors.  A feature the scorer doesn't use has importance 0.
+    """
+    cols = [F.col(c) for c in features]
+    donors = permute_within(df.withColumn("_x", F.struct(*cols)), within, "_x", key, seed, out="_donor")
+    donors = cut_lineage(donors.drop("_x"), "donors")   # read once more for each feature
+    versions = F.array(
+        F.struct(F.lit(None).cast("string").alias("feature"), *cols),
+        *[F.struct(F.lit(f).alias("feature"), *[(F.col("_donor")[c] if c == f else F.col(c)).alias(c) for c in features])
+          for f in features])
+    rest = [c for c in df.columns if c not in features]
+    table = donors.select(*rest, F.explode(versions).alias("_v")).select(*rest, "_v.feature", *[f"_v.{c}" for c in features])
+    scored = score(table.withColumnRenamed("feature", "_feature"))
+    r = F.col(y).cast("double") - F.col("pred")
+    errors = scored.groupBy("_feature").agg(F.count(r).alias("n"), F.avg(r * r).alias("mse"))   # features + 1 rows
+    base = errors.where("_feature IS NULL").select("mse").scalar()
+    return errors.where("_feature IS NOT NULL").select(F.col("_feature").alias("feature"), "n",
+                                                       (F.col("mse") - base).alias("importance"))
+
+
+# --- the leader on disk -----------------------------------------------------------
+
+def save_leader(model, path: str, features: Sequence[str], target: str, fold_rule: str) -> None:
+    """K4: the fitted MLlib leader with a manifest (one row) of what it was fitted on; ``path`` is a new folder."""
+    from pyspark.sql import SparkSession
+    kind = type(model)
+    model.write().save(f"{path}/model")
+    row = [(f"{kind.__module__}.{kind.__name__}", list(features), target, fold_rule, __version__)]
+    (SparkSession.getActiveSession().createDataFrame(
+        row, "kind string, features array<string>, target string, fold_rule string, version string")
+     .write.parquet(f"{path}/manifest"))
+
+
+def load_leader(spark, path: str, features: Sequence[str], target: str, fold_rule: str):
+    """The leader back; raises if the manifest names other features, another order, target, fold rule or version."""
+    import importlib
+    m = spark.read.parquet(f"{path}/manifest").first()
+    asked = {"features": list(features), "target": target, "fold_rule": fold_rule, "version": __version__}
+    for name, value in asked.items():
+        if m[name] != value:
+            raise ValueError(f"the model in {path} has {name} {m[name]!r}, not {value!r}")
+    module, _, kind = m["kind"].rpartition(".")
+    if not module.startswith("pyspark.ml."):
+        raise ValueError(f"the model in {path} is a {m['kind']}")
+    return getattr(importlib.import_module(module), kind).load(f"{path}/model")
