@@ -74,6 +74,9 @@ def restrict_to_units(scen: DataFrame, units: DataFrame, key: str = "unit",
 
     The unit list is tiny next to the scenario rows; the planner broadcasts it
     when its size estimate allows and falls back to a shuffle join otherwise.
+    Hand it in as a written table: an explode (the scenario grid) isn't in the
+    estimate of the rows, a join is in that of the list, so a list still to be
+    computed looks larger than the rows and they are broadcast.
     """
     if check:
         units = unique_rows(units, key)

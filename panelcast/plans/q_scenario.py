@@ -27,11 +27,13 @@ def lookup_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_units(spark: SparkSession, d: str, spec=S) -> DataFrame:
-    """J1 + A5: distinct cohort units joined with the distinct (position 1, position 36) pairs."""
+    """J1 + A5: distinct cohort units joined with the distinct (position 1, position 36) pairs.
+
+    Written: without its real size the planner takes this list for the larger side and broadcasts the scenario rows."""
     lk = lookup_table(spark, d)
     pairs = lk.select(lk.columns[0], lk.columns[35]).distinct()
     units = cohort.search_cohort(panel(spark, d), spec).select(spec.unit).distinct()
-    return units.join(pairs, spec.unit)
+    return cut_lineage(units.join(pairs, spec.unit), "units")
 
 
 def ols_score_fn(spark: SparkSession, d: str, spec=S, written: bool = False):
