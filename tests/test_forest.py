@@ -386,3 +386,12 @@ def test_checkpoint_folder_is_needed_off_a_local_master():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_thresholds_and_variables_are_broadcast_not_the_rows(spark):
+    """The trees' explode isn't in the size estimate; the side with one row a tree is the one to broadcast."""
+    from panelcast.plans import q_forest
+    inp = q_forest.forest_rows(spark, "/root/testdata/sf0.01")
+    plan = forest.draw(inp, range(10), P)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "bucket#" in line]
+    assert joins and all("BuildRight" in line for line in joins), joins
