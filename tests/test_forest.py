@@ -395,3 +395,15 @@ def test_thresholds_and_variables_are_broadcast_not_the_rows(spark):
     plan = forest.draw(inp, range(10), P)._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "bucket#" in line]
     assert joins and all("BuildRight" in line for line in joins), joins
+
+
+def test_small_cohorts_rows_are_not_copied_for_each_tree(spark, monkeypatch):
+    """A cohort that one task holds goes to chunks of trees, drawn there; the result doesn't depend on the chunk."""
+    inp, rows = fixture(spark)
+    want = forest.grow(inp, by_levels(P), FEATS)
+    monkeypatch.setattr(forest, "root_rows", None)
+    for chunk in (1, 2, 5):
+        monkeypatch.setattr(forest, "CHUNK", chunk)
+        f = forest.grow(inp, P, FEATS)
+        assert table(f.splits, "tree", "node", "k", "cut") == table(want.splits, "tree", "node", "k", "cut")
+        assert table(f.members, "tree", "id", "node", "bag") == table(want.members, "tree", "id", "node", "bag")
