@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import forest, importance, pdp
+from panelcast.operators import forest, importance, pdp, subtree
 from panelcast.spec import ForestParams
 
 P = ForestParams(ntree=3, mtry=2, minsplit=20, minbucket=7, seed=7, blocks=8)
@@ -407,3 +407,27 @@ def test_small_cohorts_rows_are_not_copied_for_each_tree(spark, monkeypatch):
         f = forest.grow(inp, P, FEATS)
         assert table(f.splits, "tree", "node", "k", "cut") == table(want.splits, "tree", "node", "k", "cut")
         assert table(f.members, "tree", "id", "node", "bag") == table(want.members, "tree", "id", "node", "bag")
+
+
+def test_importance_hashes_only_rows_that_a_permutation_can_change(monkeypatch):
+    """Rows of a cell with one value stay as they are; the importance is that of permuting every row."""
+    rng = np.random.default_rng(5)
+    n, p = 600, ForestParams()
+    x = np.round(rng.random((n, 3)), 2)
+    x[rng.random((n, 3)) < 0.05] = np.nan
+    y, ids, bag = np.nan_to_num(x[:, 0]) + rng.random(n) / 9, np.arange(n), np.arange(n) % 3 > 0
+    splits, leaves, at = subtree.grow(1, 1, x, y, bag, p)
+    node, k, cut, count, sy = (np.array(c) for c in zip(*[(*s, 0, 0.0) for s in splits], *[(v[0], -1, 0.0, *v[1:]) for v in leaves]))
+    tree, conditioned = subtree.Tree(node, k, cut, count, sy), {0: [1, 2], 1: [0], 2: [0, 1]}
+    x, y, leaf, ids = x[~bag], y[~bag], at[~bag], ids[~bag]
+    mean, want, possible = tree.sy / np.maximum(tree.n, 1), np.zeros(3), 0
+    for k, (cell, intervals) in subtree.cell_codes(tree, x, conditioned).items():
+        z = x.copy()
+        z[:, k] = subtree.permuted(x[:, k], cell, [",".join(map(str, c)).encode() for c in intervals.tolist()], ids, p.seed, 1, k)
+        want[k] = ((y - mean[tree.leaf(z)]) ** 2 - (y - mean[tree.leaf(x)]) ** 2).mean()
+        possible += 2 * sum((np.unique(x[cell == c, k]).size > 1) * (cell == c).sum() for c in np.unique(cell))
+    seen = []
+    monkeypatch.setattr(subtree, "md5", lambda text: seen.append(text) or hashlib.md5(text))
+    got = subtree.importance(1, tree, x, y, leaf, ids, conditioned, p.seed)
+    assert np.abs(want).max() > 0 and np.allclose(got, want, rtol=0, atol=1e-12)
+    assert 0 < len(seen) <= possible < 6 * len(x)
