@@ -7,6 +7,7 @@ from collections import defaultdict
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,3 +432,31 @@ def test_importance_hashes_only_rows_that_a_permutation_can_change(monkeypatch):
     got = subtree.importance(1, tree, x, y, leaf, ids, conditioned, p.seed)
     assert np.abs(want).max() > 0 and np.allclose(got, want, rtol=0, atol=1e-12)
     assert 0 < len(seen) <= possible < 6 * len(x)
+
+
+def test_blocks_are_routed_in_steps_to_the_leaves_of_every_grid_value(monkeypatch):
+    """A block's nodes come once, its rows go down in bounded steps; sums are those of setting each grid value in turn."""
+    rng = np.random.default_rng(6)
+    n, p = 300, ForestParams(ntree=2)
+    x = np.round(rng.random((n, 3)), 2)
+    x[rng.random((n, 3)) < 0.05] = np.nan
+    y, nodes = np.nan_to_num(x[:, 0] * x[:, 1]) + rng.random(n) / 9, []
+    for t in range(2):
+        splits, leaves, _ = subtree.grow(t, 1, x, y, np.arange(n) % 3 > t, p)
+        nodes += [(t, *s, 0, 0.0) for s in splits] + [(t, v[0], -1, 0.0, *v[1:]) for v in leaves]
+    grid = [np.linspace(0, 1, 5), np.linspace(0.1, 0.9, 3), np.array([0.5])]
+    rows = pa.table({"id": np.arange(n), "xs": pa.array([[None if math.isnan(v) else v for v in r] for r in x], pa.list_(pa.float64()))})
+    table = pa.table(dict(zip(("tree", "node", "k", "cut", "n", "sy"), map(list, zip(*nodes)))))
+    steps, route = [], subtree.Tree.grid_leaves
+    monkeypatch.setattr(pdp, "STEP", 64)
+    monkeypatch.setattr(subtree.Tree, "grid_leaves", lambda t, rows, k, g: steps.append(len(rows)) or route(t, rows, k, g))
+    got = {(r["id"], r["fj"]): r for r in pdp._block_sums({0: grid}, [0, 1, 2], 3, 2)(rows, table).to_pylist()}
+    assert max(steps) == 64 and sum(steps) == 2 * 3 * n and len(got) == 3 * n
+    trees = [subtree.Tree(*(np.array(c) for c in list(zip(*[v for v in nodes if v[0] == t]))[1:])) for t in range(2)]
+    for j, values in enumerate(grid):
+        for g, v in enumerate(values):
+            z = x.copy()
+            z[:, j] = v
+            at = [(t, t.leaf(z)) for t in trees]
+            assert np.allclose([got[i, j]["s"][g] for i in range(n)], sum(t.sy[a] for t, a in at))
+            assert np.allclose([got[i, j]["n"][g] for i in range(n)], sum(t.n[a] for t, a in at))
