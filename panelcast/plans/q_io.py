@@ -7,6 +7,7 @@ source under test.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -31,6 +32,16 @@ SCEN_SCHEMA = ("unit BIGINT, date STRING, month INT, wyear INT, year INT, tax DO
 FORECAST_SCHEMA = "unit BIGINT, date DATE, month INT, wyear INT, year INT, pred DOUBLE, scenario STRING, model STRING"
 
 
+def write_scenario_files(scen: DataFrame, path: str) -> None:
+    """A folder of CSV files run_all_{scenario}_{model}.csv for each scenario and model.
+
+    A task sorts its rows by file before it writes them: rebalanced, it has some 64 MB of them, however large the part of the
+    panel was that it read, and a hot file is divided among tasks."""
+    named = scen.withColumn("file", F.concat(F.lit("run_all_"), "scenario", F.lit("_"),
+                                             "model", F.lit(".csv"))).drop("scenario", "model")
+    named.hint("rebalance", "file").write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+
+
 @query("scan_csv_roundtrip", f"WITH {PANEL_SQL} SELECT {_PCOLS} FROM panel", PANEL_DOUBLES)
 def q_scan_csv_roundtrip(spark, d):
     """The panel written as headered CSV and read back with a declared schema."""
@@ -55,9 +66,7 @@ def q_scan_scenario_matrix(spark, d):
     identity columns come from the file path."""
     path = scratch_path(spark, "scenario-files")
     scen = scenario.scenario_table(panel(spark, d))
-    named = scen.withColumn("file", F.concat(F.lit("run_all_"), "scenario", F.lit("_"),
-                                             "model", F.lit(".csv"))).drop("scenario", "model")
-    named.write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+    write_scenario_files(scen, path)
     back = files.read_scenario_matrix(spark, f"{path}/*/*.csv", SCEN_SCHEMA)
     return back.select("unit", "date", "wyear", "lines", "scenario", "model")
 
@@ -101,9 +110,7 @@ def q_scenario_stream_forecast(spark, d):
     from .q_scenario import ols_score_fn, selected_units
     base = scratch_path(spark, "scenario-stream")
     scen = scenario.scenario_table(panel(spark, d))
-    named = scen.withColumn("file", F.concat(F.lit("run_all_"), "scenario", F.lit("_"),
-                                             "model", F.lit(".csv"))).drop("scenario", "model")
-    named.write.mode("overwrite").partitionBy("file").option("header", True).csv(f"{base}/in")
+    write_scenario_files(scen, f"{base}/in")
     units = selected_units(spark, d)
     q = start_forecast_stream(spark, f"{base}/in/*/*.csv", SCEN_SCHEMA, units,
                               S, ols_score_fn(spark, d, written=True), f"{base}/out", f"{base}/chk")
