@@ -3,15 +3,18 @@
 Two kinds of candidates:
 * closed-form scorers fitted in one aggregate (group mean, one-variable least
   squares) -- exact, so their fold errors can be checked against SQL;
-* MLlib estimators (linear, random forest, gradient-boosted trees) searched
-  with ``CrossValidator`` over the user's fold column.
+* MLlib estimators (linear, random forest, gradient-boosted trees) cross-validated
+  over the user's fold column, several folds beside each other.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +47,12 @@ def time_features(t: DataFrame, year: str = "year", month: str = "month") -> Dat
              .withColumn("date_num", F.unix_date(F.col("date")).cast("double")))
 
 
-def fold_index(t: DataFrame, fold: str = "fold", out: str = "fold_idx") -> DataFrame:
-    """Dense 0-based fold index (MLlib wants ints in [0, numFolds)).
+def fold_index(t: DataFrame, folds: Sequence, fold: str = "fold", out: str = "fold_idx") -> DataFrame:
+    """Dense 0-based index of a row's fold in ``folds``; a row without a fold is dropped.
 
-    The distinct fold values are few (one per water year); they are ranked in
-    a small aggregate and joined back, never by a window over all rows."""
-    folds = t.select(fold).distinct()
-    ranked = folds.select(fold, (F.dense_rank().over(Window.orderBy(fold)) - 1)
-                          .cast("int").alias(out))
-    return t.join(ranked, fold)
+    The fold values are few (one per water year) and stand in the expression: no join, no shuffle of the rows."""
+    place = F.array_position(F.array(*[F.lit(v) for v in folds]), F.col(fold))
+    return t.where(F.col(fold).isNotNull()).withColumn(out, (place - 1).cast("int"))
 
 
 def cv_baselines(train: DataFrame, y: str, fold: str,
@@ -156,45 +156,66 @@ def candidate_grid(label: str, seed: int, reg_params: Sequence[float] = (0.0, 0.
     ]
 
 
+#: Training rows of one partition of the search, about, where there are more than the cores can share.
+ROWS = 250_000
+
+
+def search_table(train: DataFrame, label: str, features: Sequence[str], fold: str = "fold") -> tuple[DataFrame, int]:
+    """(features, label, _fold_idx) of the rows with a fold, and the number of folds.
+
+    A search is some thousand short stages over this table, and each of their tasks sends its result to the driver: so
+    it has three partitions a core, or one for ``ROWS`` rows, and not one for some MB of what it is made from."""
+    counts = train.where(F.col(fold).isNotNull()).groupBy(fold).count().collect()   # one row a fold
+    folds, n = sorted(r[0] for r in counts), sum(r["count"] for r in counts)
+    if len(folds) < 2:
+        raise ValueError(f"{len(folds)} folds in {fold}, at least two are needed")
+    parts = max(3 * train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS))
+    rows = fold_index(assemble(train, features), folds, fold, "_fold_idx")
+    return rows.select("features", label, "_fold_idx").coalesce(parts), len(folds)
+
+
 def model_search(train: DataFrame, label: str, features: Sequence[str], fold: str = "fold",
                  seed: int = 160617, parallelism: int = 4, **grid_options):
     """M2: cross-validated search with the user's fold column (leave one fold out).
 
-    Returns (leaderboard rows as a list of dicts, best fitted model).  The
-    assembled training frame is persisted (memory and disk) for the fold loop
-    and released afterwards.
+    Returns (leaderboard rows as a list of dicts, best fitted model, its name).  Of a family, ``parallelism`` fits (a
+    candidate on one fold's other rows) run beside each other: a fit is a row of short jobs, which alone leave most cores
+    idle.  They read the one persisted table (memory and disk), no copy a fold; only the leader is fitted on all rows.
     """
     from pyspark import StorageLevel
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
+    from pyspark.util import inheritable_thread_target
 
-    data = fold_index(assemble(train, features), fold, "_fold_idx").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    n_folds = data.select("_fold_idx").distinct().count()
+    table, n_folds = search_table(train, label, features, fold)
+    data = table.persist(StorageLevel.MEMORY_AND_DISK)
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    rows, best = [], None
+    rows, fits = [], {}
     try:
         for family, est, grid in candidate_grid(label, seed, **grid_options):
-            cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev,
-                                numFolds=n_folds, foldCol="_fold_idx", parallelism=parallelism,
-                                seed=seed)
+            def error(pm, i):
+                model = est.fit(data.where(F.col("_fold_idx") != i), pm)
+                return ev.evaluate(model.transform(data.where(F.col("_fold_idx") == i)))
+            # wrapped one by one: each fit has job properties of its own
+            jobs = [inheritable_thread_target(train.sparkSession)(partial(error, pm, i)) for pm in grid for i in range(n_folds)]
             began = time.perf_counter()
-            m = cv.fit(data)
+            with ThreadPool(parallelism) as pool:
+                errors = pool.map(lambda job: job(), jobs, chunksize=1)
             took = time.perf_counter() - began
-            for pm, metric in zip(grid, m.avgMetrics):
+            for pm, metric in zip(grid, np.reshape(errors, (len(grid), n_folds)).mean(axis=1)):
                 params = ",".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-                rows.append({"model_id": f"{family}[{params}]", "family": family,
-                             "rmse": float(metric), "mse": float(metric) ** 2, "n_folds": n_folds, "family_fit_sec": took})
-            # of a family the validator keeps the grid's best; ties go by name, as on the leaderboard
-            name = min((r["rmse"], r["model_id"]) for r in rows if r["family"] == family)
-            if best is None or name < best[0]:
-                best = (name, name[1], m.bestModel)
+                name = f"{family}[{params}]"
+                rows.append({"model_id": name, "family": family, "rmse": float(metric), "mse": float(metric) ** 2,
+                             "n_folds": n_folds, "family_fit_sec": took})
+                fits[name] = est, pm
+        rows.sort(key=lambda r: (r["rmse"], r["model_id"]))
+        for i, r in enumerate(rows):
+            r["rank"] = i + 1
+        best = rows[0]["model_id"]
+        est, pm = fits[best]
+        model = est.fit(data, pm)
     finally:
         data.unpersist()
-    rows.sort(key=lambda r: (r["rmse"], r["model_id"]))
-    for i, r in enumerate(rows):
-        r["rank"] = i + 1
-    return rows, best[2], best[1]
+    return rows, model, best
 
 
 def model_importance(model, features: Sequence[str], train: DataFrame | None = None) -> list[tuple[str, float]]:

@@ -122,6 +122,42 @@ def test_importance_of_a_function(spark):
     assert got == {"a": (n, pytest.approx(a)), "b": (n, pytest.approx(b)), "same": (n, 0.0)}
 
 
+def test_search_equals_fits_one_by_one(spark):
+    """Folds with gaps, and rows without a fold, which take no part; each candidate's error is the mean over the folds."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+    data = [(i, f * 3 + 1, *rest) for i, f, *rest in wide() if rest[1] is not None]
+    df = frame(spark, data + [(900, None, 9e9, 1.0, 1.0, 5.0, 2.0)]).repartition(30).cache()
+    feats = ["a", "b"]
+    options = {"reg_params": (0.0, 0.5), "rf_trees": 2, "rf_depths": (2,), "gbt_rounds": 2, "gbt_depths": (1,)}
+    rows, model, name = search.model_search(df, "y", feats, "fold", seed=3, parallelism=3, **options)
+    assert [r["rank"] for r in rows] == [1, 2, 3, 4] and {r["n_folds"] for r in rows} == {4}
+    assert [r["rmse"] for r in rows] == sorted(r["rmse"] for r in rows)
+    assert name == rows[0]["model_id"] == "linear[regParam=0.0]"
+    ev = RegressionEvaluator(labelCol="y")
+    x = search.assemble(df.where("fold IS NOT NULL"), feats).cache()
+    got = {r["model_id"]: r["rmse"] for r in rows}
+    for model_id, est in (("linear[regParam=0.0]", LinearRegression(labelCol="y", regParam=0.0)),
+                          ("linear[regParam=0.5]", LinearRegression(labelCol="y", regParam=0.5))):
+        errors = [ev.evaluate(est.fit(x.where(f"fold <> {f}")).transform(x.where(f"fold = {f}"))) for f in (1, 4, 7, 10)]
+        assert got[model_id] == pytest.approx(np.mean(errors))
+    whole = LinearRegression(labelCol="y").fit(x)
+    assert model.coefficients.toArray() == pytest.approx(whole.coefficients.toArray())
+    with pytest.raises(ValueError, match="folds"):
+        search.model_search(df.where("fold = 1"), "y", feats)
+
+
+def test_search_table_has_few_partitions(spark):
+    """A search runs thousands of stages over it: their tasks follow the cores and the rows, not the partitions read."""
+    cores = spark.sparkContext.defaultParallelism
+    df = frame(spark, wide()).repartition(40 * cores)
+    table, n_folds = search.search_table(df, "y", ["a", "b"])
+    assert n_folds == 4 and table.columns == ["features", "y", "_fold_idx"]
+    assert table.rdd.getNumPartitions() <= 3 * cores
+    assert table.count() == 200
+    assert sorted(r[0] for r in table.select("_fold_idx").distinct().collect()) == [0, 1, 2, 3]
+
+
 def test_leader_comes_back_from_its_folder(spark, tmp_dir):
     from pyspark.ml.regression import LinearRegression
     df = search.assemble(frame(spark, [r for r in wide() if r[3] is not None]), ["a", "b"])
