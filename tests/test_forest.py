@@ -337,6 +337,27 @@ def test_importance_and_dependence_by_task_equal_the_joins(fitted):
             pdp.partial_dependence(f, inp, only), "feature", "v", "pd")
 
 
+def test_dependence_of_small_trees_on_many_rows_needs_no_row_of_a_grid_point(spark, monkeypatch):
+    """More rows than one task grows from, trees of few leaves: blocks of rows, summed over the rows in the task where all
+    trees are in it; as by levels, and as with the trees in two parts."""
+    inp, _ = fixture(spark, 400)
+    f = forest.grow(inp, by_levels(replace(P, max_depth=2)), FEATS)
+    f = replace(f, largest=400)
+    assert f.largest > f.params.subtree_rows
+    cols = ("feature", "v", "pd")
+    monkeypatch.setattr(pdp, "LEAVES", 0)
+    by_joins = table(pdp.partial_dependence(f, inp), *cols)
+    monkeypatch.undo()
+    monkeypatch.setattr(pdp, "BLOCK", 128)
+    for name in ("_route_grid", "_block_sums"):
+        monkeypatch.setattr(pdp, name, None)
+    assert table(pdp.partial_dependence(f, inp), *cols) == by_joins and len(by_joins) > 25
+    monkeypatch.undo()
+    monkeypatch.setattr(pdp, "TREES", 2)
+    monkeypatch.setattr(pdp, "_block_predictions", None)
+    assert P.ntree > 2 and table(pdp.partial_dependence(f, inp), *cols) == by_joins
+
+
 def test_cohorts_grow_together_as_alone(spark):
     a, _ = fixture(spark, 160)
     b = fixture(spark, 230)[0].withColumn("y", F.col("xs")[2] + F.col("y") / 7)
