@@ -74,15 +74,19 @@ def restrict_to_units(scen: DataFrame, units: DataFrame, key: str = "unit",
 
     The unit list is tiny next to the scenario rows; the planner broadcasts it
     when its size estimate allows and falls back to a shuffle join otherwise.
-    Hand it in as a written table: an explode (the scenario grid) isn't in the
-    estimate of the rows, a join is in that of the list, so a list still to be
-    computed looks larger than the rows and they are broadcast.
+    An explode (the scenario grid) isn't in the estimate of the rows, a join is
+    in that of the list: in an inner join, a list still to be computed looks
+    larger than the rows and they are broadcast.  So the rows are restricted by
+    a semi join and get the list's columns by a left join, neither of which can
+    broadcast its left side.  Hand the list in as a written table, or it is
+    computed for each of the two.
     """
     if check:
         units = unique_rows(units, key)
     rest = [c for c in scen.columns if c != key]
     extra = [c for c in units.columns if c != key]
-    return scen.join(units, key, "inner").select(key, *rest, *extra)
+    kept = scen.join(units.select(key), key, "left_semi")
+    return kept.join(units, key, "left").select(key, *rest, *extra)
 
 
 def leading(df: DataFrame, n: int, first: Sequence[str] = ()) -> DataFrame:

@@ -1,10 +1,12 @@
 """Scenario restriction, leading columns, rollups."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import scenario
-from panelcast.sources.panel import panel
+from panelcast.sources.panel import panel, panel_table
 from panelcast.spec import ANALOGUE
 
 
@@ -59,3 +61,28 @@ def test_the_unit_list_has_its_real_size(spark):
     from panelcast.plans import q_scenario
     q = q_scenario.selected_units(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert "Join" not in q.toString() and int(str(q.stats().sizeInBytes())) < 1_000_000
+
+
+def test_scenario_rows_are_never_broadcast(spark):
+    """Once a list's joins have run, its estimate is the product of their sides: beside it the exploded rows were the side to broadcast."""
+    p = panel_table(spark, "/root/testdata/sf0.01")
+    area = p.select("unit", F.col("bal").alias("area")).distinct()
+    units = p.select("unit").distinct().join(area, "unit")
+    r = scenario.restrict_to_units(scenario.scenario_table(p), units)
+    assert len(r.collect()) == 16 * p.count()
+    lines = r._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+            assert not any("Generate explode" in lines[j] for j in below), x
+
+
+def test_restricted_rows_are_those_of_the_inner_join(spark):
+    """Rows with a NULL unit go, a unit listed twice gives two rows when the list isn't checked, a NULL area stays."""
+    s = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (None, 14)], "unit long, wyear int")
+    units = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None), (4, 5.0), (None, 6.0)], "unit long, area double")
+    got = scenario.restrict_to_units(s, units, check=False)
+    want = s.join(units, "unit").select("unit", "wyear", "area")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
