@@ -419,6 +419,15 @@ def test_thresholds_and_variables_are_broadcast_not_the_rows(spark):
     assert joins and all("BuildRight" in line for line in joins), joins
 
 
+def test_leaves_of_the_members_are_not_broadcast(spark):
+    """A forest's leaves grow with the input; compressed as a file they look small."""
+    inp, _ = fixture(spark)
+    g = forest.grow(inp, P, FEATS)
+    for df in (forest.oob_error(g), forest.predict_members(g)):
+        assert df.count() > 0
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_small_cohorts_rows_are_not_copied_for_each_tree(spark, monkeypatch):
     """A cohort that one task holds goes to chunks of trees, drawn there; the result doesn't depend on the chunk."""
     inp, rows = fixture(spark)
