@@ -490,3 +490,49 @@ def test_blocks_are_routed_in_steps_to_the_leaves_of_every_grid_value(monkeypatc
             at = [(t, t.leaf(z)) for t in trees]
             assert np.allclose([got[i, j]["s"][g] for i in range(n)], sum(t.sy[a] for t, a in at))
             assert np.allclose([got[i, j]["n"][g] for i in range(n)], sum(t.n[a] for t, a in at))
+
+
+def test_many_hashes_equal_one_by_one():
+    """Steps of md5 on many texts at once: texts of every length up to a block, and beyond, where each is hashed alone."""
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([rng.integers(0, 10 ** k, 70) for k in range(1, 19)] + [[-5]])
+    for head in (b"7|s|3|", b"160617|s|7999|", b"x" * 40):
+        got = subtree.hashes(head, *subtree.digits(ids))
+        assert len(ids) > subtree.FEW and got.tolist() == [subtree.hash32(head + b"%d" % i) for i in ids.tolist()]
+    nodes = np.array([1, 2, 3, 2 ** 40 + 1, 2 ** 61 + 5])
+    for node, row in zip(nodes.tolist(), subtree.candidates(3, nodes, 9, ForestParams())):
+        want = sorted(range(9), key=lambda k: (h32(160617, "c", 3, node, k), k))[:4]
+        assert np.flatnonzero(row).tolist() == sorted(want)
+
+
+def test_a_level_of_nodes_is_grown_at_once(monkeypatch):
+    """As many searches as there are levels, not nodes; batches of a level's rows give the same tree."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((3000, 4)), 2)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    y, bag, p = np.nan_to_num(x[:, 0] * x[:, 1]) + rng.random(3000) / 9, np.arange(3000) % 3 > 0, ForestParams(mtry=2)
+    seen, search = [], subtree.candidates
+    monkeypatch.setattr(subtree, "candidates", lambda *a: seen.append(a) or search(*a))
+    want = subtree.grow(1, 1, x, y, bag, p)
+    depth = max(s[0] for s in want[0]).bit_length()
+    assert len(seen) <= depth + 1 < len(want[0])
+    batches = subtree._batches
+    monkeypatch.setattr(subtree, "_batches", lambda start: batches(start, 64))
+    got = subtree.grow(1, 1, x, y, bag, p)
+    assert got[0] == want[0] and got[1] == want[1] and (got[2] == want[2]).all()
+
+
+def test_growth_of_whole_trees_keeps_no_row_of_a_member(spark):
+    """Members are trees times rows: they are drawn and routed when read, for the first trees alone if only these are asked."""
+    import os
+    from panelcast.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    inp, rows = fixture(spark)
+    before = set(os.listdir(base))
+    f = forest.grow(inp, P, FEATS)
+    made = [x for x in set(os.listdir(base)) - before if not x.endswith(".crc")]
+    assert sum(spark.read.parquet(f"{base}/{x}").count() for x in made) == f.splits.count() + f.leaves.count()
+    assert f.members.count() == P.ntree * len(rows) and f.first_trees(2).members.count() == 2 * len(rows)
+    alone = replace(f, members=None)
+    assert table(forest.oob_error(alone), "tree", "n_oob", "oob_mse") == table(
+        forest.oob_error(forest.grow(inp, by_levels(P), FEATS)), "tree", "n_oob", "oob_mse")
