@@ -536,3 +536,19 @@ def test_growth_of_whole_trees_keeps_no_row_of_a_member(spark):
     alone = replace(f, members=None)
     assert table(forest.oob_error(alone), "tree", "n_oob", "oob_mse") == table(
         forest.oob_error(forest.grow(inp, by_levels(P), FEATS)), "tree", "n_oob", "oob_mse")
+
+
+def test_roots_of_all_trees_of_the_forests(spark):
+    """The first splits are those of the forests of 1000 trees that are grown, for every cohort, in a task or by levels."""
+    from panelcast.plans import q_forest, registry
+    registry.load_all()
+    f = q_forest.FOREST
+    assert f.ntree == 1000 and f"range({7 * f.ntree}, {8 * f.ntree})" in registry.ORACLE["forest_root_cohorts"]
+    got = registry.QUERIES["forest_root_cohorts"](spark, "/root/testdata/sf0.01").groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("n"), F.min("tree").alias("lo"), F.max("tree").alias("hi")).collect()
+    assert {r.cohort: (r.n, r.lo, r.hi) for r in got} == {
+        c[0]: (f.ntree, i * f.ntree, (i + 1) * f.ntree - 1) for i, c in enumerate(q_forest.COHORTS)}
+    a, b = fixture(spark, 160)[0], fixture(spark, 230)[0]
+    both = a.withColumn("cohort", F.lit(0)).unionByName(b.withColumn("cohort", F.lit(1)))
+    cuts = [table(forest.root_cuts(both, p, 3), "tree", "k", "cut", "cut_stat") for p in (P, replace(by_levels(P), tree_batch=2))]
+    assert cuts[0] == cuts[1] and len(cuts[0]) == 2 * P.ntree
