@@ -496,7 +496,7 @@ def test_many_hashes_equal_one_by_one():
     """Steps of md5 on many texts at once: texts of every length up to a block, and beyond, where each is hashed alone."""
     rng = np.random.default_rng(8)
     ids = np.concatenate([rng.integers(0, 10 ** k, 70) for k in range(1, 19)] + [[-5]])
-    for head in (b"7|s|3|", b"160617|s|7999|", b"x" * 40):
+    for head in (b"7|s|3|", b"160617|s|7999|", b"x" * 40, b"y" * 50, b"z" * 120):
         got = subtree.hashes(head, *subtree.digits(ids))
         assert len(ids) > subtree.FEW and got.tolist() == [subtree.hash32(head + b"%d" % i) for i in ids.tolist()]
     nodes = np.array([1, 2, 3, 2 ** 40 + 1, 2 ** 61 + 5])
@@ -552,3 +552,23 @@ def test_roots_of_all_trees_of_the_forests(spark):
     both = a.withColumn("cohort", F.lit(0)).unionByName(b.withColumn("cohort", F.lit(1)))
     cuts = [table(forest.root_cuts(both, p, 3), "tree", "k", "cut", "cut_stat") for p in (P, replace(by_levels(P), tree_batch=2))]
     assert cuts[0] == cuts[1] and len(cuts[0]) == 2 * P.ntree
+
+
+def test_cells_and_importance_by_tree_join_nothing(spark, monkeypatch):
+    """A tree's cells are made in the task that draws it, as the join of its rows with their ranks gives them; so is its
+    importance.  No member is read for either."""
+    inp, _ = fixture(spark)
+    inp = inp.withColumn("xs", F.when(F.col("id") % 9 == 0, F.array(F.lit(None).cast("double"), F.col("xs")[1], F.col("xs")[2]))
+                         .otherwise(F.col("xs")))
+    f, g = forest.grow(inp, P, FEATS), forest.grow(inp, by_levels(P), FEATS)
+    pairs = importance.association_pairs(inp, FEATS, 0.0)
+    want = table(importance.out_of_bag_cells(g, inp, pairs), "tree", "k", "id", "cell")
+    values = table(importance.conditional_importance(g, inp, 0.0), "tree", "k", "value")
+    monkeypatch.setattr(importance, "cells_fast", None)
+    monkeypatch.setattr(importance, "out_of_bag", None)
+    f = replace(f, members=None)
+    assert table(importance.out_of_bag_cells(f, inp, pairs), "tree", "k", "id", "cell") == want
+    assert len({r[3] for r in want}) > 3
+    assert table(importance.conditional_importance(replace(f, members=f.splits), inp, 0.0), "tree", "k", "value") == values
+    first = table(importance.out_of_bag_cells(f.first_trees(1), inp, pairs), "tree", "k", "id", "cell")
+    assert first == [r for r in want if r[0] == 0]
