@@ -42,6 +42,15 @@ def write_scenario_files(scen: DataFrame, path: str) -> None:
     named.hint("rebalance", "file").write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
 
 
+def write_scenario_grid(panel: DataFrame, path: str) -> None:
+    """The files of :func:`write_scenario_files` for all scenarios and models, one after the other and compressed: the panel is
+    read once for each, so no copy of its rows is sent or sorted, and the files are all that is on disk."""
+    for cell in scenario.scenario_grid():
+        scen = scenario.scenario_table(panel, [cell]).drop("scenario", "model")
+        (scen.write.mode("overwrite").option("header", True).option("compression", "gzip")
+         .csv(f"{path}/file=run_all_{cell[0]}_{cell[1]}.csv"))
+
+
 @query("scan_csv_roundtrip", f"WITH {PANEL_SQL} SELECT {_PCOLS} FROM panel", PANEL_DOUBLES)
 def q_scan_csv_roundtrip(spark, d):
     """The panel written as headered CSV and read back with a declared schema."""
@@ -65,9 +74,8 @@ def q_scan_scenario_matrix(spark, d):
     """S3: 16 files named ..._{scenario}_{model}.csv read by one glob; the
     identity columns come from the file path."""
     path = scratch_path(spark, "scenario-files")
-    scen = scenario.scenario_table(panel(spark, d))
-    write_scenario_files(scen, path)
-    back = files.read_scenario_matrix(spark, f"{path}/*/*.csv", SCEN_SCHEMA)
+    write_scenario_grid(panel(spark, d), path)
+    back = files.read_scenario_matrix(spark, f"{path}/*/*.csv.gz", SCEN_SCHEMA)
     return back.select("unit", "date", "wyear", "lines", "scenario", "model")
 
 
@@ -109,10 +117,9 @@ def q_scenario_stream_forecast(spark, d):
     from ..streaming.scenario_stream import read_forecasts, start_forecast_stream
     from .q_scenario import ols_score_fn, selected_units
     base = scratch_path(spark, "scenario-stream")
-    scen = scenario.scenario_table(panel(spark, d))
-    write_scenario_files(scen, f"{base}/in")
+    write_scenario_grid(panel(spark, d), f"{base}/in")
     units = selected_units(spark, d)
-    q = start_forecast_stream(spark, f"{base}/in/*/*.csv", SCEN_SCHEMA, units,
+    q = start_forecast_stream(spark, f"{base}/in/*/*.csv.gz", SCEN_SCHEMA, units,
                               S, ols_score_fn(spark, d, written=True), f"{base}/out", f"{base}/chk")
     q.awaitTermination()
     return read_forecasts(spark, f"{base}/out", FORECAST_SCHEMA)

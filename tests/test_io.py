@@ -99,3 +99,19 @@ def test_scenario_files_are_written_by_tasks_of_bounded_size(spark, tmp_path):
     assert len(tasks) > 1
     back = spark.read.option("header", True).csv(str(tmp_path / "in"))
     assert back.count() == back.select("unit").distinct().count() == 20000
+
+
+def test_scenario_grid_is_written_compressed_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """One folder a scenario and model with the rows of the exploded grid, without the write that sends and sorts them."""
+    from panelcast.operators import scenario
+    from panelcast.plans import q_io
+    from panelcast.sources.panel import panel
+    p = panel(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(q_io, "write_scenario_files", None)
+    q_io.write_scenario_grid(p, str(tmp_path / "in"))
+    assert {x.name for x in (tmp_path / "in").glob("file=*")} == {f"file=run_all_s{i}_m{j}.csv" for i in range(1, 5) for j in range(1, 5)}
+    assert {x.name[-7:] for x in (tmp_path / "in").rglob("part-*")} == {".csv.gz"}
+    cols = ["scenario", "model", "unit", "date", "wyear", "lines", "nation"]
+    back = files.read_scenario_matrix(spark, str(tmp_path / "in" / "*" / "*.csv.gz"), q_io.SCEN_SCHEMA)
+    want = scenario.scenario_table(p).withColumn("unit", F.col("unit").cast("bigint"))
+    assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
