@@ -34,8 +34,8 @@ def scenario_stream(spark: SparkSession, in_glob: str, schema: StructType | str,
 
 
 def write_batch(forecast: DataFrame, out_dir: str, epoch: int) -> None:
-    """One batch's forecast in its own folder; writing it again gives the same files."""
-    (forecast.write.mode("overwrite").partitionBy("scenario", "model")
+    """One batch's forecast in its own folder, compressed; writing it again gives the same files."""
+    (forecast.write.mode("overwrite").partitionBy("scenario", "model").option("compression", "gzip")
      .option("header", True).option("nullValue", "NA").csv(f"{out_dir}/epoch={epoch}"))
 
 

@@ -70,3 +70,11 @@ def test_stream_refuses_other_names_and_headers(spark, tmp_dir, name, header):
          .option("checkpointLocation", f"{src}-chk").trigger(availableNow=True).start())
     with pytest.raises(StreamingQueryException):
         q.awaitTermination()
+
+
+def test_forecast_batches_are_compressed(spark, tmp_path):
+    rows = [("s", "m", 1.5), ("s", "n", None)]
+    write_batch(spark.createDataFrame(rows, "scenario STRING, model STRING, pred DOUBLE"), str(tmp_path / "out"), 3)
+    assert {x.name[-7:] for x in (tmp_path / "out").rglob("part-*")} == {".csv.gz"}
+    back = read_forecasts(spark, str(tmp_path / "out"), "pred DOUBLE, scenario STRING, model STRING")
+    assert sorted(map(tuple, back.select("scenario", "model", "pred").collect()), key=str) == sorted(rows, key=str)
